@@ -38,7 +38,25 @@ def days_between(later: str | Column, earlier: str | Column) -> Column:
 
 
 def hours_between(later: str | Column, earlier: str | Column) -> Column:
-    return (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / F.lit(3_600_000_000.0)
+    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) \
+        / F.lit(3_600_000_000.0)
+
+
+def seconds_between(later: str | Column, earlier: str | Column) -> Column:
+    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) \
+        / F.lit(1_000_000.0)
+
+
+def ts_literal(value) -> Column:
+    """Timestamp literal without time-zone shifts: a naive datetime is read
+    as wall-clock time (TIMESTAMP_NTZ), like the driver's parquet columns."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def exact_avg(c: str | Column) -> Column:
+    """Mean over a decimal copy of the values, so a mean lying exactly on a
+    rounding tie stays on it (summing doubles can leave it a hair off)."""
+    return F.avg(col(c).cast("decimal(38,9)"))
 
 
 # Engagement-score weights and caps of the event job.

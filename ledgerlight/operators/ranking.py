@@ -129,3 +129,26 @@ def nearest_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: st
         hit = (F.col("__cum") - F.col("__c") <= idx) & (idx < F.col("__cum"))
         aggs.append(F.min(F.when(hit, F.col(value_col))).alias(name))
     return cum.groupBy(*group_cols).agg(*aggs)
+
+
+def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
+                    probs: dict[str, float], num_buckets: int | None = None) -> DataFrame:
+    """Per group, the linearly interpolated quantile (SQL ``percentile`` /
+    ``quantile_cont``) for each named p, computed exactly from running counts
+    instead of one in-memory value map per group. NULL values are ignored."""
+    vc = df.where(F.col(value_col).isNotNull()) \
+        .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets)
+    aggs = []
+    for name, p in probs.items():
+        pos = (F.col("__n") - 1) * F.lit(p)
+        for tag, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            hit = (F.col("__cum") - F.col("__c") <= idx) & (idx < F.col("__cum"))
+            aggs.append(F.min(F.when(hit, F.col(value_col))).alias(f"__{name}_{tag}"))
+        aggs.append(F.first(pos - F.floor(pos)).alias(f"__{name}_frac"))
+    g = cum.groupBy(*group_cols).agg(*aggs)
+    outs = []
+    for name in probs:
+        lo, hi, fr = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), F.col(f"__{name}_frac")
+        outs.append((lo.cast("double") + fr * (hi.cast("double") - lo.cast("double"))).alias(name))
+    return g.select(*group_cols, *outs)

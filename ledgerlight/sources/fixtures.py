@@ -50,7 +50,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     domain = F.concat(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit(".com"))
     created = F.expr(
-        "timestamp'1994-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 365 as int), c_nationkey, 0, 0)")
+        "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 365 as int), c_nationkey, 0, 0)")
     return c.select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("company_name"),
