@@ -163,6 +163,45 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# Dirty overlay (FIXTURES.md section C): the driver events as a raw text
+# table with deterministic defects, for the profiling and cleaning jobs.
+# ---------------------------------------------------------------------------
+
+DUP_OFFSET = 10_000_000
+
+
+def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    i = F.col("event_id")
+    tier = F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("enterprise")),
+                        (F.col("user_id") % 3 + 1).cast("int"))
+    feature = F.concat(F.lit("feature_"), (F.get_json_object("props", "$.k").cast("bigint") % 20).cast("string"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    shifted = F.date_format(F.col("ts") + F.expr("INTERVAL '05:30' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    naive = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    ts_text = (F.when(i % 19 == 0, F.lit(None).cast("string"))
+               .when(i % 4 == 0, F.concat(iso, F.lit("Z")))
+               .when(i % 4 == 1, F.concat(shifted, F.lit("+05:30")))
+               .when((i % 4 == 3) & (i % 101 == 0), F.lit("not-a-date"))
+               .otherwise(naive))
+    raw = e.select(
+        i.alias("event_id"),
+        F.col("user_id").cast("string").alias("customer_id"),
+        F.when(i % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(i % 23 == 0, F.lit(None).cast("string")).when(i % 31 == 0, F.lit("zzz"))
+        .otherwise(F.col("event_type")).alias("event_type"),
+        F.when(i % 47 == 0, F.unhex(F.lit("61FF62")).cast("string")).when(i % 43 == 0, F.lit("null"))
+        .when(i % 41 == 0, F.lit("")).otherwise(feature).alias("feature_name"),
+        F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 37 == 0, F.lit("gold"))
+        .otherwise(tier).alias("subscription_tier"),
+        ts_text.alias("timestamp"),
+        F.to_json(F.struct(F.col("value").alias("duration_seconds"))).alias("properties"),
+    )
+    dups = raw.where(F.col("event_id") % 29 == 0).withColumn("event_id", F.col("event_id") + F.lit(DUP_OFFSET))
+    return raw.unionByName(dups)
+
+
 CANONICAL = {
     "plans": plans,
     "customers": customers,
@@ -172,6 +211,7 @@ CANONICAL = {
     "team_members": team_members,
     "app_events": events,
     "app_sessions": sessions,
+    "dirty_events": dirty_events,
 }
 
 
@@ -244,9 +284,51 @@ ORACLE_CTES = {
                CAST(trunc((epoch_us(end_time) - epoch_us(start_time)) / 1000000) AS BIGINT) AS duration
         FROM (SELECT user_id, CAST(ts AS DATE) AS d, min(ts) AS start_time, max(ts) AS end_time
               FROM events GROUP BY 1, 2) s""",
+    "dirty_events": f"""
+        WITH raw AS (
+            SELECT event_id, CAST(user_id AS VARCHAR) AS customer_id,
+                   CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id,
+                   CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'zzz' ELSE event_type END
+                       AS event_type,
+                   -- invalid bytes x'61FF62' cannot live in a DuckDB VARCHAR: they appear here already
+                   -- repaired to 'ab' (what dropping the invalid byte yields)
+                   CASE WHEN event_id % 47 = 0 THEN 'ab' WHEN event_id % 43 = 0 THEN 'null'
+                        WHEN event_id % 41 = 0 THEN ''
+                        ELSE 'feature_' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS VARCHAR)
+                   END AS feature_name,
+                   event_id % 47 = 0 AS bad_bytes,
+                   CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 37 = 0 THEN 'gold'
+                        ELSE (['free', 'pro', 'enterprise'])[user_id % 3 + 1] END AS subscription_tier,
+                   CASE WHEN event_id % 19 = 0 THEN NULL
+                        WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
+                        WHEN event_id % 4 = 1 THEN strftime(ts + INTERVAL '5 hours 30 minutes',
+                                                            '%Y-%m-%dT%H:%M:%S.%f') || '+05:30'
+                        WHEN event_id % 4 = 3 AND event_id % 101 = 0 THEN 'not-a-date'
+                        ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "timestamp",
+                   value AS duration_seconds
+            FROM events)
+        SELECT * FROM raw
+        UNION ALL
+        SELECT event_id + {DUP_OFFSET}, customer_id, user_id, event_type, feature_name, bad_bytes,
+               subscription_tier, "timestamp", duration_seconds
+        FROM raw WHERE event_id % 29 = 0""",
 }
 
 
+def parse_time_sql(raw: str) -> str:
+    """DuckDB text-to-UTC-timestamp with the same rules as the Spark parser,
+    written without relying on DuckDB's time-zone setting."""
+    body = f"replace(left({raw}, length({raw}) - 6), 'T', ' ')"
+    hh = f"CAST(substr({raw}, length({raw}) - 4, 2) AS INTEGER)"
+    mm = f"CAST(substr({raw}, length({raw}) - 1, 2) AS INTEGER)"
+    return f"""(CASE WHEN regexp_matches({raw}, '[+-][0-9]{{2}}:[0-9]{{2}}$') THEN
+              CASE WHEN substr({raw}, length({raw}) - 5, 1) = '+'
+                   THEN TRY_CAST({body} AS TIMESTAMP) - to_hours({hh}) - to_minutes({mm})
+                   ELSE TRY_CAST({body} AS TIMESTAMP) + to_hours({hh}) + to_minutes({mm}) END
+            WHEN {raw} LIKE '%Z' THEN TRY_CAST(replace(left({raw}, length({raw}) - 1), 'T', ' ') AS TIMESTAMP)
+            ELSE TRY_CAST(replace(trim({raw}), 'T', ' ') AS TIMESTAMP) END)"""
+
+
 def with_ctes(sql: str, *names: str) -> str:
     """Prefix an oracle query with the CTEs of the canonical tables it reads."""
     order = list(ORACLE_CTES)
