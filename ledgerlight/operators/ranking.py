@@ -135,7 +135,11 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
                     probs: dict[str, float], num_buckets: int | None = None) -> DataFrame:
     """Per group, the linearly interpolated quantile (SQL ``percentile`` /
     ``quantile_cont``) for each named p, computed exactly from running counts
-    instead of one in-memory value map per group. NULL values are ignored."""
+    instead of one in-memory value map per group. NULL values are ignored.
+    With no group columns the whole frame is one group (one output row)."""
+    if not group_cols:
+        one = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, probs, num_buckets)
+        return one.drop("__g")
     vc = df.where(F.col(value_col).isNotNull()) \
         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
     cum = running_counts(vc, group_cols, value_col, "__c", num_buckets)

@@ -148,18 +148,20 @@ def clean_customers(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, log
 
 
-def clean_subscriptions(subs: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """CL10: coerce dates, drop end < start, fill NULL revenue with the tier
-    mean (taken before the NULL-key drop, as the reference does), drop rows
-    without customer_id or start_date."""
+    mean, drop rows without customer_id or start_date. The mean is taken
+    before the NULL-key drop (as the reference does), exactly over decimals
+    and rounded half-up to 6 dp; it is one row per tier, broadcast back."""
     s = subs.withColumn("start_date", F.col("start_date").cast("date")) \
         .withColumn("end_date", F.col("end_date").cast("date"))
     s = s.where(~F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False)))
-    s = s.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
-    means = s.groupBy("tier").agg(F.avg("monthly_revenue").alias("__m"))  # one row per tier
-    s = s.join(F.broadcast(means), s.tier.eqNullSafe(means.tier), "left").drop(means.tier)
-    s = s.withColumn("monthly_revenue", F.coalesce(F.col("monthly_revenue"),
-                                                   F.col("__m").cast("decimal(18,2)"))).drop("__m")
+    if "tier" not in s.columns:
+        s = s.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
+    rev = F.col("monthly_revenue").cast("decimal(18,2)")
+    means = s.groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
+    s = s.join(F.broadcast(means), F.col("tier").eqNullSafe(F.col("__tier")), "left")
+    s = s.withColumn("monthly_revenue", F.coalesce(rev.cast("decimal(24,6)"), F.col("__m"))).drop("__m", "__tier")
     out = s.dropna(subset=["customer_id", "start_date"])
     return out, _log("subscriptions", subs, out,
                      extra={"revenue_missing_after_fill": F.count_if(F.col("monthly_revenue").isNull())})

@@ -158,7 +158,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.col("user_id").cast("string"), F.col("d").cast("string")).alias("session_id"),
         F.col("user_id").alias("customer_id"),
         "user_id", "start_time", "end_time",
-        ((F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1_000_000))
+        ((F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp")))
+         / F.lit(1_000_000))
         .cast("bigint").alias("duration"),
     )
 
@@ -202,6 +203,32 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.unionByName(dups)
 
 
+
+def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer_id % 13 = 0 takes the previous customer's email; % 53 = 0 has none."""
+    c = customers(spark, sf_dir)
+    prev = c.select((F.col("customer_id") + 1).alias("customer_id"), F.col("email").alias("__prev"))
+    i = F.col("customer_id")
+    return c.join(prev, "customer_id", "left").withColumn(
+        "email", F.when(i % 53 == 0, F.lit(None).cast("string")).when(i % 13 == 0, F.col("__prev"))
+        .otherwise(F.col("email"))).drop("__prev").select(*c.columns)
+
+
+def dirty_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subscription_id % 59 = 0 ends before it starts; % 61 = 0 has no start."""
+    s = subscriptions(spark, sf_dir)
+    i = F.col("subscription_id")
+    return s.withColumn("end_date", F.when(i % 59 == 0, F.date_sub("start_date", 1)).otherwise(F.col("end_date"))) \
+        .withColumn("start_date", F.when(i % 61 == 0, F.lit(None).cast("date")).otherwise(F.col("start_date")))
+
+
+def dirty_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of subscription_id % 7 = 0 have no amount."""
+    b = billing(spark, sf_dir)
+    return b.withColumn("amount", F.when(F.col("subscription_id") % 7 == 0, F.lit(None).cast("decimal(18,2)"))
+                        .otherwise(F.col("amount")))
+
+
 CANONICAL = {
     "plans": plans,
     "customers": customers,
@@ -212,6 +239,9 @@ CANONICAL = {
     "app_events": events,
     "app_sessions": sessions,
     "dirty_events": dirty_events,
+    "dirty_customers": dirty_customers,
+    "dirty_subscriptions": dirty_subscriptions,
+    "dirty_billing": dirty_billing,
 }
 
 
@@ -312,6 +342,22 @@ ORACLE_CTES = {
         SELECT event_id + {DUP_OFFSET}, customer_id, user_id, event_type, feature_name, bad_bytes,
                subscription_tier, "timestamp", duration_seconds
         FROM raw WHERE event_id % 29 = 0""",
+    "dirty_customers": """
+        SELECT c.customer_id, c.company_name,
+               CASE WHEN c.customer_id % 53 = 0 THEN NULL WHEN c.customer_id % 13 = 0 THEN p.email
+                    ELSE c.email END AS email,
+               c.email_domain, c.country_code, c.created_at, c.updated_at
+        FROM customers c LEFT JOIN customers p ON p.customer_id + 1 = c.customer_id""",
+    "dirty_subscriptions": """
+        SELECT subscription_id, customer_id, plan_id, previous_plan_id, status, monthly_revenue,
+               CASE WHEN subscription_id % 61 = 0 THEN NULL ELSE start_date END AS start_date,
+               CASE WHEN subscription_id % 59 = 0 THEN CAST(start_date - 1 AS DATE) ELSE end_date END AS end_date,
+               downgrade_date, cancellation_date
+        FROM subscriptions""",
+    "dirty_billing": """
+        SELECT billing_id, subscription_id, invoice_date,
+               CASE WHEN subscription_id % 7 = 0 THEN NULL ELSE amount END AS amount
+        FROM billing""",
 }
 
 
