@@ -91,17 +91,18 @@ def potential_arpu(score: Column, events: Column) -> Column:
     return (mult * events).cast("bigint")
 
 
+def positional_hits(a: str | Column, b: str | Column) -> Column:
+    """Positions 1..max(len) where the lower-cased texts have the same character."""
+    la, lb = F.lower(col(a)), F.lower(col(b))
+    n = F.greatest(F.length(col(a)), F.length(col(b)))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0),
+        lambda acc, i: acc + F.when((i <= n) & (F.substring(la, i, 1) == F.substring(lb, i, 1))
+                                    & (F.length(F.substring(la, i, 1)) > 0), 1).otherwise(0))
+
+
 def positional_similarity(a: str | Column, b: str | Column) -> Column:
     """Equal characters at equal positions of the lower-cased texts over the
     longer length, x100, rounded to 2 dp; NULL when both texts are empty."""
-    la, lb = F.lower(col(a)), F.lower(col(b))
     n = F.greatest(F.length(col(a)), F.length(col(b)))
-    hits = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        F.lit(0),
-        lambda acc, i: acc + F.when(
-            (i <= n) & (F.substring(la, i, 1) == F.substring(lb, i, 1))
-            & (F.length(F.substring(la, i, 1)) > 0), 1).otherwise(0),
-    )
-    return F.round(hits.cast("decimal(20,6)") / F.nullif(n, F.lit(0)).cast("decimal(20,6)") * F.lit(100), 2) \
-        .cast("decimal(10,2)")
+    return F.round(positional_hits(a, b).cast("double") / F.nullif(n, F.lit(0)).cast("double") * F.lit(100.0), 2)
