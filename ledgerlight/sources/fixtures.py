@@ -132,7 +132,11 @@ def team_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+    return events_from(_read(spark, sf_dir, "events"))
+
+
+def events_from(e: DataFrame) -> DataFrame:
+    """The canonical-events mapping on a raw driver events frame (batch or stream)."""
     tier = F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("enterprise")),
                         (F.col("user_id") % 3 + 1).cast("int"))
     feature = F.concat(F.lit("feature_"),
