@@ -9,7 +9,6 @@ one-row set of test moments, to evaluate the t tail probability.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p
 from ledgerlight.operators.ranking import exact_quantiles
 from ledgerlight.plans import cleaning
+from ledgerlight.session import materialize
 
 GRAIN_INVOICE, GRAIN_CUSTOMER = "invoice", "customer"
 
@@ -220,13 +220,29 @@ def segment_stats(segmented: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- RUN
 
-@dataclass
 class Customer360:
-    merged: DataFrame
-    moments: DataFrame
-    segments: DataFrame
-    segment_stats: DataFrame
-    cleaning_log: DataFrame
+    """RUN result. ``merged`` is materialised once in the shared checkpoint
+    folder; the moments, segments and statistics are derived lazily from it
+    (each needs its own passes for the quantile thresholds)."""
+
+    def __init__(self, merged: DataFrame, cleaning_log: DataFrame):
+        self.merged = materialize(merged)
+        self.cleaning_log = cleaning_log
+        self._segments = None
+
+    @property
+    def moments(self) -> DataFrame:
+        return test_moments(self.merged)
+
+    @property
+    def segments(self) -> DataFrame:
+        if self._segments is None:
+            self._segments = segments(self.merged)
+        return self._segments
+
+    @property
+    def segment_stats(self) -> DataFrame:
+        return segment_stats(self.segments)
 
 
 def customer360(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame, billing: DataFrame,
@@ -244,9 +260,7 @@ def customer360(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame
     if sessions is not None:
         ses, log_ss = cleaning.dedupe_rows(sessions, "sessions")
         logs.append(log_ss)
-    merged = merge(c, s, t, ev, ses, grain)
-    seg = segments(merged)
     log = logs[0]
     for x in logs[1:]:
         log = log.unionByName(x)
-    return Customer360(merged, test_moments(merged), seg, segment_stats(seg), log)
+    return Customer360(merge(c, s, t, ev, ses, grain), log)

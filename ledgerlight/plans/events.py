@@ -18,6 +18,7 @@ from ledgerlight.functions.exprs import (
     days_between, engagement_score, exact_avg, potential_arpu, seconds_between, ts_literal, value_band,
     year_week_key)
 from ledgerlight.operators.ranking import exact_quantiles, nearest_rank_percentiles
+from ledgerlight.session import materialize
 
 
 def _ts(as_of: dt.datetime):
@@ -53,6 +54,7 @@ def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
         F.count(F.lit(1)).alias("weeksActive"),
         F.avg("sessionsInWeek").alias("avgSessionsPerWeek"),
         F.avg("avgDuration").alias("avgDurationPerSession"))
+    per_user = materialize(per_user)  # one row per (user, tier), read by three passes
     per_tier = per_user.groupBy("tier").agg(
         F.count(F.lit(1)).alias("userCount"),
         F.avg("avgSessionsPerWeek").alias("avgSessionsPerWeek"))

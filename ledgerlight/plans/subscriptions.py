@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.exprs import safe_div
 from ledgerlight.operators.ranking import rank_in_groups
+from ledgerlight.session import materialize
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
 
@@ -175,6 +176,8 @@ def ltv_ranking(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame
             (F.countDistinct("plan_id") - 1).cast("bigint").alias("num_plan_changes"))
         cl = cl.join(changes, "customer_id")
     cl = cl.join(p, "plan_id").join(customers.select("customer_id", "company_name", "email"), "customer_id")
+    # read three times below (tier averages, rank bounds, rank): compute once
+    cl = materialize(cl)
     # Tier statistics: one row per tier, bounded by the plan catalogue.
     tier_avg = cl.groupBy("tier").agg(F.avg(F.col("lifetime_value").cast("double")).alias("tier_avg_ltv"))
     ranked = rank_in_groups(cl, ["tier"], "lifetime_value", descending=True,

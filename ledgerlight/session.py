@@ -19,8 +19,14 @@ BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
+}
+
+# Startup-only settings (ignored when a session already exists).
+STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of frames that went out of scope are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,14 +39,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **STATIC_CONF}.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     for k, v in BASE_CONF.items():
-        if not k.startswith("spark.ui"):
-            spark.conf.set(k, v)
+        spark.conf.set(k, v)
     if shuffle_partitions is not None:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return spark
@@ -67,3 +72,12 @@ def scratch_dir(prefix: str = "ledgerlight-") -> str:
     """Fresh local scratch folder for tests and the benchmark only."""
     base = os.environ.get("LEDGERLIGHT_SCRATCH", tempfile.gettempdir())
     return tempfile.mkdtemp(prefix=prefix, dir=base)
+
+
+def materialize(df):
+    """Cut the lineage of a frame that several later passes read (e.g. the
+    bounds and the rank pass of a distributed rank): write it once to the
+    shared checkpoint folder and read it back. Survives executor loss,
+    unlike a local checkpoint or cache."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
