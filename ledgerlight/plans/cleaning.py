@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.plans.quality import EXPECTED_EVENTS, EXPECTED_TIERS
+from ledgerlight.session import bounded_broadcast
 from ledgerlight.sources.canonical import canonical_events, parse_event_time
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
@@ -157,7 +158,7 @@ def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tupl
         .withColumn("end_date", F.col("end_date").cast("date"))
     s = s.where(~F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False)))
     if "tier" not in s.columns:
-        s = s.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
+        s = s.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
     rev = F.col("monthly_revenue").cast("decimal(18,2)")
     means = s.groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
     s = s.join(F.broadcast(means), F.col("tier").eqNullSafe(F.col("__tier")), "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p
 from ledgerlight.operators.ranking import exact_quantiles
 from ledgerlight.plans import cleaning
-from ledgerlight.session import materialize
+from ledgerlight.session import bounded_broadcast, materialize
 
 GRAIN_INVOICE, GRAIN_CUSTOMER = "invoice", "customer"
 
@@ -32,7 +32,7 @@ LTV_MONTHS = 12
 def subscription_extract(subscriptions: DataFrame, plans: DataFrame, billing: DataFrame) -> DataFrame:
     """MG1: subscriptions JOIN plans LEFT JOIN billing, invoice amount as
     monthly_revenue (one row per subscription x invoice)."""
-    p = F.broadcast(plans.select("plan_id", "plan_name", "tier"))
+    p = bounded_broadcast(plans.select("plan_id", "plan_name", "tier"))
     b = billing.select("subscription_id", F.col("amount").alias("monthly_revenue"))
     s = subscriptions.select("subscription_id", "customer_id", "plan_id", "status", "start_date", "end_date")
     return s.join(p, "plan_id").join(b, "subscription_id", "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.exprs import safe_div
 from ledgerlight.operators.ranking import rank_in_groups
-from ledgerlight.session import materialize
+from ledgerlight.session import bounded_broadcast, materialize
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
 
@@ -44,7 +44,7 @@ def customers_by_recency(customers: DataFrame) -> DataFrame:
 
 def subscription_stats(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """Subscription counts and revenue by tier."""
-    s = subscriptions.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id")
+    s = subscriptions.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id")
     return s.groupBy("tier").agg(
         F.countDistinct("subscription_id").alias("total_subscriptions"),
         F.countDistinct(F.when(F.col("status") == "active", F.col("subscription_id"))).alias("active_subscriptions"),
@@ -107,7 +107,7 @@ def plan_metrics(plans: DataFrame, subscriptions: DataFrame, billing: DataFrame,
         F.sum(F.col("amt") * nt).alias("revenue"),
         F.sum(F.coalesce(F.col("d_t"), F.lit(0))).alias("tickets"),
     )
-    out = F.broadcast(plans).join(per_plan, "plan_id", "left").select(
+    out = bounded_broadcast(plans).join(per_plan, "plan_id", "left").select(
         "plan_name", "tier",
         F.coalesce(F.col("active_customers"), F.lit(0)).cast("bigint").alias("active_customers"),
         F.round(safe_div(F.col("rev_w").cast("double"), F.col("w").cast("double")), 2)
@@ -160,7 +160,7 @@ def ltv_ranking(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame
     The rank runs through :func:`rank_in_groups`, so a tier is not one task.
     """
     _check_mode(mode)
-    p = F.broadcast(plans.select("plan_id", "plan_name", "tier"))
+    p = bounded_broadcast(plans.select("plan_id", "plan_name", "tier"))
     sb = subscriptions.select("subscription_id", "customer_id", "plan_id", "start_date") \
         .join(billing.select("subscription_id", "invoice_date", "amount"), "subscription_id", "left")
     inv = F.countDistinct("invoice_date") if mode == AS_CODED else F.count("invoice_date")
@@ -211,17 +211,21 @@ def downgrade_risk(subscriptions: DataFrame, customers: DataFrame, plans: DataFr
     Ties on the downgrade date break by the higher subscription_id.
     """
     _check_mode(mode)
-    cur = F.broadcast(plans.select(F.col("plan_id"), F.col("plan_name").alias("current_plan"),
-                                   F.col("tier").alias("current_tier")))
-    prev = F.broadcast(plans.select(F.col("plan_id").alias("previous_plan_id"),
-                                    F.col("plan_name").alias("previous_plan"),
-                                    F.col("tier").alias("previous_tier")))
+    cur = bounded_broadcast(plans.select(F.col("plan_id"), F.col("plan_name").alias("current_plan"),
+                                         F.col("tier").alias("current_tier")))
+    prev = bounded_broadcast(plans.select(F.col("plan_id").alias("previous_plan_id"),
+                                          F.col("plan_name").alias("previous_plan"),
+                                          F.col("tier").alias("previous_tier")))
     s = subscriptions.where(
         F.col("downgrade_date").isNotNull() & F.col("previous_plan_id").isNotNull()
         & (F.col("downgrade_date") >= F.date_sub(_d(as_of), days))
     ).select("customer_id", "subscription_id", "plan_id", "previous_plan_id", "downgrade_date", "monthly_revenue")
-    w = Window.partitionBy("customer_id").orderBy(F.col("downgrade_date").desc(), F.col("subscription_id").desc())
-    latest = s.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    # latest downgrade per customer as an aggregate (map-side partial
+    # aggregation), not a row_number window that sorts a hot customer in one task
+    rest = [c for c in s.columns if c != "customer_id"]
+    latest = s.groupBy("customer_id").agg(
+        F.max_by(F.struct(*rest), F.struct("downgrade_date", "subscription_id")).alias("__l")) \
+        .select("customer_id", "__l.*")
     dc = latest.join(customers.select("customer_id", "company_name", "email"), "customer_id") \
         .join(cur, "plan_id").join(prev, "previous_plan_id", "left")
     dd_ts = F.col("downgrade_date").cast("timestamp")
@@ -272,7 +276,7 @@ def growth_churn(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date, mon
     """
     _check_mode(mode)
     since = F.add_months(_d(as_of), -months)
-    s = subscriptions.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id")
+    s = subscriptions.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id")
     ms = s.where(F.col("start_date") >= since).groupBy(
         F.trunc("start_date", "month").alias("metric_month"), "tier").agg(
         F.countDistinct("subscription_id").alias("new_subscriptions"),
@@ -285,7 +289,7 @@ def growth_churn(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date, mon
         cal = s.sparkSession.range(1).select(F.explode(F.sequence(
             F.trunc(since, "month"), F.trunc(_d(as_of), "month"), F.expr("INTERVAL 1 MONTH"))).alias("metric_month"))
         tiers = plans.select("tier").distinct()
-        grid = cal.crossJoin(F.broadcast(tiers))  # months x tiers: bounded by the calendar
+        grid = cal.crossJoin(bounded_broadcast(tiers))  # months x tiers: calendar x catalogue
         cm = grid.join(cm, ["metric_month", "tier"], "left")
     cm = cm.select(
         "metric_month", "tier",

@@ -81,3 +81,26 @@ def materialize(df):
     unlike a local checkpoint or cache."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_broadcast(df, max_rows: int = 100_000):
+    """Broadcast a dimension table only after checking its size: at most
+    ``max_rows`` rows are counted; a larger table is returned unchanged and
+    joins by shuffle (AQE may still broadcast it if it measures small)."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024,
+               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition sizing for a given input volume: initial shuffle partitions
+    of about ``target_partition_bytes`` (AQE coalesces the small ones at
+    runtime), scan splits of 256 MB, and the matching AQE advisory size."""
+    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+    }
