@@ -33,11 +33,11 @@ def subscription_extract(subscriptions: DataFrame, plans: DataFrame, billing: Da
     """MG1: subscriptions JOIN plans LEFT JOIN billing, invoice amount as
     monthly_revenue (one row per subscription x invoice)."""
     p = bounded_broadcast(plans.select("plan_id", "plan_name", "tier"))
-    b = billing.select("subscription_id", F.col("amount").alias("monthly_revenue"))
+    b = billing.select("subscription_id", "invoice_date", F.col("amount").alias("monthly_revenue"))
     s = subscriptions.select("subscription_id", "customer_id", "plan_id", "status", "start_date", "end_date")
     return s.join(p, "plan_id").join(b, "subscription_id", "left").select(
         "subscription_id", "customer_id", "plan_name", "tier", "monthly_revenue", "status",
-        "start_date", "end_date")
+        "start_date", "end_date", "invoice_date")
 
 
 def recent_tickets(tickets: DataFrame, as_of: dt.date, days: int = 180) -> DataFrame:
@@ -107,12 +107,16 @@ def merge(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, even
 
 
 def _customer_grain(subs: DataFrame) -> DataFrame:
-    latest_invoice = subs.groupBy("subscription_id").agg(
-        F.max_by("monthly_revenue", F.struct("monthly_revenue")).alias("__amt"))
-    s = subs.drop("monthly_revenue").dropDuplicates(["subscription_id"]).join(latest_invoice, "subscription_id")
-    return s.groupBy("customer_id").agg(
+    """One row per customer from subscription x invoice rows: the latest
+    invoice (by date, then amount) of each subscription, summed over active
+    subscriptions; status, plan and tier of the latest subscription. Two
+    aggregations with partial aggregation, no window."""
+    per_sub = subs.groupBy("subscription_id", "customer_id", "status", "plan_name", "tier", "start_date").agg(
+        F.max_by("monthly_revenue", F.struct("invoice_date", "monthly_revenue")).alias("__amt"))
+    return per_sub.groupBy("customer_id").agg(
         F.sum(F.when(F.col("status") == "active", F.col("__amt"))).alias("monthly_revenue"),
-        F.max_by(F.struct("status", "plan_name", "tier"), F.struct("start_date", "subscription_id")).alias("__l"),
+        F.max_by(F.struct("subscription_id", "status", "plan_name", "tier", "start_date"),
+                 F.struct("start_date", "subscription_id")).alias("__l"),
     ).select("customer_id", "monthly_revenue", "__l.*")
 
 

@@ -42,3 +42,18 @@ def test_segment_edge_is_inclusive(spark):
         .withColumn("total_tickets", F.lit(0)).withColumn("tier", F.lit("pro"))
     seg = {r.customer_id: r.customer_segment for r in c3.segments(df).collect()}
     assert seg[9] == "VIP_ENGAGED" and seg[1] == "AT_RISK"
+
+
+def test_quality_phase_modes(spark):
+    from ledgerlight.catalog import Tables
+    raw = Tables(spark, "/root/testdata/sf0.001").dirty_events
+    assert set(cleaning.run_quality_phase(raw, "analyze")) == {"quality_report"}
+    full = cleaning.run_quality_phase(raw, "full", clean_mode="corrected")
+    assert set(full) == {"quality_report", "clean_events", "cleaning_report"}
+    # corrected mode drops every row missing a critical field
+    c = full["clean_events"]
+    assert c.where(F.col("timestamp").isNull() | F.col("event_type").isNull() | F.col("user_id").isNull()).count() == 0
+    # dedupe is idempotent
+    from ledgerlight.plans.cleaning import dedupe_exact
+    once = dedupe_exact(c.drop("flagged_outlier"))
+    assert once.count() == dedupe_exact(once.drop("_copies")).count()
