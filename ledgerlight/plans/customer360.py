@@ -2,8 +2,8 @@
 (MG1-MG5, HT1-HT6, SG1-SG3, RUN).
 
 Everything stays distributed. Thresholds (quantiles) are one-row aggregates
-joined back by broadcast; the only value brought to the driver is the
-one-row set of test moments, to evaluate the t tail probability.
+joined back by broadcast; the t tail probability is a column expression on
+the one-row moments frame.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p
+from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p_col
 from ledgerlight.operators.ranking import exact_quantiles
 from ledgerlight.plans import cleaning
 from ledgerlight.session import bounded_broadcast, materialize
@@ -176,14 +176,13 @@ def test_moments(merged: DataFrame) -> DataFrame:
 
 
 def hypothesis_test(merged: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """HT4-HT5: the moments row plus the two-sided p-value and the decision.
-    The one-row moments frame is the only thing collected."""
+    """HT4-HT5: the moments row plus the two-sided p-value (pooled t test)
+    and the decision at ``alpha``. The p-value is a column expression on the
+    one-row moments frame (incomplete beta by continued fraction), so
+    nothing is collected."""
     mom = test_moments(merged)
-    row = mom.collect()[0]
-    p = t_two_sided_p(row["t_statistic"], row["degrees_of_freedom"])
-    spark = merged.sparkSession
-    extra = spark.createDataFrame([(p,)], "p_value double")
-    return mom.crossJoin(extra).withColumn(
+    p = F.round(t_two_sided_p_col(F.col("t_statistic"), F.col("degrees_of_freedom")), 6)
+    return mom.withColumn("p_value", p).withColumn(
         "reject_h0", F.when(F.col("p_value").isNull(), F.lit(None)).otherwise(F.col("p_value") < F.lit(alpha)))
 
 
