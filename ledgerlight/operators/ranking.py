@@ -16,7 +16,9 @@ operators spread the ordering over many tasks instead:
 
 Both small tables are broadcast after their size is checked against
 ``max_groups``; with more groups than that, a plain window is used, since
-many groups already spread over many tasks.
+many groups already spread over many tasks. A first cheap pass counts the
+rows per group: when every group is proven small (``small_group_rows``), a
+plain window is used as well, since one task per group is then cheap.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 _BK = "__bucket"
 DEFAULT_MAX_GROUPS = 10_000
+SMALL_GROUP_ROWS = 1_000_000
 
 
 def _buckets(df: DataFrame, num_buckets: int | None) -> int:
@@ -35,10 +38,14 @@ def _buckets(df: DataFrame, num_buckets: int | None) -> int:
 
 
 def _bucketize(df: DataFrame, group_cols: list[str], value_col: str, descending: bool, k: int,
-               max_groups: int) -> DataFrame | None:
-    """Add ``__bucket`` (0 = best values first), or None when there are more
-    than ``max_groups`` groups."""
+               max_groups: int, small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame | None:
+    """Add ``__bucket`` (0 = best values first), or None when a plain window
+    is the better plan: more than ``max_groups`` groups, or every group has
+    at most ``small_group_rows`` rows (counted first, a cheap aggregate)."""
     v = F.col(value_col)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).limit(max_groups + 1).collect()
+    if len(sizes) > max_groups or max((r["__n"] for r in sizes), default=0) <= small_group_rows:
+        return None
     if k <= 1:
         return df.withColumn(_BK, F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
     probs = [i / k for i in range(1, k)]
@@ -68,13 +75,14 @@ def _offsets(bucketed: DataFrame, group_cols: list[str], weight: Column) -> Data
 
 def rank_in_groups(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = True,
                    rank_col: str = "rank", pct_col: str | None = "percent_rank",
-                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS) -> DataFrame:
+                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS,
+                   small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Add SQL ``RANK()`` and ``PERCENT_RANK()`` over
     ``PARTITION BY group_cols ORDER BY value_col [DESC]``; NULLs order last.
     Group keys must not be NULL."""
     vorder = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_last()
     k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, descending, k, max_groups)
+    b = _bucketize(df, group_cols, value_col, descending, k, max_groups, small_group_rows)
     if b is None:
         w = Window.partitionBy(*group_cols).orderBy(vorder)
         out = df.withColumn(rank_col, F.rank().over(w).cast("bigint"))
@@ -92,12 +100,13 @@ def rank_in_groups(df: DataFrame, group_cols: list[str], value_col: str, descend
 
 
 def running_counts(df: DataFrame, group_cols: list[str], value_col: str, weight_col: str,
-                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS) -> DataFrame:
+                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS,
+                   small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """For rows (group, value, weight) with one row per distinct non-NULL
     value, add ``__cum`` = total weight of values <= this one and ``__n`` =
     group total (ascending order)."""
     k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, False, k, max_groups)
+    b = _bucketize(df, group_cols, value_col, False, k, max_groups, small_group_rows)
     if b is None:
         w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*group_cols, value_col, weight_col, F.sum(weight_col).over(w).alias("__cum"),
@@ -112,7 +121,8 @@ def running_counts(df: DataFrame, group_cols: list[str], value_col: str, weight_
 
 
 def nearest_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
-                             probs: dict[str, float], num_buckets: int | None = None) -> DataFrame:
+                             probs: dict[str, float], num_buckets: int | None = None,
+                             small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Per group, the element at 0-based index ``floor(n * p)`` of the values
     sorted ascending (sort-then-index percentile) for each named p.
 
@@ -121,7 +131,7 @@ def nearest_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: st
     """
     vc = df.where(F.col(value_col).isNotNull()) \
         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets)
+    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets, small_group_rows=small_group_rows)
     aggs = []
     for name, p in probs.items():
         idx = F.floor(F.col("__n") * F.lit(p))
@@ -132,17 +142,19 @@ def nearest_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: st
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
-                    probs: dict[str, float], num_buckets: int | None = None) -> DataFrame:
+                    probs: dict[str, float], num_buckets: int | None = None,
+                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Per group, the linearly interpolated quantile (SQL ``percentile`` /
     ``quantile_cont``) for each named p, computed exactly from running counts
     instead of one in-memory value map per group. NULL values are ignored.
     With no group columns the whole frame is one group (one output row)."""
     if not group_cols:
-        one = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, probs, num_buckets)
+        one = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, probs, num_buckets,
+                              small_group_rows)
         return one.drop("__g")
     vc = df.where(F.col(value_col).isNotNull()) \
         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets)
+    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets, small_group_rows=small_group_rows)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("__n") - 1) * F.lit(p)

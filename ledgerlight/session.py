@@ -80,7 +80,13 @@ def materialize(df):
     shared checkpoint folder and read it back. Survives executor loss,
     unlike a local checkpoint or cache."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first so that the checkpoint write does not compute the frame
+    # a second time; the copy in the checkpoint folder is what later passes
+    # read, so the cache is dropped right after
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def bounded_broadcast(df, max_rows: int = 100_000):
