@@ -40,8 +40,8 @@ def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
     Three regroupings: (user, tier, Sunday-week) -> (user, tier) -> tier.
     The weekly count counts events of the session types (``sessionsInWeek``
     in the reference). Missing duration is 0, missing tier 'unknown'. The
-    percentiles run on (tier, value) counts spread over buckets, never on a
-    per-tier list.
+    percentiles run on (tier, value) counts, spread over value buckets when a
+    tier is large (see ``operators.ranking``), never on a per-tier list.
     """
     e = events.where(F.col("event_type").isin(list(session_events)) & (F.col("timestamp") >= _since(as_of, days_back)))
     e = e.select("user_id",

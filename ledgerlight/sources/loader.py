@@ -44,8 +44,8 @@ def load_csv_dir(spark: SparkSession, csv_dir: str, target_dir: str,
                  tables: tuple[str, ...] = RELATIONAL + COLLECTIONS) -> dict[str, dict]:
     """Load ``<csv_dir>/<table>.csv`` files into ``<target_dir>/<table>``.
 
-    Returns per table: status ('loaded' / 'missing') and row counts, computed
-    from the written data in one aggregation per table.
+    Returns per table: status ('loaded' / 'missing') and row counts (loaded
+    and rejected), counted in one aggregation over the cached read.
     """
     report: dict[str, dict] = {}
     for table in tables:
