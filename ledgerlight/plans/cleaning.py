@@ -79,12 +79,10 @@ def repair_utf8(df: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataFrame
 
 def flag_outliers(df: DataFrame, factor: float = 10.0, col: str = "properties.duration_seconds") -> DataFrame:
     """CL6: ``flagged_outlier`` = duration > factor x mean duration. The mean
-    is a one-row aggregate joined back by broadcast; rows are kept."""
+    is a scalar subquery (one aggregation, inlined as a value); rows are kept."""
     d = F.col(col).cast("double")
-    mean = df.agg(F.avg(d.cast("decimal(38,9)")).cast("double").alias("__mean"))
-    return df.crossJoin(F.broadcast(mean)) \
-        .withColumn("flagged_outlier", F.coalesce(d > F.lit(float(factor)) * F.col("__mean"), F.lit(False))) \
-        .drop("__mean")
+    mean = df.agg(F.avg(d.cast("decimal(38,9)")).cast("double")).scalar()
+    return df.withColumn("flagged_outlier", F.coalesce(d > F.lit(float(factor)) * mean, F.lit(False)))
 
 
 def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 10.0,
@@ -122,12 +120,16 @@ def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 1
         F.count_if(~F.coalesce(F.col("subscription_tier").isin(*expected_tiers), F.lit(False)))
         .alias("unexpected_tiers"),
     )
-    wide = before.crossJoin(mid).crossJoin(after).select(
-        "before_total", "after_total",
-        (F.col("before_total") - F.col("after_total")).alias("records_removed"),
-        "null_corrections", "timezone_corrections",
-        (F.col("__kept") - F.col("after_total")).alias("duplicates_removed"),
-        "encoding_fixes", "outliers_flagged", "unexpected_event_types", "unexpected_tiers")
+    # each stage's counters are one aggregation, used as a scalar subquery
+    b, m, a = (x.select(F.struct("*")).scalar() for x in (before, mid, after))
+    wide = raw.sparkSession.range(1).select(
+        b["before_total"].alias("before_total"), a["after_total"].alias("after_total"),
+        (b["before_total"] - a["after_total"]).alias("records_removed"),
+        b["null_corrections"].alias("null_corrections"), m["timezone_corrections"].alias("timezone_corrections"),
+        (m["__kept"] - a["after_total"]).alias("duplicates_removed"),
+        a["encoding_fixes"].alias("encoding_fixes"), a["outliers_flagged"].alias("outliers_flagged"),
+        a["unexpected_event_types"].alias("unexpected_event_types"),
+        a["unexpected_tiers"].alias("unexpected_tiers"))
     metrics = wide.columns
     stack = ", ".join(f"'{m}', CAST(`{m}` AS BIGINT)" for m in metrics)
     report = wide.select(F.expr(f"stack({len(metrics)}, {stack}) AS (metric, value)"))
@@ -208,15 +210,13 @@ def dedupe_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
 
 def _log(table: str, before: DataFrame, after: DataFrame, extra: dict | None = None) -> DataFrame:
     """CL13: one row per table: before, after, removed, % removed."""
-    b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    aggs = [F.count(F.lit(1)).alias("rows_after")]
     extra = extra or {}
-    aggs += [v.alias(k) for k, v in extra.items()]
-    a = after.agg(*aggs)
-    out = b.crossJoin(a).select(
-        F.lit(table).alias("table"), "rows_before", "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
-        F.bround(F.when(F.col("rows_before") > 0, (F.col("rows_before") - F.col("rows_after"))
-                        / F.col("rows_before") * 100.0).otherwise(0.0), 2).alias("pct_removed"),
-        *extra.keys())
-    return out
+    nb = before.agg(F.count(F.lit(1))).scalar()
+    a = after.agg(F.count(F.lit(1)).alias("rows_after"), *[v.alias(k) for k, v in extra.items()]) \
+        .select(F.struct("*")).scalar()
+    na = a["rows_after"]
+    return before.sparkSession.range(1).select(
+        F.lit(table).alias("table"), nb.alias("rows_before"), na.alias("rows_after"),
+        (nb - na).alias("rows_removed"),
+        F.bround(F.when(nb > 0, (nb - na) / nb * 100.0).otherwise(0.0), 2).alias("pct_removed"),
+        *[a[k].alias(k) for k in extra])

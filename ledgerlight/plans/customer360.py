@@ -138,13 +138,13 @@ def test_moments(merged: DataFrame) -> DataFrame:
     (linear interpolation). Engaged = engagement above its median.
     """
     df = engagement(merged)
-    q = exact_quantiles(df, [], "total_tickets", {"tickets_p75": 0.75}) \
-        .crossJoin(exact_quantiles(df, [], "engagement_score", {"engagement_median": 0.5}))
-    j = df.crossJoin(F.broadcast(q))
+    # thresholds: one-row results used as scalar subqueries
+    p75 = exact_quantiles(df, [], "total_tickets", {"q": 0.75}).select("q").scalar()
+    med = exact_quantiles(df, [], "engagement_score", {"q": 0.5}).select("q").scalar()
     churned = (F.coalesce(F.col("status") == "cancelled", F.lit(False))
-               | (F.col("total_tickets") > F.col("tickets_p75"))).cast("int")
-    hi = F.col("engagement_score") > F.col("engagement_median")
-    j = j.select(hi.alias("hi"), churned.alias("c"), "tickets_p75", "engagement_median")
+               | (F.col("total_tickets") > p75)).cast("int")
+    hi = F.col("engagement_score") > med
+    j = df.select(hi.alias("hi"), churned.alias("c"), p75.alias("tickets_p75"), med.alias("engagement_median"))
     g = j.agg(
         F.first("tickets_p75").alias("tickets_p75"),
         F.first("engagement_median").alias("engagement_median"),
@@ -193,17 +193,16 @@ def segments(merged: DataFrame) -> DataFrame:
     first matching segment rule against the 33rd / 66th percentiles."""
     df = engagement(merged).withColumn(
         "lifetime_value", F.coalesce(F.col("monthly_revenue").cast("double"), F.lit(0.0)) * F.lit(float(LTV_MONTHS)))
-    q = exact_quantiles(df, [], "lifetime_value", {"ltv_lo": Q_LOW, "ltv_hi": Q_HIGH}) \
-        .crossJoin(exact_quantiles(df, [], "engagement_score", {"eng_lo": Q_LOW, "eng_hi": Q_HIGH}))
-    j = df.crossJoin(F.broadcast(q))
+    lq = exact_quantiles(df, [], "lifetime_value", {"lo": Q_LOW, "hi": Q_HIGH}).select(F.struct("*")).scalar()
+    eq = exact_quantiles(df, [], "engagement_score", {"lo": Q_LOW, "hi": Q_HIGH}).select(F.struct("*")).scalar()
     ltv, eng = F.col("lifetime_value"), F.col("engagement_score")
-    seg = (F.when((ltv >= F.col("ltv_hi")) & (eng >= F.col("eng_hi")), "VIP_ENGAGED")
-           .when((ltv >= F.col("ltv_hi")) & (eng < F.col("eng_lo")), "VIP_AT_RISK")
-           .when((ltv >= F.col("ltv_lo")) & (eng >= F.col("eng_hi")), "GROWTH_POTENTIAL")
-           .when((ltv < F.col("ltv_lo")) & (eng >= F.col("eng_hi")), "ENGAGED_STARTER")
-           .when((ltv < F.col("ltv_lo")) & (eng < F.col("eng_lo")), "AT_RISK")
+    seg = (F.when((ltv >= lq["hi"]) & (eng >= eq["hi"]), "VIP_ENGAGED")
+           .when((ltv >= lq["hi"]) & (eng < eq["lo"]), "VIP_AT_RISK")
+           .when((ltv >= lq["lo"]) & (eng >= eq["hi"]), "GROWTH_POTENTIAL")
+           .when((ltv < lq["lo"]) & (eng >= eq["hi"]), "ENGAGED_STARTER")
+           .when((ltv < lq["lo"]) & (eng < eq["lo"]), "AT_RISK")
            .otherwise("STABLE"))
-    return j.withColumn("customer_segment", seg).drop("ltv_lo", "ltv_hi", "eng_lo", "eng_hi") \
+    return df.withColumn("customer_segment", seg) \
         .withColumn("support_intensity", F.coalesce(F.col("total_tickets"), F.lit(0)))
 
 

@@ -45,13 +45,13 @@ def funnel_percentages(funnel: DataFrame) -> DataFrame:
 def upsell_summary(engaged: DataFrame, funnel: DataFrame) -> DataFrame:
     """DB2: high-value upsell targets, their annual potential (n x 120 x 12),
     and the drop-off at the second funnel stage in %."""
-    hv = engaged.agg(F.count_if(F.col("potentialValue") == "High").alias("high_value_users"))
+    hv = engaged.agg(F.count_if(F.col("potentialValue") == "High")).scalar()
     second = funnel.where(F.col("step_number") == 2).agg(
-        F.max(F.round((F.lit(1.0) - F.col("conversionRate")) * 100.0, 1)).alias("second_stage_dropoff_pct"))
-    return hv.crossJoin(second).select(
-        "high_value_users",
-        (F.col("high_value_users") * HIGH_VALUE_ARPU * MONTHS_PER_YEAR).cast("bigint").alias("annual_potential"),
-        "second_stage_dropoff_pct")
+        F.max(F.round((F.lit(1.0) - F.col("conversionRate")) * 100.0, 1))).scalar()
+    return engaged.sparkSession.range(1).select(
+        hv.alias("high_value_users"),
+        (hv * HIGH_VALUE_ARPU * MONTHS_PER_YEAR).cast("bigint").alias("annual_potential"),
+        second.alias("second_stage_dropoff_pct"))
 
 
 # ---------------------------------------------------------------- DB3, DB4, DB5
@@ -172,10 +172,9 @@ def high_risk_table(downgrades: DataFrame, n: int = 20) -> DataFrame:
 def segment_distribution(segmented: DataFrame) -> DataFrame:
     """DB9: rows per segment and share of all rows in %."""
     counts = segmented.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("customers"))
-    total = segmented.agg(F.count(F.lit(1)).alias("__t"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select(
-        "customer_segment", "customers",
-        F.round(F.col("customers") / F.col("__t") * 100.0, 2).alias("share_pct"))
+    total = segmented.agg(F.count(F.lit(1))).scalar()
+    return counts.select("customer_segment", "customers",
+                         F.round(F.col("customers") / total * 100.0, 2).alias("share_pct"))
 
 
 def customer_measures(customers: DataFrame, subscriptions: DataFrame, billing: DataFrame,

@@ -62,9 +62,8 @@ def timestamp_range(events: DataFrame) -> DataFrame:
 
 def _distribution(events: DataFrame, key: str, limit: int | None) -> DataFrame:
     counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
-    total = events.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    out = counts.crossJoin(F.broadcast(total)).select(
-        key, "count", _pct(F.col("count"), F.col("__total")).alias("percentage"))
+    total = events.agg(F.count(F.lit(1))).scalar()  # scalar subquery, computed once
+    out = counts.select(key, "count", _pct(F.col("count"), total).alias("percentage"))
     out = out.orderBy(F.col("count").desc(), F.col(key).asc_nulls_first())
     return out.limit(limit) if limit else out
 

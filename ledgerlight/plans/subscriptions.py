@@ -18,6 +18,7 @@ from ledgerlight.operators.ranking import rank_in_groups
 from ledgerlight.session import bounded_broadcast, materialize
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
+MAX_CATALOGUE_TIERS = 1000
 
 
 def _d(as_of: dt.date):
@@ -289,7 +290,10 @@ def growth_churn(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date, mon
         cal = s.sparkSession.range(1).select(F.explode(F.sequence(
             F.trunc(since, "month"), F.trunc(_d(as_of), "month"), F.expr("INTERVAL 1 MONTH"))).alias("metric_month"))
         tiers = plans.select("tier").distinct()
-        grid = cal.crossJoin(bounded_broadcast(tiers))  # months x tiers: calendar x catalogue
+        if tiers.limit(MAX_CATALOGUE_TIERS + 1).count() > MAX_CATALOGUE_TIERS:
+            raise ValueError("plan catalogue has too many tiers for a dense month x tier calendar")
+        tier_list = tiers.agg(F.array_sort(F.collect_list("tier"))).scalar()  # checked small above
+        grid = cal.select("metric_month", F.explode(tier_list).alias("tier"))
         cm = grid.join(cm, ["metric_month", "tier"], "left")
     cm = cm.select(
         "metric_month", "tier",
