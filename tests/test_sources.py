@@ -50,3 +50,15 @@ def test_sinks(spark, scratch):
     assert spark.read.json(os.path.join(scratch, "json")).count() == 10
     back = spark.read.parquet(os.path.join(scratch, "parts")).where("m = 1")
     assert back.count() == 3  # ids 1, 4, 7
+
+
+def test_loader_append_vs_replace(spark, scratch):
+    tables = generate(spark, customers=10, seed=3)
+    small = {k: tables[k] for k in ("customers", "events")}
+    csv_dir, out = os.path.join(scratch, "csv"), os.path.join(scratch, "tables")
+    write_csv_dir(small, csv_dir)
+    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"))
+    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"))
+    # relational tables append, document collections are replaced
+    assert spark.read.parquet(os.path.join(out, "customers")).count() == 20
+    assert spark.read.parquet(os.path.join(out, "events")).count() == small["events"].count()
