@@ -37,11 +37,6 @@ def days_between(later: str | Column, earlier: str | Column) -> Column:
         / F.lit(86_400_000_000.0)
 
 
-def hours_between(later: str | Column, earlier: str | Column) -> Column:
-    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) \
-        / F.lit(3_600_000_000.0)
-
-
 def seconds_between(later: str | Column, earlier: str | Column) -> Column:
     return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) \
         / F.lit(1_000_000.0)

@@ -68,12 +68,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def scratch_dir(prefix: str = "ledgerlight-") -> str:
-    """Fresh local scratch folder for tests and the benchmark only."""
-    base = os.environ.get("LEDGERLIGHT_SCRATCH", tempfile.gettempdir())
-    return tempfile.mkdtemp(prefix=prefix, dir=base)
-
-
 def materialize(df):
     """Cut the lineage of a frame that several later passes read (e.g. the
     bounds and the rank pass of a distributed rank): write it once to the

@@ -249,10 +249,6 @@ CANONICAL = {
 }
 
 
-def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {k: f(spark, sf_dir) for k, f in CANONICAL.items()}
-
-
 # ---------------------------------------------------------------------------
 # Oracle side: the same mapping as DuckDB CTEs over the driver's views.
 # ---------------------------------------------------------------------------

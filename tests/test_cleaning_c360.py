@@ -57,3 +57,10 @@ def test_quality_phase_modes(spark):
     from ledgerlight.plans.cleaning import dedupe_exact
     once = dedupe_exact(c.drop("flagged_outlier"))
     assert once.count() == dedupe_exact(once.drop("_copies")).count()
+
+
+def test_drop_missing_critical_modes(spark):
+    df = spark.createDataFrame([(None, "a", "x"), ("u", None, "x"), ("u", "t", None), ("u", "t", "x")],
+                               "user_id string, timestamp string, event_type string")
+    assert cleaning.drop_missing_critical(df, "as_coded").count() == 3
+    assert cleaning.drop_missing_critical(df, "corrected").count() == 1

@@ -62,3 +62,27 @@ def test_loader_append_vs_replace(spark, scratch):
     # relational tables append, document collections are replaced
     assert spark.read.parquet(os.path.join(out, "customers")).count() == 20
     assert spark.read.parquet(os.path.join(out, "events")).count() == small["events"].count()
+
+
+def test_read_table_pushdown_and_sinks(spark, scratch):
+    from ledgerlight.sources.sinks import export_csv, write_metrics
+    from ledgerlight.sources.tables import read_table
+    df = read_table(spark, "/root/testdata/sf0.001/orders.parquet", ["o_orderkey", "o_totalprice"],
+                    F.col("o_orderstatus") == "F")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+    export_csv(df, os.path.join(scratch, "csv_out"))
+    back = spark.read.option("header", True).csv(os.path.join(scratch, "csv_out"))
+    assert back.count() == df.count() and back.columns == ["o_orderkey", "o_totalprice"]
+    write_metrics(df.agg(F.count(F.lit(1)).alias("n")), os.path.join(scratch, "metrics"))
+    assert spark.read.json(os.path.join(scratch, "metrics")).first().n == df.count()
+
+
+def test_scale_conf():
+    from ledgerlight.session import scale_conf
+    small, big = scale_conf(10 * 1024 ** 2), scale_conf(100 * 1024 ** 4)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    mid = scale_conf(1024 ** 4)
+    assert mid["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (128 * 1024 ** 2))
