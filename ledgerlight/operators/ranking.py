@@ -29,23 +29,34 @@ from pyspark.sql import functions as F
 _BK = "__bucket"
 DEFAULT_MAX_GROUPS = 10_000
 SMALL_GROUP_ROWS = 1_000_000
+ROWS_PER_BUCKET = 1_000_000     # target bucket size
+MAX_BOUND_VALUES = 1_000_000    # cap on groups x boundaries brought to the driver
 
 
 def _buckets(df: DataFrame, num_buckets: int | None) -> int:
+    """Upper bound on the bucket count: the explicit value, else the shuffle
+    partition count (the actual count is sized from the data, see below)."""
     if num_buckets:
         return max(1, num_buckets)
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _bucketize(df: DataFrame, group_cols: list[str], value_col: str, descending: bool, k: int,
-               max_groups: int, small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame | None:
+               max_groups: int, small_group_rows: int = SMALL_GROUP_ROWS,
+               explicit_k: bool = False) -> DataFrame | None:
     """Add ``__bucket`` (0 = best values first), or None when a plain window
     is the better plan: more than ``max_groups`` groups, or every group has
     at most ``small_group_rows`` rows (counted first, a cheap aggregate)."""
     v = F.col(value_col)
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).limit(max_groups + 1).collect()
-    if len(sizes) > max_groups or max((r["__n"] for r in sizes), default=0) <= small_group_rows:
+    biggest = max((r["__n"] for r in sizes), default=0)
+    if len(sizes) > max_groups or biggest <= small_group_rows:
         return None
+    # about ROWS_PER_BUCKET rows per bucket (unless given explicitly), and a
+    # bounded boundary table in any case
+    if not explicit_k:
+        k = min(k, max(2, -(-biggest // ROWS_PER_BUCKET)))
+    k = min(k, max(2, MAX_BOUND_VALUES // max(1, len(sizes))))
     if k <= 1:
         return df.withColumn(_BK, F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
     probs = [i / k for i in range(1, k)]
@@ -82,7 +93,8 @@ def rank_in_groups(df: DataFrame, group_cols: list[str], value_col: str, descend
     Group keys must not be NULL."""
     vorder = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_last()
     k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, descending, k, max_groups, small_group_rows)
+    b = _bucketize(df, group_cols, value_col, descending, k, max_groups, small_group_rows,
+                   explicit_k=num_buckets is not None)
     if b is None:
         w = Window.partitionBy(*group_cols).orderBy(vorder)
         out = df.withColumn(rank_col, F.rank().over(w).cast("bigint"))
@@ -106,7 +118,8 @@ def running_counts(df: DataFrame, group_cols: list[str], value_col: str, weight_
     value, add ``__cum`` = total weight of values <= this one and ``__n`` =
     group total (ascending order)."""
     k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, False, k, max_groups, small_group_rows)
+    b = _bucketize(df, group_cols, value_col, False, k, max_groups, small_group_rows,
+                   explicit_k=num_buckets is not None)
     if b is None:
         w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*group_cols, value_col, weight_col, F.sum(weight_col).over(w).alias("__cum"),

@@ -31,8 +31,9 @@ def test_percentiles_partition_independent(spark):
     for parts in (1, 8):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         a = sorted(tuple(r) for r in nearest_rank_percentiles(df, ["g"], "v", {"p": .25, "q": .75},
-                                                               small_group_rows=0).collect())
-        b = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}, small_group_rows=0).collect())
+                                                               num_buckets=5, small_group_rows=0).collect())
+        b = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}, num_buckets=7,
+                                                     small_group_rows=0).collect())
         c = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}).collect())
         assert b == c
         results.append((a, b))
@@ -50,3 +51,13 @@ def test_percentiles_partition_independent(spark):
         pos = (len(s) - 1) * .5
         lo, hi = s[int(pos)], s[min(int(pos) + 1, len(s) - 1)]
         assert abs(m - (lo + (pos - int(pos)) * (hi - lo))) < 1e-9
+
+
+def test_bucket_path_plan(spark):
+    """With large groups the row-level rank window is partitioned by (group,
+    bucket); only the tiny offsets table has windows by group alone."""
+    df = _data(spark)
+    out = rank_in_groups(df, ["g"], "v", num_buckets=4, small_group_rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rank_windows = [line for line in plan.split("\n") if "Window [rank(" in line]
+    assert rank_windows and all("__bucket" in line.split("]")[-3] for line in rank_windows)
