@@ -52,3 +52,15 @@ def test_engaged_users(spark):
     r = ev.engaged_users(_ev(spark, rows), AS_OF).first()
     assert r.engagementScore == 0.6 and r.potentialValue == "Medium" and r.potentialArpu == 80 * 250
     assert r.metrics.daysSinceLastActive == 9.0
+
+
+def test_retention_mature_only(spark):
+    def act(uid, *days):
+        return [(uid * 100 + k, uid, uid, "feature_use", "f", "pro", dt.datetime(2024, 1, d, 12), (1.0,))
+                for k, d in enumerate(days)]
+    # user 1: d0 = Jan 10, back on Jan 12 (mature cohort); user 2: d0 = Jan 28 (horizon ends after as_of)
+    days = ev.active_days(_ev(spark, act(1, 10, 12) + act(2, 28)), AS_OF, 60, ("feature_use",))
+    allc = ev.retention(days, AS_OF).first()
+    mature = ev.retention(days, AS_OF, mature_only=True).first()
+    assert (allc.cohort_users, allc.retained_users, allc.retention) == (2, 1, 0.5)
+    assert (mature.cohort_users, mature.retained_users, mature.retention) == (1, 1, 1.0)
