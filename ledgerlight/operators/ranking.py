@@ -23,6 +23,8 @@ plain window is used as well, since one task per group is then cheap.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +68,35 @@ def _bucketize(df: DataFrame, group_cols: list[str], value_col: str, descending:
     if len(rows) > max_groups:
         return None
     small = df.sparkSession.createDataFrame(rows, bounds.schema)
+    # bucket = boundaries on the better side of the value, by binary search
+    # over the sorted boundaries (log2(k) steps per row, not k comparisons)
+    x = v.cast("double")
     if descending:
-        bk = F.size(F.filter("__b", lambda b: b > v.cast("double")))
+        bk = F.size("__b") - _search(F.col("__b"), x, k, inclusive=True)
     else:
-        bk = F.size(F.filter("__b", lambda b: b < v.cast("double")))
+        bk = _search(F.col("__b"), x, k, inclusive=False)
     out = df.join(F.broadcast(small), group_cols, "left")
     return out.withColumn(_BK, F.when(v.isNull(), F.lit(k)).otherwise(F.coalesce(bk, F.lit(0)))).drop("__b")
 
 
+def _search(bounds: Column, x: Column, k: int, inclusive: bool) -> Column:
+    """Number of elements of the ascending array ``bounds`` that are < x
+    (or <= x when ``inclusive``): a fixed-step binary search."""
+    steps = max(1, math.ceil(math.log2(max(k, 2)))) + 1
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / F.lit(2)).cast("int")
+        b = F.try_element_at(bounds, mid + F.lit(1))
+        right = (b <= x) if inclusive else (b < x)
+        moved = F.when(right, F.struct((mid + F.lit(1)).alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def _offsets(bucketed: DataFrame, group_cols: list[str], weight: Column) -> DataFrame:
     counts = bucketed.groupBy(*group_cols, _BK).agg(F.sum(weight).alias("__n"))
     w_prev = Window.partitionBy(*group_cols).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)

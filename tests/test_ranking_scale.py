@@ -61,3 +61,19 @@ def test_bucket_path_plan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     rank_windows = [line for line in plan.split("\n") if "Window [rank(" in line]
     assert rank_windows and all("__bucket" in line.split("]")[-3] for line in rank_windows)
+
+
+def test_binary_search_matches_bisect(spark):
+    import bisect
+    import random
+    from ledgerlight.operators.ranking import _search
+    rnd = random.Random(1)
+    rows = []
+    for _ in range(300):
+        b = sorted(float(rnd.randint(0, 20)) for _ in range(rnd.randint(0, 40)))
+        rows.append((b, float(rnd.randint(-2, 22))))
+    df = spark.createDataFrame(rows, "b array<double>, x double")
+    got = df.select("b", "x", _search(F.col("b"), F.col("x"), 64, False).alias("lt"),
+                    _search(F.col("b"), F.col("x"), 64, True).alias("le")).collect()
+    for r in got:
+        assert r.lt == bisect.bisect_left(r.b, r.x) and r.le == bisect.bisect_right(r.b, r.x)
