@@ -14,11 +14,11 @@ operators spread the ordering over many tasks instead:
 3. A window over (group, bucket) finishes the rank inside the bucket; these
    windows hold about ``1/k`` of a group each.
 
-Both small tables are broadcast after their size is checked against
-``max_groups``; with more groups than that, a plain window is used, since
-many groups already spread over many tasks. A first cheap pass counts the
-rows per group: when every group is proven small (``small_group_rows``), a
-plain window is used as well, since one task per group is then cheap.
+A first cheap pass counts the rows per group. Groups proven small
+(``small_group_rows``) keep a single bucket: one task per small group is
+cheap. Only the large groups get value boundaries; their keys and
+boundaries are small, size-checked tables that are broadcast. When no group
+is large, a plain window is used.
 """
 
 from __future__ import annotations
@@ -47,26 +47,31 @@ def _bucketize(df: DataFrame, group_cols: list[str], value_col: str, descending:
                max_groups: int, small_group_rows: int = SMALL_GROUP_ROWS,
                explicit_k: bool = False) -> DataFrame | None:
     """Add ``__bucket`` (0 = best values first), or None when a plain window
-    is the better plan: more than ``max_groups`` groups, or every group has
-    at most ``small_group_rows`` rows (counted first, a cheap aggregate)."""
+    is the better plan because every group has at most ``small_group_rows``
+    rows (counted first, a cheap aggregate).
+
+    Only the large groups are bucketed: their keys (at most ``max_groups``)
+    and value boundaries are small tables; rows of small groups keep one
+    bucket, which is cheap because those groups are small.
+    """
     v = F.col(value_col)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n")).limit(max_groups + 1).collect()
-    biggest = max((r["__n"] for r in sizes), default=0)
-    if len(sizes) > max_groups or biggest <= small_group_rows:
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    cap = min(max_groups, MAX_BOUND_VALUES // 2)
+    large = sizes.where(F.col("__n") > small_group_rows).limit(cap + 1).collect()
+    if not large or len(large) > cap:
         return None
+    biggest = max(r["__n"] for r in large)
     # about ROWS_PER_BUCKET rows per bucket (unless given explicitly), and a
     # bounded boundary table in any case
     if not explicit_k:
         k = min(k, max(2, -(-biggest // ROWS_PER_BUCKET)))
-    k = min(k, max(2, MAX_BOUND_VALUES // max(1, len(sizes))))
-    if k <= 1:
-        return df.withColumn(_BK, F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
+    k = max(2, min(k, MAX_BOUND_VALUES // len(large)))
+    keys = df.sparkSession.createDataFrame([[r[g] for g in group_cols] for r in large],
+                                           sizes.select(*group_cols).schema)
     probs = [i / k for i in range(1, k)]
-    bounds = df.where(v.isNotNull()).groupBy(*group_cols).agg(
-        F.percentile_approx(v.cast("double"), probs, 10_000).alias("__b"))
-    rows = bounds.limit(max_groups + 1).collect()  # bounded: groups x (k - 1) doubles
-    if len(rows) > max_groups:
-        return None
+    bounds = df.join(F.broadcast(keys), group_cols, "left_semi").where(v.isNotNull()) \
+        .groupBy(*group_cols).agg(F.percentile_approx(v.cast("double"), probs, 10_000).alias("__b"))
+    rows = bounds.collect()  # bounded: large groups x (k - 1) doubles
     small = df.sparkSession.createDataFrame(rows, bounds.schema)
     # bucket = boundaries on the better side of the value, by binary search
     # over the sorted boundaries (log2(k) steps per row, not k comparisons)
@@ -126,7 +131,10 @@ def rank_in_groups(df: DataFrame, group_cols: list[str], value_col: str, descend
         return out
     offsets = _offsets(b, group_cols, F.lit(1))  # groups x k rows
     local = b.withColumn("__lrank", F.rank().over(Window.partitionBy(*group_cols, _BK).orderBy(vorder)))
-    out = local.join(F.broadcast(offsets), [*group_cols, _BK])
+    # not forced to broadcast: with many groups the offsets table is not tiny;
+    # the local window already partitions rows by (group, bucket), so a
+    # shuffle join only moves the offsets (AQE broadcasts them when small)
+    out = local.join(offsets, [*group_cols, _BK])
     out = out.withColumn(rank_col, (F.col("__off") + F.col("__lrank")).cast("bigint"))
     if pct_col:
         out = out.withColumn(pct_col, F.when(F.col("__total") <= 1, F.lit(0.0)).otherwise(
@@ -150,7 +158,7 @@ def running_counts(df: DataFrame, group_cols: list[str], value_col: str, weight_
     offsets = _offsets(b, group_cols, F.col(weight_col))
     w = Window.partitionBy(*group_cols, _BK).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("__lcum", F.sum(weight_col).over(w))
-    out = local.join(F.broadcast(offsets), [*group_cols, _BK])
+    out = local.join(offsets, [*group_cols, _BK])
     return out.select(*group_cols, value_col, weight_col,
                       (F.col("__off") + F.col("__lcum")).alias("__cum"),
                       F.col("__total").alias("__n"))

@@ -77,3 +77,21 @@ def test_binary_search_matches_bisect(spark):
                     _search(F.col("b"), F.col("x"), 64, True).alias("le")).collect()
     for r in got:
         assert r.lt == bisect.bisect_left(r.b, r.x) and r.le == bisect.bisect_right(r.b, r.x)
+
+
+def test_hot_group_among_many_small(spark):
+    """One group holds most rows, hundreds of tiny groups hold the rest: only
+    the hot group is bucketed, and the ranks still equal the plain window."""
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 400).cast("string")))
+        .alias("g"),
+        (F.col("id") * 7919 % 1013).cast("double").alias("v"))
+    w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+    want = {(r.g, r.v, r.rk) for r in df.select("g", "v", F.rank().over(w).alias("rk")).collect()}
+    out = rank_in_groups(df, ["g"], "v", num_buckets=6, small_group_rows=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket" in plan
+    assert {(r.g, r.v, r.rank) for r in out.collect()} == want
+    q_small = exact_quantiles(df, ["g"], "v", {"m": .5}, num_buckets=6, small_group_rows=1000)
+    q_plain = exact_quantiles(df, ["g"], "v", {"m": .5})
+    assert sorted(map(tuple, q_small.collect())) == sorted(map(tuple, q_plain.collect()))
