@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import ascii_lower, scratch_path, text_or_empty
+from ledgerlight.llm.common import ascii_lower, scratch_path, stored, text_or_empty
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -40,8 +40,10 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (doc_id, digest) that the index lacks."""
-        groups = batch.groupBy("digest").agg(
-            F.max("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # a table of its own: else the optimiser moves the anti-join below the
+        # aggregate, and every copy is shuffled by its digest
+        groups = stored(batch.groupBy("digest").agg(
+            F.max("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
         known = self.spark.table(self.table).select("digest")
         new = groups.join(known.hint("merge"), "digest", "left_anti")
         new.write.format("parquet").mode("append").bucketBy(self.buckets, "digest") \
@@ -62,7 +64,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     index = index or DigestIndex(spark)
     batch = digests(docs)
     index.add(batch)
-    return batch.join(index.rows(), "digest").select(
+    return batch.join(index.rows().hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"))
