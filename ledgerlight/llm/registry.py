@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import exact_dedup
+from ledgerlight.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op10_simhash": simhash.query,
 }
 
 ORACLE = {
