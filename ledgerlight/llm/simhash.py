@@ -182,7 +182,8 @@ def close_links(fps: DataFrame, distance: int) -> DataFrame:
         .select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("meet"))
     low = near.groupBy("meet").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("meet", "low")
-    return near.join(low, "meet").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    # the planner does not see how many rows the explode makes: never broadcast
+    return near.join(low.hint("merge"), "meet").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
 def search_links(fps: DataFrame, plan: list[tuple[list[int], int]], distance: int) -> DataFrame:
@@ -202,7 +203,7 @@ def search_links(fps: DataFrame, plan: list[tuple[list[int], int]], distance: in
     right = fps.select(F.col("fp").alias("b"), F.col("part").alias("part_b"), F.explode(F.array(*index)).alias("k")) \
         .select("b", "part_b", "k.g", "k.v")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, (left.g == right.g) & (left.v == right.v) & (F.col("part_a") < F.col("part_b")) & near) \
+    return left.join(right.hint("merge"), (left.g == right.g) & (left.v == right.v) & (F.col("part_a") < F.col("part_b")) & near) \
         .select("part_a", "part_b").distinct()
 
 
