@@ -19,33 +19,28 @@ import pyarrow as pa
 
 END_ID = 2
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
-_PIECES = {
-    # white space is dropped: pieces are what stands between spaces and newlines
-    WORD: re.compile(r"[^ \n]+"),
-    # a piece is a run of spaces and newlines with the non-space run after it
-    BYTE: re.compile(r"[ \n]*[^ \n]+|[ \n]+"),
-}
+# byte level: a piece is a run of spaces and newlines with what follows it
+_RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # white space other than space and newline: such texts are encoded whole
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
 _MARK = "\x01"
 _LONG = 64
 _LOADED: dict[str, "Encoder"] = {}
 
 
-def tokenizer_path(name: str) -> str:
-    """Where the installed vocabulary file lies (on every executor)."""
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 class Encoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Pieces are known by a key: for the word vocabulary the word itself; for
+    the byte-level one the word without its single leading space, or the piece
+    as it is where it starts with other white space, or "\\r" and the word at
+    the start of a text."""
 
     def __init__(self, name: str, path: str | None = None, max_pieces: int = 600_000):
         from tokenizers import Tokenizer
         self.name, self.max_pieces = name, max_pieces
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path(name))
-        self.find = _PIECES[name].findall
+        self.cut = {WORD: self._cut_words, BYTE: self._cut_bytes}[name]
         self.seen: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
@@ -56,6 +51,25 @@ class Encoder:
         else:
             self.mark = self._whole(_MARK)[0]
 
+    def _cut_words(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def _cut_bytes(self, text: str) -> list[str]:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in ("", " ", "\n") or text[0] in " \n":
+            runs = _RUNS.findall(text)
+            keys = [r[1:] if r[0] == " " and r[1:2].strip(" \n") else r for r in runs]
+            if runs and runs[0][0] not in " \n":
+                keys[0] = "\r" + runs[0]
+            return keys
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\r" + keys[0]
+        return keys
+
+    def _piece(self, key: str) -> str:
+        if self.name == WORD or key[0] in " \n":
+            return key
+        return key[1:] if key[0] == "\r" else " " + key
+
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -81,27 +95,44 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object per text, without special or end ids."""
-        seen = self.seen
-        if len(seen) > self.max_pieces:
-            seen.clear()
-        cut = [None if _OTHER_SPACE.search(t) or _MARK in t or "<|" in t else self.find(t) for t in texts]
-        unseen = {p for pieces in cut if pieces for p in pieces if p not in seen}
-        # the byte-level joiner needs every piece but a text's first to start with white space
-        plain = [p for p in unseen if len(p) <= _LONG and (self.name == WORD or (p[0] in " \n" and p[-1] not in " \n"))]
-        once = {}
+        if len(self.seen) > self.max_pieces:
+            self.seen.clear()
+        everything = "\n".join(texts)
+        odd = [c for c in (*_OTHER_SPACE, _MARK, "<|") if c in everything]
+        cut = [None if odd and any(c in t for c in odd) else self.cut(t) for t in texts]
+        self.seen[""] = b""
+        unseen = set().union(*filter(None, cut)).difference(self.seen)
+        pieces = {k: self._piece(k) for k in unseen}
+        # joined byte-level pieces must each start with white space and end with none
+        plain = [k for k, p in pieces.items() if len(p) <= _LONG and (
+            self.name == WORD or (p[0] in " \n" and p[-1] not in " \n"))]
         if plain:
-            seen.update(zip(plain, self._many(plain)))
-        for p in unseen.difference(plain):
-            (once if len(p) > _LONG else seen)[p] = self._bytes(p)
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self._bytes(text))
-            elif once:
-                out.append(b"".join([once[p] if p in once else seen[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(seen.__getitem__, pieces)))
-        return out
+            self.seen.update(zip(plain, self._many([pieces[k] for k in plain])))
+        known = self.seen
+        longer = {}
+        for k in unseen.difference(plain):
+            (longer if len(pieces[k]) > _LONG else known)[k] = self._bytes(pieces[k])
+        if longer:
+            known = Both(known, longer)
+        return [self._bytes(t) if keys is None else b"".join([known[k] for k in keys] if longer else map(known.__getitem__, keys))
+                for t, keys in zip(texts, cut)]
+
+
+class Both(dict):
+    """The remembered pieces, with the long pieces of one batch beside them."""
+
+    def __init__(self, seen: dict, longer: dict):
+        super().__init__(longer)
+        self.seen = seen
+
+    def __missing__(self, key: str):
+        return self.seen[key]
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file lies (on every executor)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def encoder(name: str, path: str | None = None) -> Encoder:
