@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import exact_dedup, packing, sentencepiece_bpe, sharding, simhash, token_shards
+from ledgerlight.llm import exact_dedup, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_quality": quality.query,
     "op4_sentencepiece": sentencepiece_bpe.query,
     "op7_sharding": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
