@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import exact_dedup, html_text, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
+from ledgerlight.llm import exact_dedup, html_text, neighbours, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_quality": quality.query,
     "op4_sentencepiece": sentencepiece_bpe.query,
+    "op5_neighbours": neighbours.query,
     "op6_html_text": html_text.query,
     "op7_sharding": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
