@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import exact_dedup, html_text, neighbours, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
+from ledgerlight.llm import exact_dedup, html_text, line_dedup, neighbours, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_packing": packing.query,
     "op3_quality": quality.query,
     "op4_sentencepiece": sentencepiece_bpe.query,
