@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.llm.common import text_or_empty
 
@@ -207,24 +208,23 @@ def _score_batches(model):
             ratio, w, a, b = (x.astype(np.float64) if isinstance(x, np.ndarray) else x for x in model.value)
         for batch in batches:
             if model:
-                f = np.array([margin(features(t.as_py()), ratio, w) for t in batch.column(batch.num_columns - 1)])
+                f = np.array([margin(features(t.as_py() or ""), ratio, w) for t in batch.column(0).field("text")])
                 score = 1 / (1 + np.exp(-np.clip(a * f + b, -500, 500)))
             else:
                 score = np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["row", "score"])
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1, higher: quality 1 likelier), one
-    row per input row."""
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(row, score), one per input row: the row as a struct of all its columns,
+    and its score (0 to 1, higher: quality 1 likelier)."""
     spark = docs.sparkSession
     model = train(docs, labels, max_rows)
     model = spark.sparkContext.broadcast(model) if model else None    # 2 x 2^BITS floats
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes) + ", score double"
-    rows = docs.select(*keep, text_or_empty().alias("text to score"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`")
+                                  for c in docs.columns]).alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_score_batches(model), schema)
 
 
@@ -234,7 +234,7 @@ def predicted(score_column: str = "score") -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: a quality score for every whole text of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("row.doc_id", "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          predicted().alias("predicted"))

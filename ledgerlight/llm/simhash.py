@@ -69,14 +69,15 @@ def _fingerprints(shingle: int):
         for b in batches:
             found = [fingerprint(x.as_py(), shingle) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(found, "<u8").view("<i8"))], ["doc_id", "fp"])
+                [b.column(0), pa.array(np.array(found, "<u8").view("<i8")), b.column(2)], ["doc_id", "fp", "text_hash"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(
-        _fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, fp, text_hash): the fingerprint as a signed long, one row per
+    input row."""
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h")) \
+        .mapInArrow(_fingerprints(shingle), "doc_id long, fp long, text_hash long")
 
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def search_links(fps: DataFrame, plan: list[tuple[list[int], int]], distance: in
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: doc_id, fp (signed long), component_id."""
+    """One row per input row: doc_id, fp (signed long), component_id, text_hash."""
     marked = stored(fingerprints(docs, shingle), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")
     near = components(close_links(fps, distance)).withColumnsRenamed({"node": "fp", "component": "part"})
@@ -222,8 +223,24 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
         parts = parts.join(whole, "part", "left").select("fp", F.coalesce("whole", "part").alias("part"), "first")
         parts = stored(parts, "parts")
     ids = parts.groupBy("part").agg(F.min("first").alias("component_id"))
-    labels = stored(parts.join(ids, "part").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = stored(parts.join(ids, "part").select("fp", "part", "component_id"), "labels")
+    return marked.join(labels, "fp").select("doc_id", "fp", "component_id", "text_hash", "part")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the document with the
+    smallest doc_id (then text hash; a null doc_id comes last). Rows repeated
+    as they are stay once. All columns are kept."""
+    last = (1 << 63) - 1
+    groups = simhash_groups(docs, shingle, distance)
+    # the smallest (doc_id, text hash) of a group in two steps of plain minima
+    ids = stored(groups.select("part", F.coalesce("doc_id", F.lit(last)).alias("_d"), "text_hash"), "groups")
+    low = ids.groupBy("part", "_d").agg(F.min("text_hash").alias("_t"))
+    first = low.groupBy("part").agg(F.min("_d").alias("_d"), F.min_by("_t", "_d").alias("_t"))
+    first = stored(first.select("_d", "_t"), "first")
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_d"),
+                       F.xxhash64(text_or_empty()).alias("_t"))
+    return rows.join(first.hint("merge"), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
