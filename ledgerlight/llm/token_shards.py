@@ -53,8 +53,7 @@ def frequent_pairs(sym: np.ndarray, last: np.ndarray, most: int, least: int) ->
 
 def replace_pairs(sym: np.ndarray, last: np.ndarray, keys: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Replace occurrences of pair ``keys[k]`` by symbol base + k. Where
-    occurrences overlap, the more frequent pair goes first, then the left one;
-    what is left over stays for the next round."""
+    occurrences overlap, the more frequent pair goes first, then the left one."""
     starts, ends = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
     starts[keys >> 16], ends[keys & 0xFFFF] = True, True
     order = np.argsort(keys)
@@ -62,12 +61,25 @@ def replace_pairs(sym: np.ndarray, last: np.ndarray, keys: np.ndarray, base: int
     key = sym[at].astype(np.uint32) << 16 | sym[at + 1]
     found = np.minimum(np.searchsorted(keys, key, sorter=order), len(keys) - 1)
     hit = keys[order[found]] == key
-    rank = np.full(len(sym) + 1, len(keys), np.int64)      # rank[-1] stands before the first
-    rank[at[hit]] = order[found[hit]]
-    chosen = (rank[:-1] < len(keys)) & (rank[:-1] < np.concatenate(([len(keys)], rank[:-2]))) & (rank[:-1] <= rank[1:])
-    where = np.flatnonzero(chosen)
+    at, rank = at[hit], order[found[hit]]
+    won_at, won_rank = [], []
+    while len(at):
+        # an occurrence is taken when no overlapping one goes before it; what
+        # overlaps a taken one is out, and the rest is looked at again
+        near = np.diff(at) == 1
+        left = np.concatenate(([True], ~near | (rank[1:] < rank[:-1])))
+        right = np.concatenate((~near | (rank[:-1] <= rank[1:]), [True]))
+        taken = left & right
+        won_at.append(at[taken])
+        won_rank.append(rank[taken])
+        out = taken.copy()
+        out[1:] |= taken[:-1] & near
+        out[:-1] |= taken[1:] & near
+        at, rank = at[~out], rank[~out]
+    where = np.concatenate([*won_at, np.zeros(0, np.int64)]).astype(np.int64)
+    rank = np.concatenate([*won_rank, np.zeros(0, np.int64)])
     sym, last = sym.copy(), last.copy()
-    sym[where] = base + rank[where]
+    sym[where] = base + rank
     last[where] = last[where + 1]
     stay = np.ones(len(sym), bool)
     stay[where + 1] = False
