@@ -1,214 +1,114 @@
-"""Rank, running counts and nearest-rank percentiles inside a few huge groups.
-
-A window ``PARTITION BY tier ORDER BY value`` puts every row of a tier on a
-single task; with three tiers that is three tasks for the whole table. These
-operators spread the ordering over many tasks instead:
-
-1. Per group, approximate quantiles of the value give ``k - 1`` boundaries
-   (one small row per group). A row's bucket is the number of boundaries on
-   its better side, a deterministic function of (group, value): equal values
-   share a bucket, buckets are ordered, and a recomputed task after an
-   executor loss lands every row in the same bucket again.
-2. Per-(group, bucket) counts form a tiny table; a window over it gives each
-   bucket its offset, i.e. the rows with a strictly better value.
-3. A window over (group, bucket) finishes the rank inside the bucket; these
-   windows hold about ``1/k`` of a group each.
-
-A first cheap pass counts the rows per group. Groups proven small
-(``small_group_rows``) keep a single bucket: one task per small group is
-cheap. Only the large groups get value boundaries; their keys and
-boundaries are small, size-checked tables that are broadcast. When no group
-is large, a plain window is used.
+"""Rank, running counts and quantiles inside groups of any size.
+
+A window ``PARTITION BY tier ORDER BY value`` puts every row of a tier on one
+task; with three tiers that is three tasks for the whole table. Here one path
+serves every size:
+
+1. Rows become distinct (group, value) pairs with a count, combined before the
+   shuffle. A value that most rows share is one pair, so ties never pile up.
+2. The pairs are range-partitioned by (group, value) and written once, with
+   the number of their partition. Partitions are of even size whatever the
+   sizes of the groups are.
+3. A running count inside each (group, partition), plus the group's counts in
+   the partitions before it (one number per group and partition), is the
+   running count inside the group.
+
+Nothing is collected and no size decides on the plan. Ranks go back to the rows
+by an equi-join on (group, value), where a hot value is split by the skew join.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BK = "__bucket"
-DEFAULT_MAX_GROUPS = 10_000
-SMALL_GROUP_ROWS = 1_000_000
-ROWS_PER_BUCKET = 1_000_000     # target bucket size
-MAX_BOUND_VALUES = 1_000_000    # cap on groups x boundaries brought to the driver
-
-
-def _buckets(df: DataFrame, num_buckets: int | None) -> int:
-    """Upper bound on the bucket count: the explicit value, else the shuffle
-    partition count (the actual count is sized from the data, see below)."""
-    if num_buckets:
-        return max(1, num_buckets)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def _bucketize(df: DataFrame, group_cols: list[str], value_col: str, descending: bool, k: int,
-               max_groups: int, small_group_rows: int = SMALL_GROUP_ROWS,
-               explicit_k: bool = False) -> DataFrame | None:
-    """Add ``__bucket`` (0 = best values first), or None when a plain window
-    is the better plan because every group has at most ``small_group_rows``
-    rows (counted first, a cheap aggregate).
-
-    Only the large groups are bucketed: their keys (at most ``max_groups``)
-    and value boundaries are small tables; rows of small groups keep one
-    bucket, which is cheap because those groups are small.
-    """
-    v = F.col(value_col)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    cap = min(max_groups, MAX_BOUND_VALUES // 2)
-    large = sizes.where(F.col("__n") > small_group_rows).limit(cap + 1).collect()
-    if not large or len(large) > cap:
-        return None
-    biggest = max(r["__n"] for r in large)
-    # about ROWS_PER_BUCKET rows per bucket (unless given explicitly), and a
-    # bounded boundary table in any case
-    if not explicit_k:
-        k = min(k, max(2, -(-biggest // ROWS_PER_BUCKET)))
-    k = max(2, min(k, MAX_BOUND_VALUES // len(large)))
-    keys = df.sparkSession.createDataFrame([[r[g] for g in group_cols] for r in large],
-                                           sizes.select(*group_cols).schema)
-    probs = [i / k for i in range(1, k)]
-    bounds = df.join(F.broadcast(keys), group_cols, "left_semi").where(v.isNotNull()) \
-        .groupBy(*group_cols).agg(F.percentile_approx(v.cast("double"), probs, 10_000).alias("__b"))
-    rows = bounds.collect()  # bounded: large groups x (k - 1) doubles
-    small = df.sparkSession.createDataFrame(rows, bounds.schema)
-    # bucket = boundaries on the better side of the value, by binary search
-    # over the sorted boundaries (log2(k) steps per row, not k comparisons)
-    x = v.cast("double")
-    if descending:
-        bk = F.size("__b") - _search(F.col("__b"), x, k, inclusive=True)
-    else:
-        bk = _search(F.col("__b"), x, k, inclusive=False)
-    out = df.join(F.broadcast(small), group_cols, "left")
-    return out.withColumn(_BK, F.when(v.isNull(), F.lit(k)).otherwise(F.coalesce(bk, F.lit(0)))).drop("__b")
-
-
-def _search(bounds: Column, x: Column, k: int, inclusive: bool) -> Column:
-    """Number of elements of the ascending array ``bounds`` that are < x
-    (or <= x when ``inclusive``): a fixed-step binary search."""
-    steps = max(1, math.ceil(math.log2(max(k, 2)))) + 1
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / F.lit(2)).cast("int")
-        b = F.try_element_at(bounds, mid + F.lit(1))
-        right = (b <= x) if inclusive else (b < x)
-        moved = F.when(right, F.struct((mid + F.lit(1)).alias("lo"), hi.alias("hi"))) \
-            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(lo < hi, moved).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-def _offsets(bucketed: DataFrame, group_cols: list[str], weight: Column) -> DataFrame:
-    counts = bucketed.groupBy(*group_cols, _BK).agg(F.sum(weight).alias("__n"))
-    w_prev = Window.partitionBy(*group_cols).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *group_cols, _BK,
-        F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
-        F.sum("__n").over(Window.partitionBy(*group_cols)).alias("__total"),
-    )
+from ledgerlight.session import materialize
+
+_PART = "__part"
+
+
+def _order(value_col: str, descending: bool) -> Column:
+    return F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_last()
+
+
+def running_counts(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = False,
+                   partitions: int | None = None) -> DataFrame:
+    """One row per distinct (group, value): ``__c`` its rows, ``__cum`` the
+    rows of the group up to and including it in the given order (NULL last),
+    ``__n`` the rows of the group."""
+    pairs = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    keys = [F.col(g) for g in group_cols] + [_order(value_col, descending)]
+    dealt = pairs.repartitionByRange(partitions, *keys) if partitions else pairs.repartitionByRange(*keys)
+    dealt = materialize(dealt.withColumn(_PART, F.spark_partition_id()))
+    sums = dealt.groupBy(*group_cols, _PART).agg(F.sum("__c").alias("__s"))
+    by_part = Window.partitionBy(*group_cols).orderBy(_PART)
+    offsets = sums.select(
+        *[F.col(g).alias(f"__k{i}") for i, g in enumerate(group_cols)], F.col(_PART).alias("__p"),
+        F.coalesce(F.sum("__s").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__s").over(Window.partitionBy(*group_cols)).alias("__n"))
+    inside = Window.partitionBy(*group_cols, _PART).orderBy(_order(value_col, descending)) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("__l", F.sum("__c").over(inside))
+    same = F.col(_PART) == F.col("__p")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(offsets, same).select(
+        *group_cols, value_col, "__c", (F.col("__off") + F.col("__l")).alias("__cum"), "__n")
 
 
 def rank_in_groups(df: DataFrame, group_cols: list[str], value_col: str, descending: bool = True,
                    rank_col: str = "rank", pct_col: str | None = "percent_rank",
-                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS,
-                   small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """Add SQL ``RANK()`` and ``PERCENT_RANK()`` over
-    ``PARTITION BY group_cols ORDER BY value_col [DESC]``; NULLs order last.
-    Group keys must not be NULL."""
-    vorder = F.col(value_col).desc_nulls_last() if descending else F.col(value_col).asc_nulls_last()
-    k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, descending, k, max_groups, small_group_rows,
-                   explicit_k=num_buckets is not None)
-    if b is None:
-        w = Window.partitionBy(*group_cols).orderBy(vorder)
-        out = df.withColumn(rank_col, F.rank().over(w).cast("bigint"))
-        if pct_col:
-            out = out.withColumn(pct_col, F.percent_rank().over(w))
-        return out
-    offsets = _offsets(b, group_cols, F.lit(1))  # groups x k rows
-    local = b.withColumn("__lrank", F.rank().over(Window.partitionBy(*group_cols, _BK).orderBy(vorder)))
-    # not forced to broadcast: with many groups the offsets table is not tiny;
-    # the local window already partitions rows by (group, bucket), so a
-    # shuffle join only moves the offsets (AQE broadcasts them when small)
-    out = local.join(offsets, [*group_cols, _BK])
-    out = out.withColumn(rank_col, (F.col("__off") + F.col("__lrank")).cast("bigint"))
+    ``PARTITION BY group_cols ORDER BY value_col [DESC]``; NULLs order last,
+    a NULL group is a group."""
+    cum = running_counts(df, group_cols, value_col, descending, partitions)
+    keys = [*group_cols, value_col]
+    ranks = cum.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)],
+                       (F.col("__cum") - F.col("__c") + 1).cast("bigint").alias(rank_col), "__n")
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    out = df.join(ranks, same)
     if pct_col:
-        out = out.withColumn(pct_col, F.when(F.col("__total") <= 1, F.lit(0.0)).otherwise(
-            (F.col(rank_col) - 1).cast("double") / (F.col("__total") - 1).cast("double")))
-    return out.drop(_BK, "__lrank", "__off", "__total")
-
-
-def running_counts(df: DataFrame, group_cols: list[str], value_col: str, weight_col: str,
-                   num_buckets: int | None = None, max_groups: int = DEFAULT_MAX_GROUPS,
-                   small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
-    """For rows (group, value, weight) with one row per distinct non-NULL
-    value, add ``__cum`` = total weight of values <= this one and ``__n`` =
-    group total (ascending order)."""
-    k = _buckets(df, num_buckets)
-    b = _bucketize(df, group_cols, value_col, False, k, max_groups, small_group_rows,
-                   explicit_k=num_buckets is not None)
-    if b is None:
-        w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*group_cols, value_col, weight_col, F.sum(weight_col).over(w).alias("__cum"),
-                         F.sum(weight_col).over(Window.partitionBy(*group_cols)).alias("__n"))
-    offsets = _offsets(b, group_cols, F.col(weight_col))
-    w = Window.partitionBy(*group_cols, _BK).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("__lcum", F.sum(weight_col).over(w))
-    out = local.join(offsets, [*group_cols, _BK])
-    return out.select(*group_cols, value_col, weight_col,
-                      (F.col("__off") + F.col("__lcum")).alias("__cum"),
-                      F.col("__total").alias("__n"))
+        out = out.withColumn(pct_col, F.when(F.col("__n") <= 1, F.lit(0.0)).otherwise(
+            (F.col(rank_col) - 1).cast("double") / (F.col("__n") - 1).cast("double")))
+    return out.drop("__n", *[f"__k{i}" for i in range(len(keys))])
+
+
+def _at(index: Column, value_col: str) -> Column:
+    """The value whose run of equal rows [cum - c, cum) holds ``index``."""
+    hit = (F.col("__cum") - F.col("__c") <= index) & (index < F.col("__cum"))
+    return F.min(F.when(hit, F.col(value_col)))
 
 
 def nearest_rank_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
-                             probs: dict[str, float], num_buckets: int | None = None,
-                             small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                             probs: dict[str, float], partitions: int | None = None) -> DataFrame:
     """Per group, the element at 0-based index ``floor(n * p)`` of the values
-    sorted ascending (sort-then-index percentile) for each named p.
-
-    Works on (group, value) counts, so ties shrink the data before the
-    ordering step; NULL values are ignored.
-    """
-    vc = df.where(F.col(value_col).isNotNull()) \
-        .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets, small_group_rows=small_group_rows)
-    aggs = []
-    for name, p in probs.items():
-        idx = F.floor(F.col("__n") * F.lit(p))
-        # the value whose cumulative range [cum - c, cum) contains idx
-        hit = (F.col("__cum") - F.col("__c") <= idx) & (idx < F.col("__cum"))
-        aggs.append(F.min(F.when(hit, F.col(value_col))).alias(name))
-    return cum.groupBy(*group_cols).agg(*aggs)
+    sorted ascending (sort-then-index percentile) for each named p. NULL
+    values are ignored."""
+    cum = running_counts(df.where(F.col(value_col).isNotNull()), group_cols, value_col, partitions=partitions)
+    return cum.groupBy(*group_cols).agg(
+        *[_at(F.floor(F.col("__n") * F.lit(p)), value_col).alias(name) for name, p in probs.items()])
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
-                    probs: dict[str, float], num_buckets: int | None = None,
-                    small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    probs: dict[str, float], partitions: int | None = None) -> DataFrame:
     """Per group, the linearly interpolated quantile (SQL ``percentile`` /
     ``quantile_cont``) for each named p, computed exactly from running counts
     instead of one in-memory value map per group. NULL values are ignored.
     With no group columns the whole frame is one group (one output row)."""
     if not group_cols:
-        one = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, probs, num_buckets,
-                              small_group_rows)
+        one = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, probs, partitions)
         return one.drop("__g")
-    vc = df.where(F.col(value_col).isNotNull()) \
-        .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_counts(vc, group_cols, value_col, "__c", num_buckets, small_group_rows=small_group_rows)
+    cum = running_counts(df.where(F.col(value_col).isNotNull()), group_cols, value_col, partitions=partitions)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("__n") - 1) * F.lit(p)
-        for tag, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("__cum") - F.col("__c") <= idx) & (idx < F.col("__cum"))
-            aggs.append(F.min(F.when(hit, F.col(value_col))).alias(f"__{name}_{tag}"))
-        aggs.append(F.first(pos - F.floor(pos)).alias(f"__{name}_frac"))
-    g = cum.groupBy(*group_cols).agg(*aggs)
+        aggs += [_at(F.floor(pos), value_col).alias(f"__{name}_lo"), _at(F.ceil(pos), value_col).alias(f"__{name}_hi"),
+                 F.first(pos - F.floor(pos)).alias(f"__{name}_frac")]
     outs = []
     for name in probs:
         lo, hi, fr = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), F.col(f"__{name}_frac")
         outs.append((lo.cast("double") + fr * (hi.cast("double") - lo.cast("double"))).alias(name))
-    return g.select(*group_cols, *outs)
+    return cum.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)

@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.plans.quality import EXPECTED_EVENTS, EXPECTED_TIERS
-from ledgerlight.session import bounded_broadcast
 from ledgerlight.sources.canonical import canonical_events, parse_event_time
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
 CRITICAL_FIELDS = ("user_id", "timestamp", "event_type")
 TEXT_FIELDS = ("user_id", "event_type", "feature_name")
-DEDUPE_KEY = ("user_id", "event_type", "timestamp")
+# different unreadable times are different events
+DEDUPE_KEY = ("user_id", "event_type", "timestamp", "timestamp_raw")
 
 
 # ---------------------------------------------------------------- events
@@ -38,13 +38,19 @@ def fill_tier(df: DataFrame, default: str = "unknown") -> DataFrame:
 
 
 def parse_timestamps(df: DataFrame, col: str = "timestamp") -> DataFrame:
-    """CL3: text timestamps to UTC. ``_ts_parsed`` marks text that parsed;
-    unparseable text becomes NULL and is kept (the reference warned and left
-    it)."""
+    """CL3: text timestamps to UTC. ``_ts_parsed`` marks text that parsed. Text
+    that does not parse is left, in ``timestamp_raw``, beside a NULL time
+    (NULL where the time parsed or there was none); see :func:`quarantine`."""
     if dict(df.dtypes)[col] != "string":
-        return df.withColumn("_ts_parsed", F.lit(False))
+        return df.withColumn("_ts_parsed", F.lit(False)).withColumn("timestamp_raw", F.lit(None).cast("string"))
     parsed = parse_event_time(col)
-    return df.withColumn("_ts_parsed", parsed.isNotNull()).withColumn(col, parsed)
+    return df.withColumn("_ts_parsed", parsed.isNotNull()) \
+        .withColumn("timestamp_raw", F.when(parsed.isNull(), F.col(col))).withColumn(col, parsed)
+
+
+def quarantine(clean: DataFrame) -> DataFrame:
+    """Cleaned events whose time could not be read, with the text as it came."""
+    return clean.where(F.col("timestamp_raw").isNotNull())
 
 
 def dedupe_exact(df: DataFrame, key: Sequence[str] = DEDUPE_KEY, order_col: str = "event_id") -> DataFrame:
@@ -172,15 +178,15 @@ def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tupl
     """CL10: coerce dates, drop end < start, fill NULL revenue with the tier
     mean, drop rows without customer_id or start_date. The mean is taken
     before the NULL-key drop (as the reference does), exactly over decimals
-    and rounded half-up to 6 dp; it is one row per tier, broadcast back."""
-    s = subs.withColumn("start_date", F.col("start_date").cast("date")) \
-        .withColumn("end_date", F.col("end_date").cast("date"))
+    and rounded half-up to 6 dp. Text that is no date becomes NULL."""
+    s = subs.withColumn("start_date", F.col("start_date").try_cast("date")) \
+        .withColumn("end_date", F.col("end_date").try_cast("date"))
     s = s.where(~F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False)))
     if "tier" not in s.columns:
-        s = s.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
+        s = s.join(plans.select("plan_id", "tier"), "plan_id", "left")
     rev = F.col("monthly_revenue").cast("decimal(18,2)")
     means = s.groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
-    s = s.join(F.broadcast(means), F.col("tier").eqNullSafe(F.col("__tier")), "left")
+    s = s.join(means, F.col("tier").eqNullSafe(F.col("__tier")), "left")
     s = s.withColumn("monthly_revenue", F.coalesce(rev.cast("decimal(24,6)"), F.col("__m"))).drop("__m", "__tier")
     out = s.dropna(subset=["customer_id", "start_date"])
     return out, _log("subscriptions", subs, out,
@@ -188,8 +194,10 @@ def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tupl
 
 
 def clean_tickets(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CL11: drop tickets without customer; resolution_time_hours."""
-    out = tickets.where(F.col("customer_id").isNotNull()).withColumn(
+    """CL11: drop tickets without customer; resolution_time_hours. Text that is
+    no time becomes NULL."""
+    times = {c: F.col(c).try_cast("timestamp_ntz") for c in ("created_at", "resolved_at")}
+    out = tickets.where(F.col("customer_id").isNotNull()).withColumns(times).withColumn(
         "resolution_time_hours",
         (F.unix_micros(F.col("resolved_at").cast("timestamp"))
          - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3.6e9))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p_col
 from ledgerlight.operators.ranking import exact_quantiles
 from ledgerlight.plans import cleaning
-from ledgerlight.session import bounded_broadcast, materialize
+from ledgerlight.session import materialize
 
 GRAIN_INVOICE, GRAIN_CUSTOMER = "invoice", "customer"
 
@@ -32,7 +32,7 @@ LTV_MONTHS = 12
 def subscription_extract(subscriptions: DataFrame, plans: DataFrame, billing: DataFrame) -> DataFrame:
     """MG1: subscriptions JOIN plans LEFT JOIN billing, invoice amount as
     monthly_revenue (one row per subscription x invoice)."""
-    p = bounded_broadcast(plans.select("plan_id", "plan_name", "tier"))
+    p = plans.select("plan_id", "plan_name", "tier")
     b = billing.select("subscription_id", "invoice_date", F.col("amount").alias("monthly_revenue"))
     s = subscriptions.select("subscription_id", "customer_id", "plan_id", "status", "start_date", "end_date")
     return s.join(p, "plan_id").join(b, "subscription_id", "left").select(
@@ -82,7 +82,7 @@ def merge(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, even
     """
     if grain == GRAIN_CUSTOMER:
         subs = _customer_grain(subs)
-    m = customers.join(subs.drop("email"), "customer_id", "left")
+    m = customers
     zero = []
     if tickets is not None:
         m = m.join(ticket_summary(tickets), "customer_id", "left")
@@ -103,7 +103,11 @@ def merge(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, even
     else:
         m = m.withColumn("total_sessions", F.lit(0).cast("bigint")) \
             .withColumn("avg_session_duration", F.lit(None).cast("double"))
-    return m.fillna(0, subset=zero)
+    # the invoices come last: their rows pass through one join only, which can
+    # split a customer that has very many of them
+    m = m.fillna(0, subset=zero).join(subs.drop("email"), "customer_id", "left")
+    rest = [c for c in m.columns if c not in customers.columns and c not in subs.columns]
+    return m.select(*customers.columns, *[c for c in subs.columns if c not in ("email", "customer_id")], *rest)
 
 
 def _customer_grain(subs: DataFrame) -> DataFrame:
@@ -228,10 +232,17 @@ class Customer360:
     (each needs its own passes for the quantile thresholds)."""
 
     def __init__(self, merged: DataFrame, cleaning_log: DataFrame):
-        self.merged = materialize(merged)
+        self._plan, self._merged = merged, None
         self.cleaning_log = cleaning_log
         self._segments = None
 
+    @property
+    def merged(self) -> DataFrame:
+        """Written at first use; the log alone never builds it."""
+        if self._merged is None:
+            self._merged = materialize(self._plan)
+        return self._merged
+
     @property
     def moments(self) -> DataFrame:
         return test_moments(self.merged)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.exprs import safe_div
-from ledgerlight.session import bounded_broadcast
 
 # Dashboard constants (annual value of a high-value user, ARPU x months).
 HIGH_VALUE_ARPU, MONTHS_PER_YEAR = 120, 12
@@ -134,7 +133,7 @@ def plan_performance_by_tier(plans: DataFrame, subscriptions: DataFrame, billing
     since = F.add_months(_d(as_of), -months)
     s = subscriptions.where((F.col("status") == "active") & (F.col("start_date") <= _d(as_of))
                             & (F.col("end_date").isNull() | (F.col("end_date") >= since))) \
-        .join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id")
+        .join(plans.select("plan_id", "tier"), "plan_id")
     bills = billing.where(F.col("invoice_date") >= since).groupBy("subscription_id").agg(
         F.sum("amount").alias("amt"))
     j = s.join(bills, "subscription_id", "left")
@@ -255,7 +254,7 @@ def churn_funnel(subscriptions: DataFrame, stages: Sequence[str] = STATUS_FUNNEL
 def revenue_drilldown(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """DB12: tier -> plan -> customer roll-up of subscriptions and revenue,
     with the grouping level."""
-    s = subscriptions.join(bounded_broadcast(plans.select("plan_id", "plan_name", "tier")), "plan_id")
+    s = subscriptions.join(plans.select("plan_id", "plan_name", "tier"), "plan_id")
     return s.rollup("tier", "plan_name", "customer_id").agg(
         F.grouping_id().alias("level"),
         F.count(F.lit(1)).alias("subscriptions"),

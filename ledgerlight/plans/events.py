@@ -33,7 +33,7 @@ def _since(as_of: dt.datetime, days_back: int):
 
 def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
                      session_events: Sequence[str] = ("session_start", "session_end", "feature_use"),
-                     num_buckets: int | None = None) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """MQ1: per tier, users, mean weekly event count and nearest-rank
     p25/p50/p75 of each user's mean duration.
 
@@ -59,7 +59,7 @@ def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
         F.count(F.lit(1)).alias("userCount"),
         F.avg("avgSessionsPerWeek").alias("avgSessionsPerWeek"))
     pct = nearest_rank_percentiles(per_user, ["tier"], "avgDurationPerSession",
-                                   {"p25": 0.25, "p50": 0.50, "p75": 0.75}, num_buckets=num_buckets)
+                                   {"p25": 0.25, "p50": 0.50, "p75": 0.75}, partitions=partitions)
     return per_tier.join(pct, "tier", "left").select(
         "tier", "userCount",
         F.bround("avgSessionsPerWeek", 2).alias("avgSessionsPerWeek"),

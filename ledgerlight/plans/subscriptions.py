@@ -2,8 +2,8 @@
 risk, growth and churn, and the two utility listings.
 
 Conventions: ``as_of`` is a ``datetime.date`` (the reference's CURRENT_DATE);
-its midnight stands for CURRENT_TIMESTAMP. The plan catalogue is a bounded
-dimension table and is broadcast explicitly.
+its midnight stands for CURRENT_TIMESTAMP. No join is hinted: the planner
+broadcasts the plan catalogue when it measures small.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.exprs import safe_div
 from ledgerlight.operators.ranking import rank_in_groups
-from ledgerlight.session import bounded_broadcast, materialize
+from ledgerlight.session import materialize
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
-MAX_CATALOGUE_TIERS = 1000
 
 
 def _d(as_of: dt.date):
@@ -45,7 +44,7 @@ def customers_by_recency(customers: DataFrame) -> DataFrame:
 
 def subscription_stats(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """Subscription counts and revenue by tier."""
-    s = subscriptions.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id")
+    s = subscriptions.join(plans.select("plan_id", "tier"), "plan_id")
     return s.groupBy("tier").agg(
         F.countDistinct("subscription_id").alias("total_subscriptions"),
         F.countDistinct(F.when(F.col("status") == "active", F.col("subscription_id"))).alias("active_subscriptions"),
@@ -108,7 +107,7 @@ def plan_metrics(plans: DataFrame, subscriptions: DataFrame, billing: DataFrame,
         F.sum(F.col("amt") * nt).alias("revenue"),
         F.sum(F.coalesce(F.col("d_t"), F.lit(0))).alias("tickets"),
     )
-    out = bounded_broadcast(plans).join(per_plan, "plan_id", "left").select(
+    out = plans.join(per_plan, "plan_id", "left").select(
         "plan_name", "tier",
         F.coalesce(F.col("active_customers"), F.lit(0)).cast("bigint").alias("active_customers"),
         F.round(safe_div(F.col("rev_w").cast("double"), F.col("w").cast("double")), 2)
@@ -117,51 +116,20 @@ def plan_metrics(plans: DataFrame, subscriptions: DataFrame, billing: DataFrame,
         F.coalesce(F.col("revenue"), F.lit(0)).cast("decimal(18,2)").alias("six_month_total_revenue"),
         F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint").alias("total_support_tickets"),
         F.round(safe_div(F.coalesce(F.col("tickets"), F.lit(0)).cast("double"),
-                         F.col("active_customers").cast("double")) / F.lit(6.0), 2)
+                         F.col("active_customers").cast("double")) / F.lit(float(months)), 2)
         .alias("support_ticket_rate_per_customer_per_month"),
     )
     return out.orderBy(F.col("six_month_total_revenue").desc(), F.col("active_customers").desc(), "plan_name")
 
 
-def plan_metrics_naive(plans: DataFrame, subscriptions: DataFrame, billing: DataFrame, tickets: DataFrame,
-                       as_of: dt.date, months: int = 6) -> DataFrame:
-    """PQ1 exactly as the reference joins it (three-way fan-out). Kept only as
-    the yardstick for the pre-aggregated plan; do not use on large data."""
-    since = F.add_months(_d(as_of), -months)
-    since_ts = _ts(as_of) - F.expr(f"INTERVAL {months} MONTHS")
-    s = subscriptions.alias("s")
-    b = billing.alias("b")
-    t = tickets.alias("t")
-    j = plans.alias("p").join(
-        s, (F.col("p.plan_id") == F.col("s.plan_id")) & (F.col("s.status") == "active")
-        & (F.col("s.start_date") <= _d(as_of)) & (F.col("s.end_date").isNull() | (F.col("s.end_date") >= since)),
-        "left").join(
-        b, (F.col("s.subscription_id") == F.col("b.subscription_id")) & (F.col("b.invoice_date") >= since), "left"
-    ).join(t, (F.col("s.customer_id") == F.col("t.customer_id")) & (F.col("t.created_at") >= since_ts), "left")
-    return j.groupBy("p.plan_id", "p.plan_name", "p.tier").agg(
-        F.countDistinct("s.customer_id").alias("active_customers"),
-        F.round(F.avg(F.col("s.monthly_revenue").cast("double")), 2).alias("avg_monthly_revenue_per_customer"),
-        F.countDistinct("s.subscription_id").alias("total_subscriptions"),
-        F.coalesce(F.sum("b.amount"), F.lit(0)).cast("decimal(18,2)").alias("six_month_total_revenue"),
-        F.countDistinct("t.ticket_id").alias("total_support_tickets"),
-    ).drop("plan_id")
-
-
 # ---------------------------------------------------------------- PQ2
 
-def ltv_ranking(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame, billing: DataFrame,
-                mode: str = AS_CODED, num_buckets: int | None = None) -> DataFrame:
-    """PQ2: lifetime value per (customer, plan), compared with the tier
-    average, ranked inside the tier.
-
-    ``as_coded``: total_invoices counts distinct invoice dates and
-    num_plan_changes is COUNT(DISTINCT plan_id) inside a plan group (always 1).
-    ``corrected``: total_invoices counts invoices and num_plan_changes is the
-    customer's distinct plans minus one.
-    The rank runs through :func:`rank_in_groups`, so a tier is not one task.
-    """
+def customer_ltv(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame, billing: DataFrame,
+                 mode: str = AS_CODED) -> DataFrame:
+    """One row per (customer, plan) with its lifetime value, invoice count,
+    first subscription date and number of plan changes (PQ2 before ranking)."""
     _check_mode(mode)
-    p = bounded_broadcast(plans.select("plan_id", "plan_name", "tier"))
+    p = plans.select("plan_id", "plan_name", "tier")
     sb = subscriptions.select("subscription_id", "customer_id", "plan_id", "start_date") \
         .join(billing.select("subscription_id", "invoice_date", "amount"), "subscription_id", "left")
     inv = F.countDistinct("invoice_date") if mode == AS_CODED else F.count("invoice_date")
@@ -176,14 +144,30 @@ def ltv_ranking(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame
         changes = subscriptions.groupBy("customer_id").agg(
             (F.countDistinct("plan_id") - 1).cast("bigint").alias("num_plan_changes"))
         cl = cl.join(changes, "customer_id")
-    cl = cl.join(p, "plan_id").join(customers.select("customer_id", "company_name", "email"), "customer_id")
-    # read three times below (tier averages, rank bounds, rank): compute once
-    cl = materialize(cl)
-    # Tier statistics: one row per tier, bounded by the plan catalogue.
-    tier_avg = cl.groupBy("tier").agg(F.avg(F.col("lifetime_value").cast("double")).alias("tier_avg_ltv"))
+    return cl.join(p, "plan_id").join(customers.select("customer_id", "company_name", "email"), "customer_id")
+
+
+def tier_averages(ltv: DataFrame) -> DataFrame:
+    """Average lifetime value by tier, not rounded."""
+    return ltv.groupBy("tier").agg(F.avg(F.col("lifetime_value").cast("double")).alias("tier_avg_ltv"))
+
+
+def ltv_ranking(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame, billing: DataFrame,
+                mode: str = AS_CODED, partitions: int | None = None) -> DataFrame:
+    """PQ2: lifetime value per (customer, plan), compared with the tier
+    average, ranked inside the tier.
+
+    ``as_coded``: total_invoices counts distinct invoice dates and
+    num_plan_changes is COUNT(DISTINCT plan_id) inside a plan group (always 1).
+    ``corrected``: total_invoices counts invoices and num_plan_changes is the
+    customer's distinct plans minus one.
+    The rank runs through :func:`rank_in_groups`, so a tier is not one task.
+    """
+    # read three times below (tier averages, running counts, rows): compute once
+    cl = materialize(customer_ltv(customers, subscriptions, plans, billing, mode))
     ranked = rank_in_groups(cl, ["tier"], "lifetime_value", descending=True,
-                            rank_col="ltv_rank_in_tier", pct_col="__pr", num_buckets=num_buckets)
-    out = ranked.join(F.broadcast(tier_avg), "tier").select(
+                            rank_col="ltv_rank_in_tier", pct_col="__pr", partitions=partitions)
+    out = ranked.join(tier_averages(cl), "tier").select(
         "customer_id", "company_name", "email", "plan_name", "tier",
         F.col("lifetime_value").cast("decimal(18,2)").alias("lifetime_value"),
         F.round(F.col("tier_avg_ltv").cast("double"), 2).alias("tier_average_ltv"),
@@ -212,15 +196,18 @@ def downgrade_risk(subscriptions: DataFrame, customers: DataFrame, plans: DataFr
     Ties on the downgrade date break by the higher subscription_id.
     """
     _check_mode(mode)
-    cur = bounded_broadcast(plans.select(F.col("plan_id"), F.col("plan_name").alias("current_plan"),
-                                         F.col("tier").alias("current_tier")))
-    prev = bounded_broadcast(plans.select(F.col("plan_id").alias("previous_plan_id"),
+    cur = plans.select(F.col("plan_id"), F.col("plan_name").alias("current_plan"),
+                                         F.col("tier").alias("current_tier"))
+    prev = plans.select(F.col("plan_id").alias("previous_plan_id"),
                                           F.col("plan_name").alias("previous_plan"),
-                                          F.col("tier").alias("previous_tier")))
+                                          F.col("tier").alias("previous_tier"))
     s = subscriptions.where(
         F.col("downgrade_date").isNotNull() & F.col("previous_plan_id").isNotNull()
         & (F.col("downgrade_date") >= F.date_sub(_d(as_of), days))
     ).select("customer_id", "subscription_id", "plan_id", "previous_plan_id", "downgrade_date", "monthly_revenue")
+    # a downgrade counts only with its customer and plan; the latest is chosen after that
+    s = s.join(customers.select("customer_id"), "customer_id", "left_semi") \
+        .join(plans.select("plan_id"), "plan_id", "left_semi")
     # latest downgrade per customer as an aggregate (map-side partial
     # aggregation), not a row_number window that sorts a hot customer in one task
     rest = [c for c in s.columns if c != "customer_id"]
@@ -277,7 +264,7 @@ def growth_churn(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date, mon
     """
     _check_mode(mode)
     since = F.add_months(_d(as_of), -months)
-    s = subscriptions.join(bounded_broadcast(plans.select("plan_id", "tier")), "plan_id")
+    s = subscriptions.join(plans.select("plan_id", "tier"), "plan_id")
     ms = s.where(F.col("start_date") >= since).groupBy(
         F.trunc("start_date", "month").alias("metric_month"), "tier").agg(
         F.countDistinct("subscription_id").alias("new_subscriptions"),
@@ -287,13 +274,8 @@ def growth_churn(subscriptions: DataFrame, plans: DataFrame, as_of: dt.date, mon
         F.countDistinct("subscription_id").alias("churned_subscriptions"))
     cm = ms.join(mc, ["metric_month", "tier"], "full_outer")
     if mode == CORRECTED:
-        cal = s.sparkSession.range(1).select(F.explode(F.sequence(
-            F.trunc(since, "month"), F.trunc(_d(as_of), "month"), F.expr("INTERVAL 1 MONTH"))).alias("metric_month"))
-        tiers = plans.select("tier").distinct()
-        if tiers.limit(MAX_CATALOGUE_TIERS + 1).count() > MAX_CATALOGUE_TIERS:
-            raise ValueError("plan catalogue has too many tiers for a dense month x tier calendar")
-        tier_list = tiers.agg(F.array_sort(F.collect_list("tier"))).scalar()  # checked small above
-        grid = cal.select("metric_month", F.explode(tier_list).alias("tier"))
+        months_ = F.sequence(F.trunc(since, "month"), F.trunc(_d(as_of), "month"), F.expr("INTERVAL 1 MONTH"))
+        grid = plans.select("tier").distinct().select(F.explode(months_).alias("metric_month"), "tier")
         cm = grid.join(cm, ["metric_month", "tier"], "left")
     cm = cm.select(
         "metric_month", "tier",

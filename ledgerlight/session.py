@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,8 +21,6 @@ BASE_CONF = {
 STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of frames that went out of scope are removed
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,56 +45,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    The cluster's setting always wins. Only when it is unset (local tests)
-    a fresh scratch folder is created and registered.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerlight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
-def materialize(df):
-    """Cut the lineage of a frame that several later passes read (e.g. the
-    bounds and the rank pass of a distributed rank): write it once to the
-    shared checkpoint folder and read it back. Survives executor loss,
-    unlike a local checkpoint or cache."""
-    checkpoint_dir(df.sparkSession)
-    # persist first so that the checkpoint write does not compute the frame
-    # a second time; the copy in the checkpoint folder is what later passes
-    # read, so the cache is dropped right after
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+_LOCAL_SCRATCH: dict[str, str] = {}
 
 
-def bounded_broadcast(df, max_rows: int = 100_000):
-    """Broadcast a dimension table only after checking its size: at most
-    ``max_rows`` rows are counted; a larger table is returned unchanged and
-    joins by shuffle (AQE may still broadcast it if it measures small)."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local
+    session that names none (tests) gets a scratch folder; on a cluster a
+    folder of one machine would not be seen by the others, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="ledgerlight-ckpt-")
+    return _LOCAL_SCRATCH[app]
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024,
-               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
-    """Partition sizing for a given input volume: initial shuffle partitions
-    of about ``target_partition_bytes`` (AQE coalesces the small ones at
-    runtime), scan splits of 256 MB, and the matching AQE advisory size."""
-    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-    }
+def materialize(df):
+    """Cut the lineage of a frame that several later passes read: write it once
+    as Parquet below the shared folder and read it back. Later passes read only
+    the columns they need, and the loss of an executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

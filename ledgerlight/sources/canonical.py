@@ -52,22 +52,43 @@ def canonical_events(df: DataFrame, parse_time: bool = True) -> DataFrame:
     ``parse_time=False`` leaves ``timestamp`` as text so that the cleaning
     step can parse and count it (CL3).
     """
-    props = F.col("properties")
-    if "properties" in df.columns and dict(df.dtypes)["properties"] == "string":
-        props = parse_properties("properties")
-    if "properties" in df.columns:
-        duration = F.coalesce(props["duration_seconds"].cast("double"), props["session_duration"].cast("double"))
-    else:
-        duration = F.lit(None).cast("double")
+    kind = dict(df.dtypes).get("properties")
+    props = parse_properties("properties") if kind == "string" else F.col("properties")
+    known = {f.name for f in PROPERTIES_SCHEMA} if kind == "string" else \
+        set(df.schema["properties"].dataType.names) if kind and kind.startswith("struct") else set()
+
+    def number(*names: str) -> Column:
+        found = [props[n].cast("double") for n in names if n in known]
+        return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+    fields = [number("duration_seconds", "session_duration").alias("duration_seconds")]
+    fields += [number(n).alias(n) for n in ("page_views", "actions") if n in known]
     ts = _first_present(df, "timestamp")
-    out = df.select(
-        *([F.col("event_id").cast("bigint").alias("event_id")] if "event_id" in df.columns else []),
+    return df.select(
+        (F.col("event_id").cast("bigint") if "event_id" in df.columns else _row_key(df)).alias("event_id"),
         _first_present(df, "customer_id").cast("string").try_cast("bigint").alias("customer_id"),
         _first_present(df, "user_id").cast("string").alias("user_id"),
         _first_present(df, "event_type").cast("string").alias("event_type"),
         _first_present(df, "feature_name", "feature").cast("string").alias("feature_name"),
         _first_present(df, "subscription_tier").cast("string").alias("subscription_tier"),
         (parse_event_time(ts) if parse_time else ts.cast("string")).alias("timestamp"),
-        F.struct(duration.alias("duration_seconds")).alias("properties"),
+        F.struct(*fields).alias("properties"),
     )
-    return out
+
+
+def _row_key(df: DataFrame) -> Column:
+    """An order key for rows that come without an id: a hash of all their
+    columns, the same wherever and whenever the row is read."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "<" in kind else F.col(c).cast("string") for c, kind in df.dtypes])
+
+
+def canonical_sessions(df: DataFrame) -> DataFrame:
+    """Raw session columns (text) cast to the canonical schema; what does not
+    read as a number or time becomes NULL."""
+    names = ("session_id", "customer_id", "user_id", "start_time", "end_time", "duration")
+    text = {n: _first_present(df, n).cast("string") for n in names}
+    return df.select(
+        text["session_id"].alias("session_id"), text["customer_id"].try_cast("bigint").alias("customer_id"),
+        text["user_id"].alias("user_id"), parse_event_time(text["start_time"]).alias("start_time"),
+        parse_event_time(text["end_time"]).alias("end_time"),
+        text["duration"].try_cast("double").try_cast("bigint").alias("duration"))

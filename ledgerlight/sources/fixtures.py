@@ -35,6 +35,7 @@ PLAN_ROWS = [
 SESSION_EVENTS = ("view", "click", "purchase")
 FEATURE_EVENTS = ("view", "click")
 FUNNEL_STAGES = ("signup", "view", "click", "purchase")
+FUNNEL_FEATURE = "feature_3"
 TEAM_SLOTS = 3
 
 
@@ -188,7 +189,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts_text = (F.when(i % 19 == 0, F.lit(None).cast("string"))
                .when(i % 4 == 0, F.concat(iso, F.lit("Z")))
                .when(i % 4 == 1, F.concat(shifted, F.lit("+05:30")))
-               .when((i % 4 == 3) & (i % 101 == 0), F.lit("not-a-date"))
+               .when((i % 4 == 3) & (i % 101 == 0), F.concat(F.lit("not-a-date "), (i % 5).cast("string")))
                .otherwise(naive))
     raw = e.select(
         i.alias("event_id"),
@@ -333,7 +334,7 @@ ORACLE_CTES = {
                         WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
                         WHEN event_id % 4 = 1 THEN strftime(ts + INTERVAL '5 hours 30 minutes',
                                                             '%Y-%m-%dT%H:%M:%S.%f') || '+05:30'
-                        WHEN event_id % 4 = 3 AND event_id % 101 = 0 THEN 'not-a-date'
+                        WHEN event_id % 4 = 3 AND event_id % 101 = 0 THEN 'not-a-date ' || CAST(event_id % 5 AS VARCHAR)
                         ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "timestamp",
                    value AS duration_seconds
             FROM events)

@@ -27,8 +27,8 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], f
                       max_records_per_file: int = 5_000_000) -> None:
     """DB14 and event layout: a table partitioned by ``partition_cols``
     (e.g. event_date or month) so that date filters prune whole folders.
-    Rows are only sorted inside each task (no shuffle by the partition
-    value, which would put a hot month in one task); each task writes one
-    file per value it holds, split at ``max_records_per_file``."""
-    (df.sortWithinPartitions(*partition_cols).write.mode("overwrite")
+    Rows are rebalanced by the partition value first: one task writes a whole
+    small value (one file instead of one per task), and AQE splits a hot one
+    over several tasks. Files end at ``max_records_per_file``."""
+    (df.hint("rebalance", *partition_cols).sortWithinPartitions(*partition_cols).write.mode("overwrite")
      .option("maxRecordsPerFile", max_records_per_file).partitionBy(*partition_cols).format(fmt).save(path))

@@ -57,7 +57,20 @@ def run_available_now(spark: SparkSession, source_path: str, schema: StructType,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = prepare(reader.parquet(source_path))
     out = daily_feature_activity(stream, watermark, feature_events)
+    # state of all open (user, feature, day) rows on local disk, not on the heap
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = (out.writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink_path))
     q.awaitTermination()
     return spark.read.schema("day date, feature_name string, active_users bigint").parquet(sink_path)
+
+
+def with_open_days(final: DataFrame, events: DataFrame, feature_events: Sequence[str] | None = None) -> DataFrame:
+    """The final days of the sink and, from a closing batch over the events
+    after them, the days the watermark has not passed yet."""
+    last = final.agg(F.max("day")).first()[0]
+    if last is not None:
+        events = events.where(F.col("timestamp") >= F.date_add(F.lit(last), 1).cast("timestamp_ntz"))
+    # days before the first final one that had no rows stay absent either way
+    return final.unionByName(daily_feature_activity(events, feature_events=feature_events))

@@ -4,7 +4,7 @@ do not depend on the number of shuffle partitions or buckets."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.ranking import exact_quantiles, nearest_rank_percentiles, rank_in_groups
+from ledgerlight.operators.ranking import exact_quantiles, nearest_rank_percentiles, rank_in_groups, running_counts
 
 
 def _data(spark):
@@ -21,7 +21,7 @@ def test_rank_equals_window(spark):
         "g", "v", F.rank().over(w).alias("rk"), F.percent_rank().over(w).alias("pr")).collect()}
     for buckets in (1, 3, 16):
         got = {(r.g, r.v, r.rank, round(r.percent_rank, 12))
-               for r in rank_in_groups(df, ["g"], "v", num_buckets=buckets, small_group_rows=0).collect()}
+               for r in rank_in_groups(df, ["g"], "v", partitions=buckets).collect()}
         assert got == want
 
 
@@ -31,9 +31,8 @@ def test_percentiles_partition_independent(spark):
     for parts in (1, 8):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         a = sorted(tuple(r) for r in nearest_rank_percentiles(df, ["g"], "v", {"p": .25, "q": .75},
-                                                               num_buckets=5, small_group_rows=0).collect())
-        b = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}, num_buckets=7,
-                                                     small_group_rows=0).collect())
+                                                               partitions=5).collect())
+        b = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}, partitions=7).collect())
         c = sorted(tuple(r) for r in exact_quantiles(df, ["g"], "v", {"m": .5}).collect())
         assert b == c
         results.append((a, b))
@@ -53,45 +52,41 @@ def test_percentiles_partition_independent(spark):
         assert abs(m - (lo + (pos - int(pos)) * (hi - lo))) < 1e-9
 
 
-def test_bucket_path_plan(spark):
-    """With large groups the row-level rank window is partitioned by (group,
-    bucket); only the tiny offsets table has windows by group alone."""
-    df = _data(spark)
-    out = rank_in_groups(df, ["g"], "v", num_buckets=4, small_group_rows=0)
+def test_windows_are_split(spark):
+    """Rows are never ordered by group alone: only counts per (group,
+    partition) are, and raw rows go through no window."""
+    out = rank_in_groups(_data(spark), ["g"], "v", partitions=4)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    rank_windows = [line for line in plan.split("\n") if "Window [rank(" in line]
-    assert rank_windows and all("__bucket" in line.split("]")[-3] for line in rank_windows)
-
-
-def test_binary_search_matches_bisect(spark):
-    import bisect
-    import random
-    from ledgerlight.operators.ranking import _search
-    rnd = random.Random(1)
-    rows = []
-    for _ in range(300):
-        b = sorted(float(rnd.randint(0, 20)) for _ in range(rnd.randint(0, 40)))
-        rows.append((b, float(rnd.randint(-2, 22))))
-    df = spark.createDataFrame(rows, "b array<double>, x double")
-    got = df.select("b", "x", _search(F.col("b"), F.col("x"), 64, False).alias("lt"),
-                    _search(F.col("b"), F.col("x"), 64, True).alias("le")).collect()
-    for r in got:
-        assert r.lt == bisect.bisect_left(r.b, r.x) and r.le == bisect.bisect_right(r.b, r.x)
+    windows = [line for line in plan.split("\n") if "Window [sum(__c" in line]
+    assert windows and all("__part" in line for line in windows)
+    assert "Window [rank(" not in plan
+
+
+def test_heavy_tie(spark):
+    """A value that 90% of the rows share is one row of the ordering."""
+    df = spark.range(0, 20000).select(F.lit("free").alias("g"), F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("v"))
+    cum = running_counts(df, ["g"], "v", descending=True, partitions=8)
+    assert cum.count() == df.select("v").distinct().count()
+    ranks = rank_in_groups(df, ["g"], "v", partitions=8)
+    assert ranks.where("v = 0").agg(F.min("rank"), F.max("rank"), F.count("rank")).first() == (2000, 2000, 18001)
+
+
+def test_null_groups_and_values(spark):
+    df = spark.createDataFrame([(None, 1), (None, None), ("a", 2), ("a", 2), ("a", None)], "g string, v int")
+    got = sorted(((r.g, r.v, r.rank) for r in rank_in_groups(df, ["g"], "v").collect()), key=repr)
+    assert got == sorted([(None, 1, 1), (None, None, 2), ("a", 2, 1), ("a", 2, 1), ("a", None, 3)], key=repr)
 
 
 def test_hot_group_among_many_small(spark):
-    """One group holds most rows, hundreds of tiny groups hold the rest: only
-    the hot group is bucketed, and the ranks still equal the plain window."""
+    """One group holds most rows, hundreds of tiny groups hold the rest."""
     df = spark.range(0, 6000).select(
         F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 400).cast("string")))
         .alias("g"),
         (F.col("id") * 7919 % 1013).cast("double").alias("v"))
     w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
     want = {(r.g, r.v, r.rk) for r in df.select("g", "v", F.rank().over(w).alias("rk")).collect()}
-    out = rank_in_groups(df, ["g"], "v", num_buckets=6, small_group_rows=1000)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "__bucket" in plan
+    out = rank_in_groups(df, ["g"], "v", partitions=6)
     assert {(r.g, r.v, r.rank) for r in out.collect()} == want
-    q_small = exact_quantiles(df, ["g"], "v", {"m": .5}, num_buckets=6, small_group_rows=1000)
+    q_small = exact_quantiles(df, ["g"], "v", {"m": .5}, partitions=6)
     q_plain = exact_quantiles(df, ["g"], "v", {"m": .5})
     assert sorted(map(tuple, q_small.collect())) == sorted(map(tuple, q_plain.collect()))

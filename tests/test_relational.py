@@ -40,6 +40,30 @@ def test_plan_metrics_fan_out(spark):
     assert empty.active_customers == 0 and float(empty.six_month_total_revenue) == 0
 
 
+def _plan_metrics_naive(plans, subscriptions, billing, tickets,
+                       as_of, months=6):
+    """PQ1 exactly as the reference joins it (three-way fan-out). Kept only as
+    the yardstick for the pre-aggregated plan; do not use on large data."""
+    since = F.add_months(sj._d(as_of), -months)
+    since_ts = sj._ts(as_of) - F.expr(f"INTERVAL {months} MONTHS")
+    s = subscriptions.alias("s")
+    b = billing.alias("b")
+    t = tickets.alias("t")
+    j = plans.alias("p").join(
+        s, (F.col("p.plan_id") == F.col("s.plan_id")) & (F.col("s.status") == "active")
+        & (F.col("s.start_date") <= sj._d(as_of)) & (F.col("s.end_date").isNull() | (F.col("s.end_date") >= since)),
+        "left").join(
+        b, (F.col("s.subscription_id") == F.col("b.subscription_id")) & (F.col("b.invoice_date") >= since), "left"
+    ).join(t, (F.col("s.customer_id") == F.col("t.customer_id")) & (F.col("t.created_at") >= since_ts), "left")
+    return j.groupBy("p.plan_id", "p.plan_name", "p.tier").agg(
+        F.countDistinct("s.customer_id").alias("active_customers"),
+        F.round(F.avg(F.col("s.monthly_revenue").cast("double")), 2).alias("avg_monthly_revenue_per_customer"),
+        F.countDistinct("s.subscription_id").alias("total_subscriptions"),
+        F.coalesce(F.sum("b.amount"), F.lit(0)).cast("decimal(18,2)").alias("six_month_total_revenue"),
+        F.countDistinct("t.ticket_id").alias("total_support_tickets"),
+    ).drop("plan_id")
+
+
 def test_plan_metrics_matches_naive_join(spark):
     import random
     rnd = random.Random(7)
@@ -54,7 +78,7 @@ def test_plan_metrics_matches_naive_join(spark):
     cols = ["plan_name", "active_customers", "avg_monthly_revenue_per_customer", "total_subscriptions",
             "six_month_total_revenue", "total_support_tickets"]
     a = sorted(tuple(r) for r in sj.plan_metrics(_plans(spark), subs, bills, tix, AS_OF).select(*cols).collect())
-    b = sorted(tuple(r) for r in sj.plan_metrics_naive(_plans(spark), subs, bills, tix, AS_OF).select(*cols).collect())
+    b = sorted(tuple(r) for r in _plan_metrics_naive(_plans(spark), subs, bills, tix, AS_OF).select(*cols).collect())
     assert a == b
 
 
@@ -96,3 +120,25 @@ def test_ltv_percent_rank(spark):
     rows = sj.ltv_ranking(cust, subs, _plans(spark), bills).collect()
     assert sorted(r.ltv_percentile for r in rows) == [0.0, 50.0, 100.0]
     assert sorted(r.ltv_rank_in_tier for r in rows) == [1, 2, 3]
+
+
+def test_latest_downgrade_needs_its_plan(spark):
+    """The newest downgrade whose plan exists counts, not the newest of all."""
+    day = dt.date
+    subs = _subs(spark, [(1, 7, 2, 3, "downgraded", 10, day(2001, 1, 1), None, day(2001, 7, 1), None),
+                         (2, 7, 99, 3, "downgraded", 10, day(2001, 1, 1), None, day(2001, 7, 20), None),
+                         (3, 8, 99, 3, "downgraded", 10, day(2001, 1, 1), None, day(2001, 7, 20), None)])
+    cust = spark.createDataFrame([(7, "a", "a@b"), (8, "c", "c@d")], "customer_id bigint, company_name string, email string")
+    tix = spark.createDataFrame([(f"t{i}", 7, dt.datetime(2001, 6, 20)) for i in range(5)],
+                                "ticket_id string, customer_id bigint, created_at timestamp")
+    for mode, least in (("as_coded", 3), ("corrected", 1)):
+        got = sj.downgrade_risk(subs, cust, _plans(spark), tix, AS_OF, min_tickets=least, mode=mode).collect()
+        assert [(r.customer_id, r.downgrade_date, r.support_tickets_30d_before_downgrade) for r in got] == [(7, day(2001, 7, 1), 5)]
+
+
+def test_many_tiers(spark):
+    plans = spark.range(1200).select(F.col("id").cast("int").alias("plan_id"), F.lit("p").alias("plan_name"),
+                                     F.concat(F.lit("t"), F.col("id").cast("string")).alias("tier"))
+    subs = _subs(spark, [(1, 7, 3, None, "active", 10, dt.date(2001, 1, 1), None, None, None)])
+    got = sj.growth_churn(subs, plans, AS_OF, months=1, mode="corrected")
+    assert got.count() == 2 * 1200

@@ -77,12 +77,3 @@ def test_read_table_pushdown_and_sinks(spark, scratch):
     assert back.count() == df.count() and back.columns == ["o_orderkey", "o_totalprice"]
     write_metrics(df.agg(F.count(F.lit(1)).alias("n")), os.path.join(scratch, "metrics"))
     assert spark.read.json(os.path.join(scratch, "metrics")).first().n == df.count()
-
-
-def test_scale_conf():
-    from ledgerlight.session import scale_conf
-    small, big = scale_conf(10 * 1024 ** 2), scale_conf(100 * 1024 ** 4)
-    assert small["spark.sql.shuffle.partitions"] == "200"
-    assert big["spark.sql.shuffle.partitions"] == "100000"
-    mid = scale_conf(1024 ** 4)
-    assert mid["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (128 * 1024 ** 2))
