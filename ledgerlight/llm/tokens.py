@@ -24,6 +24,7 @@ _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # white space other than space and newline: such texts are encoded whole
 _OTHER_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
 _MARK = "\x01"
+_TAIL = ".,;:!?"
 _LONG = 64
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -36,12 +37,13 @@ class Encoder:
     as it is where it starts with other white space, or "\\r" and the word at
     the start of a text."""
 
-    def __init__(self, name: str, path: str | None = None, max_pieces: int = 600_000):
+    def __init__(self, name: str, path: str | None = None, max_pieces: int = 1_200_000):
         from tokenizers import Tokenizer
         self.name, self.max_pieces = name, max_pieces
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path(name))
         self.cut = {WORD: self._cut_words, BYTE: self._cut_bytes}[name]
         self.seen: dict[str, bytes] = {}
+        self.tail_ids: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         if name == BYTE:
@@ -52,7 +54,8 @@ class Encoder:
             self.mark = self._whole(_MARK)[0]
 
     def _cut_words(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        # the vocabulary lower-cases; doing so first makes fewer distinct words
+        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
 
     def _cut_bytes(self, text: str) -> list[str]:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in ("", " ", "\n") or text[0] in " \n":
@@ -76,13 +79,13 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self._whole(text), dtype="<u4").tobytes()
 
-    def _many(self, pieces: list[str]) -> Iterator[bytes]:
+    def _many(self, pieces: list[str]) -> list[bytes]:
         """ids of each piece, from one call over all of them."""
         joiner = "" if self.name == BYTE else f" {_MARK} "
         ids = np.asarray(self.tokenizer.encode_batch_fast(
             [joiner.join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         if self.name == BYTE:
-            ends = np.cumsum([len(p.encode()) for p in pieces])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
             cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
             starts = np.concatenate(([0], cuts[:-1]))
         else:
@@ -90,8 +93,29 @@ class Encoder:
             starts = np.concatenate(([0], marks + 1))
             cuts = np.concatenate((marks, [len(ids)]))
         raw = ids.tobytes()
-        for a, b in zip((4 * starts).tolist(), (4 * cuts).tolist()):
-            yield raw[a:b]
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * cuts).tolist())]
+
+    def _learn(self, unseen: set[str]) -> dict[str, bytes]:
+        """Remember the unseen pieces; returns the long ones, which are not kept."""
+        seen = self.seen
+        # letters and the punctuation after them are always separate tokens
+        tails = {k: k.rstrip(_TAIL) for k in unseen if k[-1] in _TAIL}
+        tails = {k: base for k, base in tails.items() if base[-1:].isalpha()}
+        wanted = unseen.difference(tails).union(tails.values()).difference(seen)
+        for mark in {k[len(base):] for k, base in tails.items()}.difference(self.tail_ids):
+            self.tail_ids[mark] = self._bytes(mark)
+        pieces = {k: self._piece(k) for k in wanted}
+        # joined byte-level pieces must each start with white space and end with none
+        plain = [k for k, p in pieces.items() if len(p) <= _LONG and (
+            self.name == WORD or (p[0] in " \n" and p[-1] not in " \n"))]
+        if plain:
+            seen.update(zip(plain, self._many([pieces[k] for k in plain])))
+        longer = {}
+        for k in wanted.difference(plain):
+            (longer if len(pieces[k]) > _LONG else seen)[k] = self._bytes(pieces[k])
+        for k, base in tails.items():
+            (longer if base in longer else seen)[k] = (longer.get(base) or seen[base]) + self.tail_ids[k[len(base):]]
+        return longer
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object per text, without special or end ids."""
@@ -101,19 +125,8 @@ class Encoder:
         odd = [c for c in (*_OTHER_SPACE, _MARK, "<|") if c in everything]
         cut = [None if odd and any(c in t for c in odd) else self.cut(t) for t in texts]
         self.seen[""] = b""
-        unseen = set().union(*filter(None, cut)).difference(self.seen)
-        pieces = {k: self._piece(k) for k in unseen}
-        # joined byte-level pieces must each start with white space and end with none
-        plain = [k for k, p in pieces.items() if len(p) <= _LONG and (
-            self.name == WORD or (p[0] in " \n" and p[-1] not in " \n"))]
-        if plain:
-            self.seen.update(zip(plain, self._many([pieces[k] for k in plain])))
-        known = self.seen
-        longer = {}
-        for k in unseen.difference(plain):
-            (longer if len(pieces[k]) > _LONG else known)[k] = self._bytes(pieces[k])
-        if longer:
-            known = Both(known, longer)
+        longer = self._learn(set().union(*filter(None, cut)).difference(self.seen))
+        known = Both(self.seen, longer) if longer else self.seen
         return [self._bytes(t) if keys is None else b"".join([known[k] for k in keys] if longer else map(known.__getitem__, keys))
                 for t, keys in zip(texts, cut)]
 
