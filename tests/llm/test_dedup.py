@@ -86,8 +86,7 @@ def line_reference(rows):
         return x.strip(" \t\r").lower()
 
     def shingles(x):
-        u = x.encode("utf-16-be")
-        return frozenset([u]) if len(u) <= 10 else frozenset(u[i:i + 10] for i in range(0, len(u) - 8, 2))
+        return frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4)))
 
     def key(r):
         t = xxhash.xxh64_intdigest((r[1] or "").encode(), 42)
