@@ -56,7 +56,7 @@ def propagate(linked: DataFrame, singles: dict[int, int], capacity: float, shard
         counts = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
         # the most frequent shard of a unit, ties by hash
         order = F.col("n") * 1_000_000 + F.pmod(F.xxhash64("unit", "shard"), F.lit(1_000_000))
-        wish = counts.groupBy("unit").agg(F.max_by("shard", order).alias("wish"))
+        wish = stored(counts.groupBy("unit").agg(F.max_by("shard", order).alias("wish")), "wish")
         asked = stored(linked.join(wish, "unit"), "asked")
         flow = {(r["shard"], r["wish"]): r["n"] for r in
                 asked.groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -85,7 +85,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: fl
     total = base.count()
     # room for the chance differences of the start; the cut below evens out
     capacity = max(1.0, (1 + slack) * total / shards + 4 * (total / shards) ** 0.5)
-    groups = base.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    # a table of its own: the join below is then free to split a hot group
+    groups = stored(base.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "groups")
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     # a group too large for one shard moves as several units
     units = F.ceil(F.col("members") / capacity)
