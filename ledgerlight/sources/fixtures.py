@@ -37,6 +37,10 @@ FEATURE_EVENTS = ("view", "click")
 FUNNEL_STAGES = ("signup", "view", "click", "purchase")
 FUNNEL_FEATURE = "feature_3"
 TEAM_SLOTS = 3
+# Company names: two words and a number, chosen by the customer key.
+NAME_FIRST = ("Amber", "Brack", "Copper", "Dunmore", "Eastlight", "Fern", "Greyfold", "Harrow", "Ironquay", "Juniper", "Kestrel",
+              "Larkspur")
+NAME_SECOND = ("Kiln", "Water Works", "Lines", "Mills", "Foundry", "Hollow", "Press", "and Pike", "Yard", "Lane Trading")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +56,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.concat(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit(".com"))
     created = F.expr(
         "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 365 as int), c_nationkey, 0, 0)")
+    key = F.col("c_custkey")
+    word = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
+    name = F.concat_ws(" ", word(NAME_FIRST, key), word(NAME_SECOND, F.floor(key / 12)), (key % 97).cast("string"))
     return c.select(
         F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("company_name"),
+        name.alias("company_name"),
         F.concat(F.lower("c_name"), F.lit("@"), domain).alias("email"),
         domain.alias("email_domain"),
         F.col("c_nationkey").alias("country_code"),
@@ -258,8 +265,11 @@ _PLAN_VALUES = ", ".join(f"({i}, '{n}', '{t}')" for i, n, t in PLAN_ROWS)
 
 ORACLE_CTES = {
     "plans": f"SELECT * FROM (VALUES {_PLAN_VALUES}) AS p(plan_id, plan_name, tier)",
-    "customers": """
-        SELECT c_custkey AS customer_id, c_name AS company_name,
+    "customers": f"""
+        SELECT c_custkey AS customer_id,
+               concat_ws(' ', ({list(NAME_FIRST)})[c_custkey % {len(NAME_FIRST)} + 1],
+                         ({list(NAME_SECOND)})[c_custkey // 12 % {len(NAME_SECOND)} + 1],
+                         CAST(c_custkey % 97 AS VARCHAR)) AS company_name,
                lower(c_name) || '@' || lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) || '.com' AS email,
                lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) || '.com' AS email_domain,
                c_nationkey AS country_code,
