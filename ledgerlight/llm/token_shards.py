@@ -54,14 +54,17 @@ def frequent_pairs(sym: np.ndarray, last: np.ndarray, most: int, least: int) ->
 def replace_pairs(sym: np.ndarray, last: np.ndarray, keys: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Replace occurrences of pair ``keys[k]`` by symbol base + k. Where
     occurrences overlap, the more frequent pair goes first, then the left one."""
-    starts, ends = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-    starts[keys >> 16], ends[keys & 0xFFFF] = True, True
-    order = np.argsort(keys)
-    at = np.flatnonzero(starts[sym[:-1]] & ends[sym[1:]] & ~last[:-1])
-    key = sym[at].astype(np.uint32) << 16 | sym[at + 1]
-    found = np.minimum(np.searchsorted(keys, key, sorter=order), len(keys) - 1)
-    hit = keys[order[found]] == key
-    at, rank = at[hit], order[found[hit]]
+    # rank of a pair by a table over the symbols that start and end one
+    none = np.int16(len(keys))
+    lefts, rights = np.unique(keys >> 16), np.unique(keys & 0xFFFF)
+    row, col = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+    row[lefts], col[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
+    table = np.full((len(lefts) + 1) * (len(rights) + 1), none)
+    table[row[keys >> 16] + col[keys & 0xFFFF]] = np.arange(len(keys))
+    rank = table[row[sym[:-1]] + col[sym[1:]]]
+    rank[last[:-1]] = none
+    at = np.flatnonzero(rank != none).astype(np.int32)
+    rank = rank[at]
     won_at, won_rank = [], []
     while len(at):
         # an occurrence is taken when no overlapping one goes before it; what
@@ -72,12 +75,12 @@ def replace_pairs(sym: np.ndarray, last: np.ndarray, keys: np.ndarray, base: int
         taken = left & right
         won_at.append(at[taken])
         won_rank.append(rank[taken])
-        out = taken.copy()
-        out[1:] |= taken[:-1] & near
-        out[:-1] |= taken[1:] & near
-        at, rank = at[~out], rank[~out]
-    where = np.concatenate([*won_at, np.zeros(0, np.int64)]).astype(np.int64)
-    rank = np.concatenate([*won_rank, np.zeros(0, np.int64)])
+        rest = ~taken
+        rest[1:] &= ~(taken[:-1] & near)
+        rest[:-1] &= ~(taken[1:] & near)
+        at, rank = at[rest], rank[rest]
+    where = np.concatenate([*won_at, np.zeros(0, np.int32)])
+    rank = np.concatenate([*won_rank, np.zeros(0, np.int16)]).astype(np.int32)
     sym, last = sym.copy(), last.copy()
     sym[where] = base + rank
     last[where] = last[where + 1]
