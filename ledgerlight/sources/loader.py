@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -45,7 +45,7 @@ def load_csv_dir(spark: SparkSession, csv_dir: str, target_dir: str,
     """Load ``<csv_dir>/<table>.csv`` files into ``<target_dir>/<table>``.
 
     Returns per table: status ('loaded' / 'missing') and row counts (loaded
-    and rejected), counted in one aggregation over the cached read.
+    and rejected), counted while the rows are written.
     """
     report: dict[str, dict] = {}
     for table in tables:
@@ -54,18 +54,19 @@ def load_csv_dir(spark: SparkSession, csv_dir: str, target_dir: str,
             log.warning("file not found, skipped: %s", src)
             report[table] = {"status": "missing"}
             continue
-        df = read_csv(spark, src, table).cache()
-        good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        bad = df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw"))
+        df = read_csv(spark, src, table)
         mode = "overwrite" if table in COLLECTIONS else "append"
         dest = f"{target_dir.rstrip('/')}/{table}"
-        good.write.mode(mode).parquet(dest)
-        counts = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected")) \
-            .collect()[0]
+        # counted while the good rows are written: one pass over the file
+        seen = Observation(f"load {table}")
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected"))
+        counted.where(F.col(CORRUPT).isNull()).drop(CORRUPT).write.mode(mode).parquet(dest)
+        counts = seen.get
         if counts["rejected"]:
             log.warning("%s: %d malformed rows quarantined", table, counts["rejected"])
-            bad.write.mode("append").parquet(f"{dest}__rejected")
-        df.unpersist()
+            # beside the raw text, what was read as the first column
+            df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw"), schema_of(table).names[0]) \
+                .write.mode(mode).parquet(f"{dest}__rejected")
         report[table] = {"status": "loaded", "mode": mode, "rows": counts["rows"] - counts["rejected"],
                          "rejected": counts["rejected"]}
     return report

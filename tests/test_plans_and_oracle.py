@@ -7,6 +7,7 @@ import sys
 import pytest
 
 import __spark_entry__ as se
+from ledgerlight import catalog
 
 SF = "/root/testdata/sf0.001"
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
@@ -23,12 +24,14 @@ def oracle_con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name", sorted(se.queries()))
-def test_query_matches_oracle(spark, oracle_con, name):
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query_matches_oracle(spark, oracle_con, name, monkeypatch):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
     from check_oracle import digest
+    from plan_report import record_stored_plans
+    stored = record_stored_plans(monkeypatch.setattr)
     df = se.queries()[name](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = "\n".join([*stored, df._jdf.queryExecution().executedPlan().toString()])
     assert not any(n in plan for n in PY_NODES), f"python on the data path in {name}"
     rows = [tuple(r) for r in df.collect()]
     sql = se.oracle_sql().get(name)
