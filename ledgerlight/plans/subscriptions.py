@@ -43,14 +43,20 @@ def customers_by_recency(customers: DataFrame) -> DataFrame:
 
 
 def subscription_stats(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
-    """Subscription counts and revenue by tier."""
+    """Subscription counts and revenue by tier. Rows are first combined to
+    one per (tier, subscription), which gives all three distinct counts."""
     s = subscriptions.join(plans.select("plan_id", "tier"), "plan_id")
-    return s.groupBy("tier").agg(
-        F.countDistinct("subscription_id").alias("total_subscriptions"),
-        F.countDistinct(F.when(F.col("status") == "active", F.col("subscription_id"))).alias("active_subscriptions"),
-        F.countDistinct(F.when(F.col("status") == "cancelled", F.col("subscription_id"))).alias("cancelled_subscriptions"),
-        F.round(F.avg(F.col("monthly_revenue").cast("double")), 2).alias("avg_monthly_revenue"),
-        F.sum("monthly_revenue").cast("decimal(18,2)").alias("total_monthly_revenue"),
+    once = s.groupBy("tier", "subscription_id").agg(
+        F.max((F.col("status") == "active").cast("int")).alias("active"),
+        F.max((F.col("status") == "cancelled").cast("int")).alias("cancelled"),
+        F.sum("monthly_revenue").alias("revenue"), F.count("monthly_revenue").alias("n"))
+    known = F.col("subscription_id").isNotNull()
+    return once.groupBy("tier").agg(
+        F.count("subscription_id").alias("total_subscriptions"),
+        F.count_if(known & (F.col("active") == 1)).alias("active_subscriptions"),
+        F.count_if(known & (F.col("cancelled") == 1)).alias("cancelled_subscriptions"),
+        F.round(safe_div(F.sum("revenue").cast("double"), F.sum("n").cast("double")), 2).alias("avg_monthly_revenue"),
+        F.sum("revenue").cast("decimal(18,2)").alias("total_monthly_revenue"),
     ).orderBy(F.col("tier").desc())
 
 
