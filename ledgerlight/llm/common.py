@@ -3,6 +3,7 @@ clean-up, and distributed connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that nothing
+    refers to any more. It acts when the driver's JVM collects its garbage,
+    which an idle driver may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

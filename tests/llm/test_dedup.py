@@ -83,7 +83,7 @@ def test_index_keeps_what_it_knew(spark):
 
 def line_reference(rows):
     def entry(x):
-        return x.strip(" \t\r").lower()
+        return x.strip(" \t\r")
 
     def shingles(x):
         return frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4)))
