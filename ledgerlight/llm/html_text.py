@@ -19,7 +19,7 @@ Defined cases. Null and empty html give an empty text. Truncated tags,
 comments and elements end with the page. Character references are decoded as
 HTML defines them; unknown ones stay as they are. Without a trainable page the
 trees know only that paragraphs with few links are text. Repeated page_ids are
-separate rows; columns other than page_id, url and html are ignored.
+separate rows, of which the fit takes the smallest; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -210,7 +210,8 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Boosted:
     usable = pages.where("html is not null and html <> ''").select(F.col("page_id").cast("long"), "html")
     # bounded: at most max_pages pages; ids first, so no html is sorted
     ids = usable.select("page_id", F.xxhash64("page_id").alias("h")).distinct().orderBy("h", "page_id").limit(max_pages)
-    sample = usable.join(F.broadcast(ids.select("page_id")), "page_id")
+    sample = usable.join(F.broadcast(ids.select("page_id")), "page_id") \
+        .groupBy("page_id").agg(F.min("html").alias("html"))
     rows = sample.mapInArrow(_training_batches, "page_id long, rows binary")
     found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: fit(pdf), "model binary").collect()
     return Boosted.unpack(found[0]["model"]) if found else default_model()

@@ -14,7 +14,8 @@ two arrays of fixed size, is sent to the scoring tasks. Whole texts are scored.
 
 Defined cases. Null and empty texts have one feature of their own and get a
 score. Without labels of both classes every score is 0.5. A null doc_id is not
-held out and not used for the fit. Repeated rows are scored each. Other columns
+held out and not used for the fit. Repeated rows are scored each; of a repeated
+doc_id the fit takes the smallest text. Other columns
 (lang, source, anything else) are never read.
 """
 
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     # bounded: at most max_rows pairs of numbers
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")) \
-        .join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+        .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     cols = rows.mapInArrow(_feature_batches, "doc_id long, label int, cols binary")
     found = cols.groupBy(F.lit(0).alias("all")).applyInPandas(
         lambda pdf: fit(pdf), "ratio binary, weights binary, a double, b double").collect()
