@@ -12,8 +12,6 @@ def spark():
     from ledgerlight.session import get_session
     s = get_session("local[4]", shuffle_partitions=8, app_name="ledgerlight-tests")
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerlight-test-ckpt-"))
     yield s
 
 
