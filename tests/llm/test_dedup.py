@@ -83,7 +83,7 @@ def test_index_keeps_what_it_knew(spark):
 
 def line_reference(rows):
     def entry(x):
-        return x.strip(" \t\r")
+        return x.strip(" \t\r").lower()
 
     def shingles(x):
         return frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4)))
@@ -136,6 +136,13 @@ def test_line_dedup_many_copies_of_a_line(spark):
     assert all(got[i]["text"] == prose(12, 1000 + i) for i in range(1, 400))
 
 
+def test_lines_in_other_case_are_copies(spark):
+    text = "Terms And Conditions Apply\nÜber Uns"
+    rows = [(1, text, *ROWS[0][2:]), (2, text.upper() + "\nx", *ROWS[0][2:]), (3, text.lower(), *ROWS[0][2:])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: text, 2: "x", 3: ""}
+
+
 def test_lines_at_the_threshold_meet(spark):
     """Pairs of lines with a similarity just above 0.8 share a band and pass the sketch."""
     rng = np.random.default_rng(11)
