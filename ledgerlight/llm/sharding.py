@@ -1,14 +1,16 @@
 """Balanced shards by label propagation under capacity quotas.
 
 Documents with equal texts are linked through their group. Every document
-starts in a shard drawn from its doc_id. In each round the linked documents
-look at where their group has most members (one aggregation, one join) and ask
-to move there; of the requests between two shards only as many are granted as
-the target's quota has room for, chosen by hash, so no shard's requests are
-ever ranked in one task. At the end, rows are put in order of (shard, group,
-row) and cut at exact multiples: counts differ by one at most, and only the
-groups that lie across one of the cuts are split. So few edges are cut whatever
-the sizes of the groups are.
+starts in a shard drawn from its doc_id. A group asks as a whole to move where
+most of its members are (two aggregations); of the requests to a shard only as
+many are granted as its quota has room for, the larger groups first. A refused
+group asks again, for a shard drawn by the room that is left, until every group
+has a place or none fits. Sums by size class and hash are all that the driver
+sees of the requests, so no shard's requests are ever ranked in one task; the
+last FINISH groups are placed on the driver, best fit. A group larger than a
+shard takes whole shards and one remainder. Rows without copies fill the shards
+up, so counts differ by one at most, and a group that fits a shard is split only
+if no shard had room for it.
 
 The law of the result is ``rows``: shard s has the rows whose place p (from 0)
 has floor(p * shards / rows) = s, slot is the place within the shard.
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import stored, text_or_empty
 
 SHARDS = 40
-ROUNDS = 4
-SLACK = 0.02
+# groups that are left to the driver, and hash parts of a size class in a round
+FINISH = 20_000
+PARTS = 64
 
 
 def quotas(sizes: dict[int, int], requests: dict[tuple[int, int], int], capacity: float,
@@ -49,62 +52,124 @@ def quotas(sizes: dict[int, int], requests: dict[tuple[int, int], int], capacity
     return {(a, b): granted[b] for a, b in requests}
 
 
-def propagate(linked: DataFrame, singles: dict[int, int], capacity: float, shards: int, rounds: int) -> DataFrame:
-    """``linked`` (row, unit, shard) after ``rounds`` of moves. What reaches
-    the driver each round is at most shards x shards counts."""
-    for k in range(rounds):
-        counts = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # the most frequent shard of a unit, ties by hash
-        order = F.col("n") * 1_000_000 + F.pmod(F.xxhash64("unit", "shard"), F.lit(1_000_000))
-        wish = stored(counts.groupBy("unit").agg(F.max_by("shard", order).alias("wish")), "wish")
-        asked = stored(linked.join(wish, "unit"), "asked")
-        flow = {(r["shard"], r["wish"]): r["n"] for r in
-                asked.groupBy("shard", "wish").agg(F.count(F.lit(1)).alias("n")).collect()}
-        sizes = dict(singles)
-        for (a, _), n in flow.items():
-            sizes[a] = sizes.get(a, 0) + n
-        granted = quotas(sizes, {ab: n for ab, n in flow.items() if ab[0] != ab[1]}, capacity)
-        if not any(granted.values()):
-            return asked.select("row", "shard")
-        share = F.create_map(*[x for (a, b), q in granted.items() for x in (F.lit(a * shards + b), F.lit(q))])
-        draw = (F.pmod(F.xxhash64(F.lit(k), "row"), F.lit(1_000_003)) + 0.5) / 1_000_003
-        take = F.coalesce(share[F.col("shard") * shards + F.col("wish")], F.lit(0.0)) > draw
-        linked = asked.select("row", "unit", F.when(take, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
-    return linked.select("row", "shard")
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def whole_shards(large: list[tuple[str, int]], room: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """(rows, shard, slot) for runs of the rows of groups larger than a shard,
+    in order: full shards, then a remainder where it fits best, cut if it must
+    be. Takes the rows from ``room``."""
+    runs = []
+    for _, n in large:
+        while n:
+            full = [s for s, r in enumerate(room) if r == capacity]
+            fits = [s for s, r in enumerate(room) if r >= n]
+            if n >= capacity and full:
+                s = full[0]
+            else:
+                s = min(fits, key=lambda s: room[s]) if fits else max(range(len(room)), key=lambda s: room[s])
+            take = min(n, room[s])
+            runs.append((take, s, capacity - room[s]))
+            room[s] -= take
+            n -= take
+    return runs
+
+
+def grants(asked: dict[tuple[int, int, int], int], room: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """The keys (wish, size class, part) of the requests that are granted,
+    larger classes first; no shard takes in more than its room, which is
+    lowered."""
+    wishes: dict[tuple[int, int], int] = {}
+    for (wish, _, _), n in asked.items():
+        wishes[-1, wish] = wishes.get((-1, wish), 0) + n
+    share = quotas({s: capacity - r for s, r in enumerate(room)}, wishes, capacity)
+    out = []
+    for key in sorted(asked, key=lambda k: (k[0], -k[1], k[2])):
+        if share[-1, key[0]] > 0 and asked[key] <= room[key[0]]:
+            room[key[0]] -= asked[key]
+            out.append(key)
+    return out
+
+
+def propagate(units: DataFrame, room: list[int], capacity: int, finish: int = FINISH) -> DataFrame:
+    """(grp, shard) of the groups of ``units`` (grp, members, wish) that get a
+    place; ``room`` is lowered by what they take."""
+    spark = units.sparkSession
+    placed, k = None, 0
+    left = units.count()
+    while left > finish:
+        kind = F.floor(F.log2("members")).cast("int")
+        asked = stored(units.select("*", kind.alias("kind"), F.pmod(F.xxhash64(F.lit(k), "grp"), F.lit(PARTS))
+                                    .cast("int").alias("part")), "asked")
+        sums = {(r["wish"], r["kind"], r["part"]): r["n"] for r in
+                asked.groupBy("wish", "kind", "part").agg(F.sum("members").alias("n")).collect()}
+        granted = grants(sums, room, capacity)
+        if not granted:
+            break
+        keys = F.broadcast(spark.createDataFrame(granted, "wish int, kind int, part int"))
+        moved = asked.join(keys, ["wish", "kind", "part"], "left_semi").select("grp", F.col("wish").alias("shard"))
+        placed = moved if placed is None else placed.unionByName(moved)
+        # the others ask for a shard drawn by the room that is left
+        draw = F.pmod(F.xxhash64(F.lit(-1 - k), "grp"), F.lit(max(sum(room), 1)))
+        wish, upto = F.lit(0), 0
+        for s, r in enumerate(room):
+            wish = F.when(draw >= upto, F.lit(s)).otherwise(wish) if r else wish
+            upto += r
+        units = stored(asked.join(keys, ["wish", "kind", "part"], "left_anti").select("grp", "members", wish.alias("wish")), "units")
+        left, k = units.count(), k + 1
+    pairs = []
+    for r in units.orderBy(F.desc("members"), "grp").limit(finish).collect():
+        n, s = r["members"], r["wish"]
+        if room[s] < n:
+            s = min((s for s in range(len(room)) if room[s] >= n), key=lambda s: room[s], default=None)
+        if s is not None:
+            room[s] -= n
+            pairs.append((r["grp"], s))
+    last = spark.createDataFrame(pairs, "grp string, shard int")
+    return last if placed is None else placed.unionByName(last)
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, finish: int = FINISH) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot,
     grown_shard (null under this law)."""
-    spark = docs.sparkSession
     text = text_or_empty()
     base = stored(docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("grp"),
         F.monotonically_increasing_id().alias("row")), "sharding")
     total = base.count()
-    # room for the chance differences of the start; the cut below evens out
-    capacity = max(1.0, (1 + slack) * total / shards + 4 * (total / shards) ** 0.5)
-    # a table of its own: the join below is then free to split a hot group
-    groups = stored(base.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "groups")
+    capacity = total // shards
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
-    # a group too large for one shard moves as several units
-    units = F.ceil(F.col("members") / capacity)
-    marked = stored(base.select("row", "grp", start.alias("shard")).join(groups, "grp").withColumn(
-        "unit", F.xxhash64("grp", F.pmod(F.xxhash64("row"), units))), "marked")
-    singles = {r["shard"]: r["n"] for r in marked.where("members = 1").groupBy("shard")
-               .agg(F.count(F.lit(1)).alias("n")).collect()}
-    linked = marked.where("members > 1").select("row", "unit", "shard")
-    moved = propagate(linked, singles, capacity, shards, rounds)
-    labels = stored(marked.where("members = 1").select("row", "shard").unionByName(moved), "labels")
-    return exact_cut(spark, base, labels, shards)
-
-
-def exact_cut(spark: SparkSession, base: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
-    """Rows in order of (shard, grp, row), numbered without a global window:
-    a range-partitioned sort numbers rows within each partition, and the
-    partitions' counts (one number each, all the driver sees) shift them."""
-    ordered = labels.join(base.select("row", "grp"), "row").repartitionByRange("shard", "grp", "row").sortWithinPartitions("shard", "grp", "row") \
+    counts = base.groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # the most frequent shard of a group, ties by hash
+    order = F.col("n") * 1_000_000 + F.pmod(F.xxhash64("grp", "shard"), F.lit(1_000_000))
+    groups = stored(counts.groupBy("grp").agg(F.sum("n").alias("members"), F.max_by("shard", order).alias("wish"))
+                    .where("members > 1"), "groups")
+    room = [capacity] * shards
+    # fewer than ``shards`` of these, and none to place if a shard holds no row
+    large = [(r["grp"], r["members"]) for r in groups.where(F.col("members") > capacity).orderBy("grp").collect()] \
+        if capacity else []
+    runs = whole_shards(large, room, capacity)
+    before = [capacity - r for r in room]
+    units = groups.where(F.col("members") <= capacity)
+    placed = propagate(units, room, capacity, finish)
+    if large:
+        placed = placed.unionByName(groups.where(F.col("members") > capacity).select("grp", F.lit(-1).alias("shard")))
+    # a table of its own: the join below is then free to split a hot group
+    placed = stored(placed, "placed")
+    labels = stored(base.select("row", "grp").join(placed, "grp", "left").select(
+        "row", "grp", F.coalesce("shard", F.lit(shards)).alias("shard")), "labels")
+    # rows in order: the large groups, the other groups by shard, the rest
+    runs += [(capacity - r - b, s, b) for s, (r, b) in enumerate(zip(room, before))]
+    first = [-(-s * total // shards) for s in range(shards + 1)]
+    runs += [(first[s + 1] - first[s] - capacity + r, s, capacity - r) for s, r in enumerate(room)]
+    return exact_cut(base, labels, runs)
+
+
+def exact_cut(base: DataFrame, labels: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows in order of (shard, grp, row), numbered without a global window and
+    dealt to ``runs`` (rows, shard, first slot): a range-partitioned sort numbers
+    rows within each partition, and the partitions' counts (one number each, all
+    the driver sees) shift them."""
+    spark = base.sparkSession
+    ordered = labels.repartitionByRange("shard", "grp", "row").sortWithinPartitions("shard", "grp", "row") \
         .select("row", F.monotonically_increasing_id().alias("place"))
     ordered = stored(ordered, "ordered")
     counts = ordered.groupBy(F.expr("shiftright(place, 33)").alias("part")).agg(F.count(F.lit(1)).alias("n")) \
@@ -117,13 +182,17 @@ def exact_cut(spark: SparkSession, base: DataFrame, labels: DataFrame, shards: i
     place = F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = ordered.withColumn("part", F.expr("shiftright(place, 33)")).join(F.broadcast(offsets), "part") \
         .select("row", place.alias("place"))
-    where = F.expr(f"cast(place as decimal(38,0)) * {shards} div {max(total, 1)}")
-    # the first place of shard s is ceil(s * rows / shards)
-    first = F.expr(f"cast((cast(shard as decimal(38,0)) * {total} + {shards - 1}) div {shards} as long)")
-    return base.join(numbered, "row").withColumn("shard", where.cast("int")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        F.col("grp").alias("text_group"))
+    at, spans = 0, []
+    for n, s, slot in runs:
+        if n:
+            spans.append((at, at + n, s, slot - at))
+        at += n
+    spans = spark.createDataFrame(spans, "lo long, hi long, shard int, shift long")
+    dealt = numbered.join(F.broadcast(spans), F.expr("place >= lo and place < hi")) \
+        .select("row", "shard", (F.col("place") + F.col("shift")).alias("slot"))
+    return base.join(dealt, "row").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("grp").alias("text_group"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,21 @@ def test_sharding(spark):
     assert sorted(three["slot"]) == [0, 0, 0]
 
 
+def test_sharding_beside_a_large_group_splits_no_other(spark):
+    """A third of the rows are one group; the rest are triples or pairs."""
+    for small, finish in ((3, sharding.FINISH), (2, 50)):
+        rows = [(i, "same" if i % 3 == 0 else f"text {i % 3} {i // 3 // small}") for i in range(6000)]
+        rows += [(6000 + i, f"alone {i}") for i in range(200)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sharding.shard(frame, finish=finish).toPandas()
+        assert len(got) == 6200 and got["doc_id"].nunique() == 6200
+        counts = got.groupby("shard").size()
+        assert set(counts) == {155}
+        assert all(sorted(g) == list(range(155)) for _, g in got.groupby("shard")["slot"])
+        split = got.groupby("text_group")["shard"].nunique()
+        assert (split > 1).sum() == 1 and split.max() == 13     # 2,000 rows of 155
+
+
 def test_quotas_stay_within_capacity():
     rng = np.random.default_rng(8)
     sizes = {s: int(rng.integers(50, 150)) for s in range(10)}
