@@ -11,7 +11,9 @@ import numpy as np
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ANY_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # elements whose content is never text
@@ -29,6 +31,18 @@ LISTS, TABLES = {"li", "ul", "ol", "dl", "dt", "dd"}, {"table", "tr", "td", "th"
 # what an opening tag closes, if it is open above it
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
+# in an element without text: what its opening tags close where HTML lets an end tag be left out
+HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "noframes", *RAW_TEXT - {"textarea", "iframe"}}
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset",
+          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li",
+          "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+ENDS_LIKE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+             "rt": {"rt", "rp"}, "rp": {"rt", "rp"}, "button": {"button"}, "a": {"a"}}
+SECTIONS = {"tbody", "thead", "tfoot"}
+# the elements that stop a cell, row or section of a table from closing more
+TABLE_PARTS = {"td": {"tr", "table", *SECTIONS}, "th": {"tr", "table", *SECTIONS}, "tr": {"table", *SECTIONS},
+               **dict.fromkeys(SECTIONS, {"table"})}
+SCOPES = {"table", "td", "th", "caption", "object"}
 # words in class, id, role and label that speak for or against main text
 SIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation",
               "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "related",
@@ -61,14 +75,51 @@ def attribute_words(attrs: str) -> tuple[int, int]:
     return side, main
 
 
+def hides(attrs: str) -> bool:
+    """The attributes say that the element is not shown."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for m in _ANY_ATTR.finditer(attrs):
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" \
+                or name == "style" and _NO_DISPLAY.search(html.unescape(value)):
+            return True
+    return False
+
+
+def left_open(inside: list[str], tag: str, outer: list[str]) -> int:
+    """How many of the open elements ``inside`` one without text (itself first)
+    stay open when ``tag`` opens; ``outer`` are the blocks around it."""
+    if inside[0] == "head":
+        return len(inside) if len(inside) > 1 or tag in HEAD else 0
+    keep = len(inside)
+    if tag in ENDS_P:
+        for i in range(len(inside) - 1, -1, -1):
+            if inside[i] == "p":
+                keep = i
+            if inside[i] in SCOPES or inside[i] in ("p", "button"):
+                break
+    for i in range(len(inside) - 1, -1, -1):
+        if inside[i] in ENDS_LIKE.get(tag, ()):
+            keep = min(keep, i)
+            break
+        if inside[i] not in INLINE and inside[i] not in ("address", "div", "p"):
+            break
+    if tag in TABLE_PARTS:
+        stop = max((i + 1 for i, x in enumerate(inside) if x in TABLE_PARTS[tag] and x != tag), default=0)
+        own = [i for i in range(stop, len(inside)) if inside[i] in TABLES or inside[i] == "caption"]
+        keep = min([keep, *own]) if stop or own or not TABLES & set(outer) else 0
+    return keep
+
+
 def parse(page: str) -> Node:
     """The tree of block elements. Bare text in a container becomes a ``#text``
     node; inline elements only add to their block's text and counts."""
     root = top = Node("body", None)
     stack = [root]                  # open block nodes
     inline: list[str] = []          # open inline elements of the innermost block
-    skip = ""                       # an element without text that is open
-    depth_skip, pos, order = 0, 0, 0
+    skip: list[str] = []            # an element without text that is open, and what is open in it
+    pos, order = 0, 0
 
     def text(s: str) -> None:
         nonlocal order
@@ -94,6 +145,8 @@ def parse(page: str) -> Node:
         m = _TOKEN.search(page, pos)
         end = m.start() if m else len(page)
         if end > pos:
+            if skip == ["head"] and page[pos:end].strip():
+                skip = []           # text ends a head
             text(html.unescape(page[pos:end]))
         if not m:
             break
@@ -101,12 +154,31 @@ def parse(page: str) -> Node:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if skip:
-            if tag == skip:
-                depth_skip += -1 if m[1] else 1
-                if depth_skip == 0:
-                    skip = ""
-            continue
+        if skip and m[1]:
+            if tag in skip:
+                del skip[len(skip) - 1 - skip[::-1].index(tag):]
+                continue
+            if skip[0] == "head":
+                over = tag in ("body", "html", "br")
+            elif tag in INLINE:
+                over = skip[0] in INLINE and tag in inline
+            else:               # the end of a block around it
+                over = any(n.tag == tag for n in stack[1:]) and (tag in TABLES or not SCOPES & set(skip))
+            if not over:
+                continue
+            skip = []
+        elif skip:
+            del skip[left_open(skip, tag, [n.tag for n in stack]):]
+            if skip:
+                if m[3].endswith("/") or tag in VOID:
+                    continue
+                if tag in RAW_TEXT:
+                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
+                    if stop or "svg" not in skip:
+                        pos = stop.end() if stop else len(page)
+                else:
+                    skip.append(tag)
+                continue
         if m[1]:
             if tag in INLINE:
                 if tag in inline:
@@ -120,12 +192,12 @@ def parse(page: str) -> Node:
         if tag in ("html", "body", "!doctype"):
             continue
         closed = m[3].endswith("/") or tag in VOID
-        if tag in RAW or _HIDDEN.search(m[3]):
+        if tag in RAW or hides(m[3]):
             if tag in RAW_TEXT:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
                 pos = stop.end() if stop else len(page)
             elif not closed:
-                skip, depth_skip = tag, 1
+                skip = [tag]
             continue
         stack[-1].tags += 1
         if tag in INLINE:

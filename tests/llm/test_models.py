@@ -147,6 +147,25 @@ def test_page_text_beyond_the_training_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_only_what_is_hidden_is_left_out():
+    def shown(page):
+        return " ".join("".join("".join(n.parts) + " " for n in dom.nodes_in_order(dom.parse(page))).split())
+    for attrs in ('title="a hidden gem"', "data-title='The hidden cost of x'", 'class="is hidden now"', "title='display: none'",
+                  'data-x="aria-hidden=true"', 'alt=">" title="was hidden"', "style='color:red'", "aria-hidden=false"):
+        assert shown(f"<article {attrs}><p>Text</p></article>") == "Text", attrs
+    for attrs in ("hidden", "HIDDEN=''", 'class="a" hidden', "style='color:red;display : none'", 'aria-hidden="true"', "title='x'hidden"):
+        assert shown(f"<div><div {attrs}><p>No<div>no</div></div>Text</div>") == "Text", attrs
+    # end tags that may be left out
+    for page in ("<head><title>No</title><meta charset=x><script>'<p>no'</script><body><p>Text", "<head><link><p>Text", "<head> Text",
+                 "<div><p hidden>no<p>Text</div>", "<p hidden>no <b>no<div>Text</div>", "<div><p hidden>no</div>Text",
+                 "<ul><li hidden>no<ul><li>no</ul>no<li>Text</ul>", "<ul><li hidden><div>no</ul>Text",
+                 "<ul><li><p hidden>no<li>Text</ul>", "<dl><dt hidden>no<dd>Text</dl>", "<table><tr hidden><td>no<td>no<tr><td>Text</table>",
+                 "<table><tr><td hidden>no<table><tr><td>no</table>no<td>Text</table>", "<table><tr><td><p hidden>no<td>Text</table>",
+                 "<table><tbody hidden><tr><td>no<tr><td>no<tbody><tr><td>Text</table>", "<div><button>no</div>Text",
+                 "<div hidden><script>'</div>'</script>no</div>Text", "<p><span hidden>no</p>Text"):
+        assert shown(page) == "Text", page
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(7)
     page = "".join(rng.choice(["<div>", "<p>", "text ", "</div>", "<section class=x>", "</section>", "more "], 200))
