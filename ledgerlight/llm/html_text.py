@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import dom
+from ledgerlight.llm.common import stored
 
 MAX_PAGES = 1200
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.3
@@ -207,12 +208,21 @@ def fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Boosted:
-    usable = pages.where("html is not null and html <> ''").select(F.col("page_id").cast("long"), "html")
-    # bounded: at most max_pages pages; ids first, so no html is sorted
-    ids = usable.select("page_id", F.xxhash64("page_id").alias("h")).distinct().orderBy("h", "page_id").limit(max_pages)
-    sample = usable.join(F.broadcast(ids.select("page_id")), "page_id") \
-        .groupBy("page_id").agg(F.min("html").alias("html"))
-    rows = sample.mapInArrow(_training_batches, "page_id long, rows binary")
+    # a cheap test keeps every page with marks; the labels then tell which are usable
+    marked = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")) \
+        .where(F.expr(r"html rlike '(?i)<(article|main)[\\s/>]'"))
+    # bounded: the smallest hashes, more of them only while too few are usable; ids first, so no html is sorted
+    hashed = stored(marked.select("page_id", F.xxhash64("page_id").alias("h")).distinct(), "marked")
+    most, taken = hashed.count(), max_pages
+    while True:
+        ids = hashed.orderBy("h", "page_id").limit(taken).select("page_id")
+        sample = marked.join(F.broadcast(ids), marked["page_id"].eqNullSafe(ids["page_id"])) \
+            .groupBy(marked["page_id"]).agg(F.min("html").alias("html"))
+        rows = stored(sample.mapInArrow(_training_batches, "page_id long, rows binary"), "training")
+        if taken >= most or rows.count() >= max_pages:
+            break
+        taken *= 4
+    rows = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: fit(pdf), "model binary").collect()
     return Boosted.unpack(found[0]["model"]) if found else default_model()
 

@@ -147,6 +147,15 @@ def test_page_text_beyond_the_training_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_fit_takes_marked_pages_where_marks_are_rare(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "html")
+    plain = "<html><body><div><p>Without marks.</p><!-- <article> --></div></body></html>"
+    others = spark.range(10_000, 13_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, plain).otherwise(
+        plain.replace("<article>", "")).alias("html"))
+    want, got = html_text.train(pages, 30), html_text.train(pages.union(others), 30)
+    assert got.pack() == want.pack() != html_text.default_model().pack()
+
+
 def test_only_what_is_hidden_is_left_out():
     def shown(page):
         return " ".join("".join("".join(n.parts) + " " for n in dom.nodes_in_order(dom.parse(page))).split())
