@@ -2,8 +2,10 @@
 
 The index is a table of (digest, keep_id, group_size), bucketed and sorted by
 digest on shared storage. A batch is reduced to one row per digest before
-anything is shuffled by digest, digests already known drop out by a sort-merge
-anti-join against the index, and the new ones are appended.
+anything is shuffled by digest. Digests that a sort-merge anti-join against the
+index finds new are appended with their keep_id, known ones with their count in
+the batch only; reading sums the counts. So ``group_size`` is the number of rows
+of all batches up to this one; what an earlier batch returned is not changed.
 
 Defined cases. Null text counts as empty; empty texts are one group. Rows that
 repeat a doc_id stay separate rows and count separately in ``group_size``. A
@@ -27,7 +29,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Known digests, bucketed and sorted by digest in one table."""
+    """Known digests, bucketed and sorted by digest in one table; one row per
+    digest and batch."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -39,19 +42,24 @@ class DigestIndex:
                   f"LOCATION '{self.path}'")
 
     def add(self, batch: DataFrame) -> None:
-        """Append the digests of ``batch`` (doc_id, digest) that the index lacks."""
+        """Append the digests of ``batch`` (doc_id, digest): those the index lacks
+        with their keep_id, the others with their count alone."""
         # a table of its own: else the optimiser moves the anti-join below the
         # aggregate, and every copy is shuffled by its digest
         groups = stored(batch.groupBy("digest").agg(
             F.max("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
         known = self.spark.table(self.table).select("digest")
         new = groups.join(known.hint("merge"), "digest", "left_anti")
-        new.write.format("parquet").mode("append").bucketBy(self.buckets, "digest") \
+        grown = groups.join(known.distinct().hint("merge"), "digest", "left_semi") \
+            .withColumn("keep_id", F.lit(None).cast("long"))
+        new.unionByName(grown).write.format("parquet").mode("append").bucketBy(self.buckets, "digest") \
             .sortBy("digest").option("path", self.path).saveAsTable(self.table)
 
     def rows(self) -> DataFrame:
-        """The whole index, as plain files (a join may then split a hot digest)."""
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(self.path)
+        """The whole index, one row per digest, as plain files (a join may then
+        split a hot digest)."""
+        return stored(self.spark.table(self.table).groupBy("digest").agg(
+            F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "index")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

@@ -81,6 +81,17 @@ def test_index_keeps_what_it_knew(spark):
     assert index.rows().count() == 2
 
 
+def test_index_counts_every_batch(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    rest = ROWS[0][2:]
+    batches = [[(1, A), (2, A.upper()), (None, "x")], [(3, A), (4, "new"), (5, "x")], [(6, A), (7, A), (8, "new"), (9, "new")]]
+    got = [{(r["doc_id"], r["keep_id"], r["group_size"]) for r in
+            exact_dedup.exact_dedup(docs(spark, [(*r, *rest) for r in b]), index).collect()} for b in batches]
+    assert got == [{(1, 2, 2), (2, 2, 2), (None, None, 1)}, {(3, 2, 3), (4, 4, 1), (5, None, 2)},
+                   {(6, 2, 5), (7, 2, 5), (8, 4, 3), (9, 4, 3)}]
+    assert index.rows().count() == 3
+
+
 def line_reference(rows):
     def entry(x):
         return x.strip(" \t\r").lower()
