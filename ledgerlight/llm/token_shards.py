@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of doc_id, tokenized, and written as shards
 of about a million ids in ascending doc_id order. In a shard, frequent pairs
-of neighbouring symbols are replaced by new symbols, round after round; the
-rules, the number of ids each rule expands to, and every document's place are
+of neighbouring symbols are replaced by new symbols, round after round, until
+none is seen MIN_COUNT times or the 65,536 symbols are used up; the rules, the number of ids each rule expands to, and every document's place are
 stored, so one document (or a span of it) is decoded without the rest.
 
 File format (little-endian), one binary value per shard: magic ``LLRP``,
@@ -34,7 +34,6 @@ from ledgerlight.llm.tokens import BYTE, crc, encoded_documents
 
 MAGIC, VERSION = b"LLRP", 1
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 RULES_PER_ROUND = 3000
 MIN_COUNT = 24
 SYMBOLS = 1 << 16
@@ -89,7 +88,7 @@ def replace_pairs(sym: np.ndarray, last: np.ndarray, keys: np.ndarray, base: int
     return sym[stay], last[stay]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
+def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int | None = None, per_round: int = RULES_PER_ROUND,
              least: int = MIN_COUNT) -> bytes:
     """The binary shard of documents with ``sizes`` ids (all at least 1) each."""
     top = int(ids.max(initial=0)) + 1
@@ -100,7 +99,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, per_round
     last[np.cumsum(sizes) - 1] = True
     rules, lengths, bases = np.zeros((0, 2), np.uint16), np.zeros(0, np.int64), []
     first = top
-    for _ in range(rounds):
+    while rounds is None or len(bases) < rounds:
         keys = frequent_pairs(sym, last, min(per_round, SYMBOLS - top), least) if len(sym) > 1 else np.zeros(0, np.uint32)
         if not len(keys):
             break
@@ -169,7 +168,7 @@ class Shard:
         return self.expand(sym[a:b])[start - skipped:stop - skipped]
 
 
-def _write(shard_ids: int, name: str, path: str | None, rounds: int, per_round: int):
+def _write(shard_ids: int, name: str, path: str | None, rounds: int | None, per_round: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
@@ -199,7 +198,7 @@ def _write(shard_ids: int, name: str, path: str | None, rounds: int, per_round:
 
 
 def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS, name: str = BYTE,
-                 vocabulary: str | None = None, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND) -> None:
+                 vocabulary: str | None = None, rounds: int | None = None, per_round: int = RULES_PER_ROUND) -> None:
     """Write all documents as shards below ``path`` in ascending doc_id order.
 
     Rows are dealt out by (doc_id, text hash, input place), so rows of one id

@@ -128,6 +128,15 @@ def test_grammar_compresses():
         token_shards.compress(np.array([70000], "<u4"), np.array([1]))
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """A document copied often shrinks to one symbol, whatever its length."""
+    ids = np.tile(np.random.default_rng(4).permutation(300), 500).astype("<u4")
+    shard = token_shards.Shard(token_shards.compress(ids, np.full(500, 300)))
+    assert len(shard.symbols) == 500
+    assert (shard.expand(shard.symbols) == ids).all()
+    assert (shard.document(7, 20, 290) == ids[20:290]).all()
+
+
 def test_piece_merges_are_the_library():
     bpe = sentencepiece_bpe.PieceBpe(sentencepiece_bpe.model_path(), max_words=50)
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.model_path())
