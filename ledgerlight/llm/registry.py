@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import exact_dedup, html_text, line_dedup, neighbours, packing, quality, sentencepiece_bpe, sharding, simhash, token_shards
+from ledgerlight.llm import (alignment, exact_dedup, html_text, line_dedup, neighbours, packing, periodic_runs, quality,
+                             quality_rules, sentencepiece_bpe, sharding, simhash, token_shards)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_token_shards": token_shards.query,
     "op10_simhash": simhash.query,
+    "op11_quality_rules": quality_rules.query,
+    "op12_alignment": alignment.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLE = {
