@@ -19,6 +19,7 @@ from ledgerlight.functions.exprs import (
     year_week_key)
 from ledgerlight.operators.ranking import exact_quantiles, nearest_rank_percentiles
 from ledgerlight.session import materialize
+from ledgerlight.sources.event_days import time_bounds
 
 
 def _ts(as_of: dt.datetime):
@@ -43,7 +44,7 @@ def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
     percentiles run on (tier, value) counts, spread over value buckets when a
     tier is large (see ``operators.ranking``), never on a per-tier list.
     """
-    e = events.where(F.col("event_type").isin(list(session_events)) & (F.col("timestamp") >= _since(as_of, days_back)))
+    e = time_bounds(events, _since(as_of, days_back)).where(F.col("event_type").isin(list(session_events)))
     e = e.select("user_id",
                  F.coalesce(F.col("subscription_tier"), F.lit("unknown")).alias("tier"),
                  year_week_key("timestamp").alias("year_week"),
@@ -74,8 +75,8 @@ def sessions_by_tier(events: DataFrame, as_of: dt.datetime, days_back: int = 90,
 def active_days(events: DataFrame, as_of: dt.datetime, days_back: int,
                 feature_events: Sequence[str], key: str = "feature_name") -> DataFrame:
     """Distinct (user, key, UTC day) rows of qualifying events."""
-    e = events.where(F.col("event_type").isin(list(feature_events))
-                     & (F.col("timestamp") >= _since(as_of, days_back)) & F.col(key).isNotNull())
+    e = time_bounds(events, _since(as_of, days_back)).where(
+        F.col("event_type").isin(list(feature_events)) & F.col(key).isNotNull())
     return e.select("user_id", F.col(key).alias("key"), F.to_date("timestamp").alias("day")).distinct()
 
 
@@ -131,11 +132,7 @@ def funnel(events: DataFrame, stages: Sequence[str], ordered: bool = False,
     ``median_seconds_from_prev`` gives the exact median of those gaps.
     Optional ``since``/``until`` bound the event time.
     """
-    e = events.where(F.col("event_type").isin(list(stages)) & F.col("user_id").isNotNull())
-    if since is not None:
-        e = e.where(F.col("timestamp") >= _ts(since))
-    if until is not None:
-        e = e.where(F.col("timestamp") < _ts(until))
+    e = time_bounds(events, since, until).where(F.col("event_type").isin(list(stages)) & F.col("user_id").isNotNull())
     spark = events.sparkSession
     stage_df = spark.createDataFrame([(s, i + 1) for i, s in enumerate(stages)], "stage string, step_number int")
     if not ordered:
@@ -157,25 +154,53 @@ def funnel(events: DataFrame, stages: Sequence[str], ordered: bool = False,
     return out.select(*cols).orderBy("step_number")
 
 
-def _ordered_counts(e: DataFrame, stages: Sequence[str], stage_df: DataFrame) -> DataFrame:
+def funnel_segments(e: DataFrame, stages: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """What every time range of a user's events does to the user's progress:
+    (user_id, part, chains), at most one row per user and part.
+
+    Events are dealt out by ranges of (user, time), so a user with a third of
+    all events has many parts, and parts of a user follow each other in time.
+    ``chains[j]`` holds the times at which a user who enters the part with j
+    stages reached gets to stage j + 1, j + 2 and so on inside it."""
+    n = len(stages)
+    bit = F.coalesce(*[F.when(F.col("event_type") == s, F.lit(1 << k)) for k, s in enumerate(stages)])
+    # events of one instant are one row: their stages as bits
+    instants = e.where(F.col("timestamp").isNotNull()).select("user_id", "timestamp", bit.alias("bit")) \
+        .groupBy("user_id", "timestamp").agg(F.bit_or("bit").alias("bits"))
+    keys = ["user_id", "timestamp"]
+    dealt = instants.repartitionByRange(partitions, *keys) if partitions else instants.repartitionByRange(*keys)
+    rows = materialize(dealt.withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("user_id", "part")   # one sort serves all steps
+    at = lambda j, s: f"t{j}_{s}"
+    for step in range(1, n + 1):
+        new = {}
+        for j in range(n - step + 1):
+            s = j + step
+            hit = F.col("bits").bitwiseAND(F.lit(1 << (s - 1))) != 0
+            if step > 1:
+                hit = hit & (F.col("timestamp") >= F.col(at(j, s - 1)))
+            new[at(j, s)] = F.min(F.when(hit, F.col("timestamp"))).over(inside)
+        rows = rows.withColumns(new)
+    chain = [F.filter(F.array(*[F.col(at(j, s)) for s in range(j + 1, n + 1)]), lambda t: t.isNotNull()) for j in range(n)]
+    once = rows.groupBy("user_id", "part").agg(*[F.first(at(j, s)).alias(at(j, s)) for j in range(n) for s in range(j + 1, n + 1)])
+    nothing = F.array().cast(f"array<{dict(e.dtypes)['timestamp']}>")
+    return once.select("user_id", "part", F.array(*chain, nothing).alias("chains"))
+
+
+def _ordered_counts(e: DataFrame, stages: Sequence[str], stage_df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per stage, users reaching it in order and the median seconds from the
-    previous stage. One join per stage against one row per user, so a user
-    with a huge share of events is split by the join (AQE skew handling)
-    rather than collected into one list."""
-    reached = e.where(F.col("event_type") == stages[0]).groupBy("user_id") \
-        .agg(F.min("timestamp").alias("t"))
-    parts = [reached.select(F.lit(stages[0]).alias("stage"), "user_id", F.lit(None).cast("double").alias("gap"))]
-    for s in stages[1:]:
-        nxt = e.where(F.col("event_type") == s).select("user_id", F.col("timestamp").alias("ts"))
-        step = nxt.join(reached, "user_id").where(F.col("ts") >= F.col("t")) \
-            .groupBy("user_id", F.col("t").alias("t_prev")).agg(F.min("ts").alias("t_new"))
-        parts.append(step.select(F.lit(s).alias("stage"), "user_id", seconds_between("t_new", "t_prev").alias("gap")))
-        reached = step.select("user_id", F.col("t_new").alias("t"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    counts = allp.groupBy("stage").agg(F.count(F.lit(1)).alias("count"))
-    med = exact_quantiles(allp.where(F.col("gap").isNotNull()), ["stage"], "gap", {"median": 0.5})
+    previous stage, from one pass over the events: a user's segments are folded
+    in the order of time (as many as there are parts at most)."""
+    folded = funnel_segments(e, stages, partitions).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("part", "chains"))).alias("parts")).select(
+        F.expr(f"aggregate(parts, cast(array() as array<{dict(e.dtypes)['timestamp']}>), "
+               "(t, p) -> concat(t, p.chains[size(t)]))").alias("times"))
+    reached = folded.select("times", F.posexplode("times").alias("k", "t"))
+    gaps = materialize(reached.select(
+        F.element_at(F.array(*[F.lit(s) for s in stages]), F.col("k") + 1).alias("stage"),
+        F.when(F.col("k") > 0, seconds_between("t", F.expr("times[greatest(k - 1, 0)]"))).alias("gap")))
+    counts = gaps.groupBy("stage").agg(F.count(F.lit(1)).alias("count"))
+    med = exact_quantiles(gaps.where(F.col("gap").isNotNull()), ["stage"], "gap", {"median": 0.5})
     return F.broadcast(stage_df).join(counts, "stage", "left").join(med, "stage", "left").select(
         "stage", "step_number",
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
@@ -193,7 +218,7 @@ def engaged_users(events: DataFrame, as_of: dt.datetime, tier: str = "free", day
     One ``groupBy(user)`` with partial aggregation; distinct counts are the
     only exact-set aggregates and are bounded by features / event types.
     """
-    e = events.where((F.col("subscription_tier") == tier) & (F.col("timestamp") >= _since(as_of, days_back)))
+    e = time_bounds(events, _since(as_of, days_back)).where(F.col("subscription_tier") == tier)
     ds = days_between(_ts(as_of), F.col("timestamp"))
     dur = F.coalesce(F.col("properties.duration_seconds").cast("double"), F.lit(float(default_duration)))
     e = e.select("user_id", "feature_name", "event_type", ds.alias("days_since"), dur.alias("dur"))

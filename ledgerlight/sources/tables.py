@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.sources.event_days import time_bounds
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                predicate: Column | str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -25,10 +27,11 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 def read_events(spark: SparkSession, path: str, since: dt.datetime | None = None,
                 ts_col: str = "timestamp", drop: Sequence[str] = ("_id",), fmt: str = "parquet") -> DataFrame:
     """Events from ``since`` on, without store-internal columns. The
-    predicate is on the raw column so parquet row groups can be skipped."""
+    predicate is on the raw column so parquet row groups can be skipped; a
+    table laid out by day (``event_days``) reads only the folders it needs."""
     df = spark.read.format(fmt).load(path)
     if since is not None:
-        df = df.where(F.col(ts_col) >= F.lit(since.isoformat(sep=" ")).cast(dict(df.dtypes)[ts_col]))
+        df = time_bounds(df, F.lit(since.isoformat(sep=" ")).cast(dict(df.dtypes)[ts_col]), ts_col=ts_col)
     return df.drop(*[c for c in drop if c in df.columns])
 
 
