@@ -34,6 +34,17 @@ CSV_SCHEMAS: dict[str, str] = {
 RELATIONAL = ("customers", "plans", "subscriptions", "billing", "support_tickets", "team_members", "feature_flags")
 COLLECTIONS = ("events", "sessions")
 
+# The primary keys of the relational tables.
+PRIMARY_KEYS = {
+    "customers": "customer_id",
+    "plans": "plan_id",
+    "subscriptions": "subscription_id",
+    "billing": "billing_id",
+    "support_tickets": "ticket_id",
+    "team_members": "team_member_id",
+    "feature_flags": "flag_id",
+}
+
 
 def schema_of(table: str) -> StructType:
     return StructType.fromDDL(CSV_SCHEMAS[table])
