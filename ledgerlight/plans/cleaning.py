@@ -145,14 +145,17 @@ def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 1
 def run_quality_phase(raw: DataFrame, mode: str = "full", clean_mode: str = AS_CODED,
                       outlier_factor: float = 10.0, expected_events: Sequence[str] = EXPECTED_EVENTS,
                       expected_tiers: Sequence[str] = EXPECTED_TIERS) -> dict[str, DataFrame]:
-    """CL8 driver: ``analyze`` profiles the raw events (DQ8 report),
-    ``clean`` runs the cleaning chain and its report, ``full`` does both."""
-    from ledgerlight.plans.quality import quality_report
+    """CL8 driver: ``analyze`` profiles the raw events (DQ8 report, with samples
+    of documents and of duplicate groups), ``clean`` runs the cleaning chain and
+    its report, ``full`` does both."""
+    from ledgerlight.plans.quality import duplicate_samples, quality_report, sample_documents
     if mode not in ("analyze", "clean", "full"):
         raise ValueError(f"mode must be analyze, clean or full, got {mode!r}")
     out: dict[str, DataFrame] = {}
     if mode in ("analyze", "full"):
-        out["quality_report"] = quality_report(canonical_events(raw), expected_events, expected_tiers)
+        canon = canonical_events(raw)
+        out["quality_report"] = quality_report(canon, expected_events, expected_tiers)
+        out["duplicate_samples"], out["sample_documents"] = duplicate_samples(canon), sample_documents(canon)
     if mode in ("clean", "full"):
         out["clean_events"], out["cleaning_report"] = clean_events(
             raw, clean_mode, outlier_factor, expected_events, expected_tiers)

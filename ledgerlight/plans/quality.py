@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.sources.tables import sample
+
 # Fields the profiler requires, and the expected domains.
 REQUIRED_FIELDS = ("user_id", "timestamp", "event_type", "subscription_tier")
 EXPECTED_EVENTS = ("signup", "first_login", "workspace_created", "first_project", "invited_teammate",
@@ -47,6 +49,28 @@ def duplicate_groups(events: DataFrame, id_col: str = "event_id") -> DataFrame:
     ).where(F.col("count") > 1)
 
 
+def duplicate_samples(events: DataFrame, n: int = 5, id_col: str = "event_id") -> DataFrame:
+    """DQ2 samples: every duplicate group with its size and its ``n`` smallest
+    ids. The window keeps ``n`` rows of a group in every task before the shuffle
+    and once more after it, so a group of any size is never gathered."""
+    key = ["user_id", "event_type", "second"]
+    rows = events.select("user_id", "event_type", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("second"),
+                         F.col(id_col).alias("id"))
+    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
+    few = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("place") <= n)
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"few.{c}").eqNullSafe(F.col(f"groups.{c}"))
+    return few.alias("few").join(groups.alias("groups"), same).groupBy(*[F.col(f"groups.{c}").alias(c) for c in key], "count").agg(
+        F.array_sort(F.collect_list("id")).alias("sample_ids"))
+
+
+def sample_documents(events: DataFrame, n: int = 20, id_col: str = "event_id") -> DataFrame:
+    """DQ8 samples: the first ``n`` events by id, with the columns the report shows."""
+    shown = [c for c in (id_col, "user_id", "event_type", "timestamp", "subscription_tier") if c in events.columns]
+    return sample(events, n, id_col).select(*shown)
+
+
 def timestamp_range(events: DataFrame) -> DataFrame:
     """DQ3: first and last event time, whole days between them, event count."""
     return events.agg(

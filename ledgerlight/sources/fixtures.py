@@ -216,6 +216,26 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def drifting_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver events with properties as text whose keys and notation change
+    from row to row: JSON, dict reprs with both kinds of quotes, nested values,
+    text that breaks off, none at all."""
+    e = _read(spark, sf_dir, "events")
+    v = F.col("value").cast("string")
+    k = F.get_json_object("props", "$.k")
+    kinds = [
+        F.concat(F.lit('{"duration_seconds": '), v, F.lit(', "k": '), k, F.lit(', "note": "None shall pass"}')),
+        F.concat(F.lit("{'session_duration': "), v, F.lit(", 'note': 'None shall pass', 'ok': True, 'gone': None}")),
+        F.concat(F.lit("{'duration_seconds': "), v, F.lit(", 'who': \"it's False\", 'say': 'a \"True\" word', 'at': 'caf\\xe9'}")),
+        F.concat(F.lit('{"duration_seconds": '), v, F.lit(', "geo": {"city": "True North", "n": [1, 2]}}')),
+        F.lit("{'duration_seconds': "),
+        F.lit(None).cast("string"),
+    ]
+    text = F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    return e.select("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type",
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), text.alias("properties"))
+
+
 def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer_id % 13 = 0 takes the previous customer's email; % 53 = 0 has none."""
     c = customers(spark, sf_dir)
@@ -251,6 +271,7 @@ CANONICAL = {
     "app_events": events,
     "app_sessions": sessions,
     "dirty_events": dirty_events,
+    "drifting_events": drifting_events,
     "dirty_customers": dirty_customers,
     "dirty_subscriptions": dirty_subscriptions,
     "dirty_billing": dirty_billing,
@@ -353,6 +374,12 @@ ORACLE_CTES = {
         SELECT event_id + {DUP_OFFSET}, customer_id, user_id, event_type, feature_name, bad_bytes,
                subscription_tier, "timestamp", duration_seconds
         FROM raw WHERE event_id % 29 = 0""",
+    # what each row's text says, row by row (no text is parsed on this side)
+    "drifting_events": """
+        SELECT event_id, CASE WHEN event_id % 6 < 4 THEN value END AS duration_seconds, key, val
+        FROM events LEFT JOIN (VALUES (0, 'k', ''), (0, 'note', 'None shall pass'), (1, 'note', 'None shall pass'),
+            (1, 'ok', 'true'), (1, 'gone', NULL), (2, 'who', 'it''s False'), (2, 'say', 'a "True" word'), (2, 'at', 'café'),
+            (3, 'geo', '{"city":"True North","n":[1,2]}')) AS extra(kind, key, val) ON event_id % 6 = kind""",
     "dirty_customers": """
         SELECT c.customer_id, c.company_name,
                CASE WHEN c.customer_id % 53 = 0 THEN NULL WHEN c.customer_id % 13 = 0 THEN p.email

@@ -57,8 +57,8 @@ def test_loader_append_vs_replace(spark, scratch):
     small = {k: tables[k] for k in ("customers", "events")}
     csv_dir, out = os.path.join(scratch, "csv"), os.path.join(scratch, "tables")
     write_csv_dir(small, csv_dir)
-    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"))
-    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"))
+    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"), unique=False)
+    load_csv_dir(spark, csv_dir, out, tables=("customers", "events"), unique=False)
     # relational tables append, document collections are replaced
     assert spark.read.parquet(os.path.join(out, "customers")).count() == 20
     assert spark.read.parquet(os.path.join(out, "events")).count() == small["events"].count()
