@@ -112,3 +112,26 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
         lo, hi, fr = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), F.col(f"__{name}_frac")
         outs.append((lo.cast("double") + fr * (hi.cast("double") - lo.cast("double"))).alias(name))
     return cum.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
+
+
+def quantiles_of_columns(df: DataFrame, wanted: dict[str, dict[str, float]], partitions: int | None = None) -> DataFrame:
+    """One row with the interpolated quantiles of several numeric columns of the
+    whole frame: ``wanted[column][name] = p`` gives the column ``name``. All
+    columns share one pass and one range shuffle: their rows become (column,
+    value) pairs, counted before the shuffle, and each column is a group. NULL
+    values are ignored; a column without values gives NULL."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).cast("double").alias("__value")) for c in wanted]))
+    long = df.select(pairs.alias("__pair")).select("__pair.*").where("__value is not null")
+    cum = running_counts(long, ["__column"], "__value", partitions=partitions)
+    aggs, outs = [], []
+    for c, probs in wanted.items():
+        mine = F.col("__column") == c
+        for name, p in probs.items():
+            pos = (F.col("__n") - 1) * F.lit(p)
+            for end, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+                hit = mine & (F.col("__cum") - F.col("__c") <= at) & (at < F.col("__cum"))
+                aggs.append(F.min(F.when(hit, F.col("__value"))).alias(f"__{name}_{end}"))
+            aggs.append(F.max(F.when(mine, pos - F.floor(pos))).alias(f"__{name}_part"))
+            lo, hi, part = (F.col(f"__{name}_{x}") for x in ("lo", "hi", "part"))
+            outs.append((lo + part * (hi - lo)).alias(name))
+    return cum.agg(*aggs).select(*outs)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.plans.quality import EXPECTED_EVENTS, EXPECTED_TIERS
+from ledgerlight.session import materialize
 from ledgerlight.sources.canonical import canonical_events, parse_event_time
 
 AS_CODED, CORRECTED = "as_coded", "corrected"
@@ -91,32 +92,38 @@ def flag_outliers(df: DataFrame, factor: float = 10.0, col: str = "properties.du
     return df.withColumn("flagged_outlier", F.coalesce(d > F.lit(float(factor)) * mean, F.lit(False)))
 
 
+# what became of a raw row: kept (with its copies), or dropped for one reason
+_KEPT, _MISSING, _UNREADABLE = 0, 1, 2
+
+
 def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 10.0,
                  expected_events: Sequence[str] = EXPECTED_EVENTS,
                  expected_tiers: Sequence[str] = EXPECTED_TIERS) -> tuple[DataFrame, DataFrame]:
     """CL8: canonicalise, then CL1 -> CL2 -> CL3 -> CL4 -> CL5 -> CL6, and the
-    CL7 report (with the DQ9 counts). Returns (clean events, report)."""
+    CL7 report (with the DQ9 counts). Returns (clean events, report).
+
+    The raw events are read once. Dropped rows go through the deduplication as
+    one row for each reason, so its group sizes count every raw row, and the
+    stored result holds all that the report needs."""
     canon = canonical_events(raw, parse_time=False)
     checked = CRITICAL_FIELDS[:1] if mode == AS_CODED else CRITICAL_FIELDS
     miss = F.lit(False)
     for f in checked:
         miss = miss | F.col(f).isNull()
-    stage1 = canon.withColumn("_missing", miss)
-    kept = fill_tier(stage1.where(~F.col("_missing")))
-    kept = parse_timestamps(kept)
-    if mode == CORRECTED:
-        kept = kept.where(F.col("timestamp").isNotNull())
-    deduped = dedupe_exact(kept)
-    repaired = repair_utf8(deduped)
-    flagged = flag_outliers(repaired, outlier_factor)
-    clean = flagged.drop("_missing", "_ts_parsed", "_copies", "_enc_fixed")
-
-    before = stage1.agg(
-        F.count(F.lit(1)).alias("before_total"),
-        F.count_if(F.col("_missing")).alias("null_corrections"),
-    )
-    mid = kept.agg(F.count_if(F.col("_ts_parsed")).alias("timezone_corrections"),
-                   F.count(F.lit(1)).alias("__kept"))
+    read = parse_timestamps(fill_tier(canon.withColumn("_missing", miss)))
+    unreadable = F.col("timestamp").isNull() if mode == CORRECTED else F.lit(False)
+    read = read.withColumn("_state", F.when(F.col("_missing"), _MISSING).when(unreadable, _UNREADABLE).otherwise(_KEPT)).drop("_missing")
+    gone = F.col("_state") != _KEPT
+    read = read.withColumns({c: F.when(~gone, F.col(c)) for c in DEDUPE_KEY})
+    done = materialize(repair_utf8(dedupe_exact(read, ("_state", *DEDUPE_KEY))))
+    flagged = flag_outliers(done.where(F.col("_state") == _KEPT), outlier_factor)
+    clean = flagged.select(*[c for c in flagged.columns if c not in ("_state", "_ts_parsed", "_copies", "_enc_fixed")])
+
+    counts = done.agg(
+        F.sum("_copies").alias("before_total"),
+        F.sum(F.when(F.col("_state") == _MISSING, F.col("_copies"))).alias("null_corrections"),
+        F.sum(F.when((F.col("_state") == _KEPT) & F.col("_ts_parsed"), F.col("_copies"))).alias("timezone_corrections"),
+        F.sum(F.when(F.col("_state") == _KEPT, F.col("_copies") - 1)).alias("duplicates_removed"))
     after = flagged.agg(
         F.count(F.lit(1)).alias("after_total"),
         F.count_if(F.col("_enc_fixed")).alias("encoding_fixes"),
@@ -126,17 +133,10 @@ def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 1
         F.count_if(~F.coalesce(F.col("subscription_tier").isin(*expected_tiers), F.lit(False)))
         .alias("unexpected_tiers"),
     )
-    # each stage's counters are one aggregation, used as a scalar subquery
-    b, m, a = (x.select(F.struct("*")).scalar() for x in (before, mid, after))
-    wide = raw.sparkSession.range(1).select(
-        b["before_total"].alias("before_total"), a["after_total"].alias("after_total"),
-        (b["before_total"] - a["after_total"]).alias("records_removed"),
-        b["null_corrections"].alias("null_corrections"), m["timezone_corrections"].alias("timezone_corrections"),
-        (m["__kept"] - a["after_total"]).alias("duplicates_removed"),
-        a["encoding_fixes"].alias("encoding_fixes"), a["outliers_flagged"].alias("outliers_flagged"),
-        a["unexpected_event_types"].alias("unexpected_event_types"),
-        a["unexpected_tiers"].alias("unexpected_tiers"))
-    metrics = wide.columns
+    wide = after.withColumn("__c", counts.select(F.struct("*")).scalar()).select("*", "__c.*").fillna(0) \
+        .withColumn("records_removed", F.col("before_total") - F.col("after_total"))
+    metrics = ["before_total", "after_total", "records_removed", "null_corrections", "timezone_corrections", "duplicates_removed",
+               "encoding_fixes", "outliers_flagged", "unexpected_event_types", "unexpected_tiers"]
     stack = ", ".join(f"'{m}', CAST(`{m}` AS BIGINT)" for m in metrics)
     report = wide.select(F.expr(f"stack({len(metrics)}, {stack}) AS (metric, value)"))
     return clean, report
@@ -145,17 +145,14 @@ def clean_events(raw: DataFrame, mode: str = AS_CODED, outlier_factor: float = 1
 def run_quality_phase(raw: DataFrame, mode: str = "full", clean_mode: str = AS_CODED,
                       outlier_factor: float = 10.0, expected_events: Sequence[str] = EXPECTED_EVENTS,
                       expected_tiers: Sequence[str] = EXPECTED_TIERS) -> dict[str, DataFrame]:
-    """CL8 driver: ``analyze`` profiles the raw events (DQ8 report, with samples
-    of documents and of duplicate groups), ``clean`` runs the cleaning chain and
-    its report, ``full`` does both."""
-    from ledgerlight.plans.quality import duplicate_samples, quality_report, sample_documents
+    """CL8 driver: ``analyze`` profiles the raw events (DQ8 report),
+    ``clean`` runs the cleaning chain and its report, ``full`` does both."""
+    from ledgerlight.plans.quality import quality_report
     if mode not in ("analyze", "clean", "full"):
         raise ValueError(f"mode must be analyze, clean or full, got {mode!r}")
     out: dict[str, DataFrame] = {}
     if mode in ("analyze", "full"):
-        canon = canonical_events(raw)
-        out["quality_report"] = quality_report(canon, expected_events, expected_tiers)
-        out["duplicate_samples"], out["sample_documents"] = duplicate_samples(canon), sample_documents(canon)
+        out["quality_report"] = quality_report(canonical_events(raw), expected_events, expected_tiers)
     if mode in ("clean", "full"):
         out["clean_events"], out["cleaning_report"] = clean_events(
             raw, clean_mode, outlier_factor, expected_events, expected_tiers)
@@ -163,71 +160,104 @@ def run_quality_phase(raw: DataFrame, mode: str = "full", clean_mode: str = AS_C
 
 
 # ---------------------------------------------------------------- customer-360 inputs
+#
+# Every step marks rows instead of dropping them: ``_rows`` is the number of
+# input rows a row stands for, ``_kept`` whether it stays. The log is one sum over
+# the marked rows, so no input is read again to count it.
 
-def clean_customers(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CL9: drop repeated emails (first customer_id kept; NULL emails count as
-    one value), then rows without email; email_domain = lower(text after @),
-    NULL when there is none. Returns (clean, log)."""
+def kept(marked: DataFrame) -> DataFrame:
+    return marked.where(F.col("_kept")).drop("_rows", "_kept")
+
+
+def mark_customers(customers: DataFrame) -> DataFrame:
+    """CL9: one row per email (first customer_id kept; NULL emails count as one
+    value); rows without email go; email_domain = lower(text after @), NULL when
+    there is none."""
     g = customers.groupBy("email").agg(F.min_by(F.struct(*[c for c in customers.columns if c != "email"]),
-                                                F.col("customer_id")).alias("__r"))
-    first = g.select("email", "__r.*").select(*customers.columns)
-    out = first.where(F.col("email").isNotNull()).withColumn(
-        "email_domain", F.nullif(F.lower(F.regexp_extract("email", "@(.+)$", 1)), F.lit("")))
-    log = _log("customers", customers, out)
-    return out, log
+                                                F.col("customer_id")).alias("__r"), F.count(F.lit(1)).alias("_rows"))
+    domain = F.nullif(F.lower(F.regexp_extract("email", "@(.+)$", 1)), F.lit(""))
+    return g.select("email", "__r.*", "_rows").withColumn("email_domain", domain).select(
+        *dict.fromkeys([*customers.columns, "email_domain"]), "_rows", F.col("email").isNotNull().alias("_kept"))
 
 
-def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mark_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     """CL10: coerce dates, drop end < start, fill NULL revenue with the tier
     mean, drop rows without customer_id or start_date. The mean is taken
     before the NULL-key drop (as the reference does), exactly over decimals
     and rounded half-up to 6 dp. Text that is no date becomes NULL."""
     s = subs.withColumn("start_date", F.col("start_date").try_cast("date")) \
         .withColumn("end_date", F.col("end_date").try_cast("date"))
-    s = s.where(~F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False)))
     if "tier" not in s.columns:
         s = s.join(plans.select("plan_id", "tier"), "plan_id", "left")
+    ends_before = F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False))
     rev = F.col("monthly_revenue").cast("decimal(18,2)")
-    means = s.groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
+    means = s.where(~ends_before).groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
     s = s.join(means, F.col("tier").eqNullSafe(F.col("__tier")), "left")
     s = s.withColumn("monthly_revenue", F.coalesce(rev.cast("decimal(24,6)"), F.col("__m"))).drop("__m", "__tier")
-    out = s.dropna(subset=["customer_id", "start_date"])
-    return out, _log("subscriptions", subs, out,
-                     extra={"revenue_missing_after_fill": F.count_if(F.col("monthly_revenue").isNull())})
+    return s.withColumn("_rows", F.lit(1).cast("bigint")).withColumn(
+        "_kept", ~ends_before & F.col("customer_id").isNotNull() & F.col("start_date").isNotNull())
 
 
-def clean_tickets(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mark_tickets(tickets: DataFrame) -> DataFrame:
     """CL11: drop tickets without customer; resolution_time_hours. Text that is
     no time becomes NULL."""
     times = {c: F.col(c).try_cast("timestamp_ntz") for c in ("created_at", "resolved_at")}
-    out = tickets.where(F.col("customer_id").isNotNull()).withColumns(times).withColumn(
+    return tickets.withColumns(times).withColumn(
         "resolution_time_hours",
         (F.unix_micros(F.col("resolved_at").cast("timestamp"))
-         - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3.6e9))
-    return out, _log("support_tickets", tickets, out)
+         - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3.6e9)) \
+        .withColumn("_rows", F.lit(1).cast("bigint")).withColumn("_kept", F.col("customer_id").isNotNull())
 
 
-def dedupe_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+def mark_rows(df: DataFrame) -> DataFrame:
     """CL12: full-row duplicate removal (map columns serialised first)."""
     maps = [c for c, t in df.dtypes if t.startswith("map")]
-    tmp = df
-    for c in maps:
-        tmp = tmp.withColumn(c, F.to_json(c))
-    out = tmp.dropDuplicates()
-    for c in maps:
-        out = out.withColumn(c, F.from_json(c, dict(df.dtypes)[c]))
-    return out, _log(table, df, out)
-
-
-def _log(table: str, before: DataFrame, after: DataFrame, extra: dict | None = None) -> DataFrame:
-    """CL13: one row per table: before, after, removed, % removed."""
-    extra = extra or {}
-    nb = before.agg(F.count(F.lit(1))).scalar()
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"), *[v.alias(k) for k, v in extra.items()]) \
-        .select(F.struct("*")).scalar()
-    na = a["rows_after"]
-    return before.sparkSession.range(1).select(
-        F.lit(table).alias("table"), nb.alias("rows_before"), na.alias("rows_after"),
-        (nb - na).alias("rows_removed"),
-        F.bround(F.when(nb > 0, (nb - na) / nb * 100.0).otherwise(0.0), 2).alias("pct_removed"),
-        *[a[k].alias(k) for k in extra])
+    tmp = df.withColumns({c: F.to_json(c) for c in maps})
+    once = tmp.groupBy(*tmp.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    return once.withColumns({c: F.from_json(c, dict(df.dtypes)[c]) for c in maps}).withColumn("_kept", F.lit(True))
+
+
+def clean_customers(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CL9: (clean, log); see ``mark_customers``."""
+    marked = mark_customers(customers)
+    return kept(marked), log_row("customers", marked)
+
+
+def clean_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """CL10: (clean, log); see ``mark_subscriptions``."""
+    marked = mark_subscriptions(subs, plans)
+    return kept(marked), log_row("subscriptions", marked, revenue_missing_after_fill=F.count_if(
+        F.col("_kept") & F.col("monthly_revenue").isNull()))
+
+
+def clean_tickets(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CL11: (clean, log); see ``mark_tickets``."""
+    marked = mark_tickets(tickets)
+    return kept(marked), log_row("support_tickets", marked)
+
+
+def dedupe_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """CL12: (distinct rows, log); see ``mark_rows``."""
+    marked = mark_rows(df)
+    return kept(marked), log_row(table, marked)
+
+
+def _removed(before: Column, after: Column) -> list[Column]:
+    return [(before - after).alias("rows_removed"),
+            F.bround(F.when(before > 0, (before - after) / before * 100.0).otherwise(0.0), 2).alias("pct_removed")]
+
+
+def log_row(table: str, marked: DataFrame, rows: Column | None = None, left: Column | None = None, **extra: Column) -> DataFrame:
+    """CL13: one row per table: before, after, removed, % removed. ``rows`` and
+    ``left`` are the sums that give before and after (by default over the marks)."""
+    sums = marked.agg(F.coalesce(F.sum("_rows") if rows is None else rows, F.lit(0)).alias("rows_before"),
+                      (F.count_if(F.col("_kept")) if left is None else F.coalesce(left, F.lit(0))).alias("rows_after"),
+                      *[v.alias(k) for k, v in extra.items()])
+    return sums.select(F.lit(table).alias("table"), "rows_before", "rows_after",
+                       *_removed(F.col("rows_before"), F.col("rows_after")), *extra)
+
+
+def cleaning_totals(log: DataFrame) -> DataFrame:
+    """CL13: the sums over all tables of a cleaning log, as one row."""
+    sums = log.agg(F.count(F.lit(1)).alias("tables"), F.sum("rows_before").alias("rows_before"), F.sum("rows_after").alias("rows_after"))
+    return sums.select("tables", "rows_before", "rows_after", *_removed(F.col("rows_before"), F.col("rows_after")))

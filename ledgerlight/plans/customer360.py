@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.stats import ALPHA, EFFECT_BANDS, LARGE_EFFECT, t_two_sided_p_col
-from ledgerlight.operators.ranking import exact_quantiles
+from ledgerlight.operators.ranking import quantiles_of_columns
 from ledgerlight.plans import cleaning
 from ledgerlight.session import materialize
+from ledgerlight.sources import sinks
 
 GRAIN_INVOICE, GRAIN_CUSTOMER = "invoice", "customer"
 
@@ -48,32 +49,47 @@ def recent_tickets(tickets: DataFrame, as_of: dt.date, days: int = 180) -> DataF
 
 # ---------------------------------------------------------------- summaries
 
+def _ticket_sums() -> list[Column]:
+    return [F.count("ticket_id").alias("total_tickets"),
+            F.count_if(F.col("priority") == "critical").alias("critical_tickets"),
+            F.avg("resolution_time_hours").alias("avg_resolution_time")]
+
+
+def _event_sums() -> list[Column]:
+    return [F.count("event_type").alias("total_events"), F.max("timestamp").alias("last_event_date")]
+
+
+def _session_sums() -> list[Column]:
+    return [F.avg("duration").alias("avg_session_duration"), F.count("session_id").alias("total_sessions")]
+
+
 def ticket_summary(tickets: DataFrame) -> DataFrame:
     """MG2: per customer, ticket count, critical tickets, mean resolution hours."""
-    return tickets.groupBy("customer_id").agg(
-        F.count("ticket_id").alias("total_tickets"),
-        F.count_if(F.col("priority") == "critical").alias("critical_tickets"),
-        F.avg("resolution_time_hours").alias("avg_resolution_time"))
+    return tickets.groupBy("customer_id").agg(*_ticket_sums())
 
 
 def event_summary(events: DataFrame) -> DataFrame:
     """MG3: per customer, events with a type and the last event time."""
-    return events.groupBy("customer_id").agg(
-        F.count("event_type").alias("total_events"),
-        F.max("timestamp").alias("last_event_date"))
+    return events.groupBy("customer_id").agg(*_event_sums())
 
 
 def session_summary(sessions: DataFrame) -> DataFrame:
     """MG4: per customer, mean session duration and session count."""
-    return sessions.groupBy("customer_id").agg(
-        F.avg("duration").alias("avg_session_duration"),
-        F.count("session_id").alias("total_sessions"))
+    return sessions.groupBy("customer_id").agg(*_session_sums())
 
 
 def merge(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, events: DataFrame | None,
           sessions: DataFrame | None, grain: str = GRAIN_INVOICE) -> DataFrame:
-    """MG5: customers left-joined with subscriptions and the summaries;
-    counts default to 0; optional inputs may be None.
+    """MG5: customers left-joined with subscriptions and the summaries of
+    tickets, events and sessions; see ``merge_summaries``."""
+    return merge_summaries(customers, subs, *[None if x is None else f(x) for f, x in (
+        (ticket_summary, tickets), (event_summary, events), (session_summary, sessions))], grain)
+
+
+def merge_summaries(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, events: DataFrame | None,
+                    sessions: DataFrame | None, grain: str = GRAIN_INVOICE) -> DataFrame:
+    """MG5 from the summaries per customer: counts default to 0; optional
+    summaries may be None.
 
     ``invoice`` (as coded) keeps one row per subscription x invoice.
     ``customer`` keeps one row per customer: revenue is the latest invoice
@@ -85,20 +101,20 @@ def merge(customers: DataFrame, subs: DataFrame, tickets: DataFrame | None, even
     m = customers
     zero = []
     if tickets is not None:
-        m = m.join(ticket_summary(tickets), "customer_id", "left")
+        m = m.join(tickets, "customer_id", "left")
         zero += ["total_tickets", "critical_tickets"]
     else:
         m = m.withColumn("total_tickets", F.lit(0).cast("bigint")) \
             .withColumn("critical_tickets", F.lit(0).cast("bigint")) \
             .withColumn("avg_resolution_time", F.lit(None).cast("double"))
     if events is not None:
-        m = m.join(event_summary(events), "customer_id", "left")
+        m = m.join(events, "customer_id", "left")
         zero.append("total_events")
     else:
         m = m.withColumn("total_events", F.lit(0).cast("bigint")) \
             .withColumn("last_event_date", F.lit(None).cast("timestamp_ntz"))
     if sessions is not None:
-        m = m.join(session_summary(sessions), "customer_id", "left")
+        m = m.join(sessions, "customer_id", "left")
         zero.append("total_sessions")
     else:
         m = m.withColumn("total_sessions", F.lit(0).cast("bigint")) \
@@ -143,8 +159,8 @@ def test_moments(merged: DataFrame) -> DataFrame:
     """
     df = engagement(merged)
     # thresholds: one-row results used as scalar subqueries
-    p75 = exact_quantiles(df, [], "total_tickets", {"q": 0.75}).select("q").scalar()
-    med = exact_quantiles(df, [], "engagement_score", {"q": 0.5}).select("q").scalar()
+    at = quantiles_of_columns(df, {"total_tickets": {"p75": 0.75}, "engagement_score": {"med": 0.5}}).select(F.struct("*")).scalar()
+    p75, med = at["p75"], at["med"]
     churned = (F.coalesce(F.col("status") == "cancelled", F.lit(False))
                | (F.col("total_tickets") > p75)).cast("int")
     hi = F.col("engagement_score") > med
@@ -192,19 +208,25 @@ def hypothesis_test(merged: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 # ---------------------------------------------------------------- segments
 
+def scored(merged: DataFrame) -> DataFrame:
+    """The merged rows with engagement and LTV, without thresholds."""
+    return engagement(merged).withColumn(
+        "lifetime_value", F.coalesce(F.col("monthly_revenue").cast("double"), F.lit(0.0)) * F.lit(float(LTV_MONTHS)))
+
+
 def segments(merged: DataFrame) -> DataFrame:
     """SG1-SG2: LTV = monthly revenue x 12 (missing = 0), engagement, and the
     first matching segment rule against the 33rd / 66th percentiles."""
-    df = engagement(merged).withColumn(
-        "lifetime_value", F.coalesce(F.col("monthly_revenue").cast("double"), F.lit(0.0)) * F.lit(float(LTV_MONTHS)))
-    lq = exact_quantiles(df, [], "lifetime_value", {"lo": Q_LOW, "hi": Q_HIGH}).select(F.struct("*")).scalar()
-    eq = exact_quantiles(df, [], "engagement_score", {"lo": Q_LOW, "hi": Q_HIGH}).select(F.struct("*")).scalar()
+    df = scored(merged)
+    # the four thresholds from one pass over both columns
+    at = quantiles_of_columns(df, {"lifetime_value": {"ltv_lo": Q_LOW, "ltv_hi": Q_HIGH},
+                                   "engagement_score": {"eng_lo": Q_LOW, "eng_hi": Q_HIGH}}).select(F.struct("*")).scalar()
     ltv, eng = F.col("lifetime_value"), F.col("engagement_score")
-    seg = (F.when((ltv >= lq["hi"]) & (eng >= eq["hi"]), "VIP_ENGAGED")
-           .when((ltv >= lq["hi"]) & (eng < eq["lo"]), "VIP_AT_RISK")
-           .when((ltv >= lq["lo"]) & (eng >= eq["hi"]), "GROWTH_POTENTIAL")
-           .when((ltv < lq["lo"]) & (eng >= eq["hi"]), "ENGAGED_STARTER")
-           .when((ltv < lq["lo"]) & (eng < eq["lo"]), "AT_RISK")
+    seg = (F.when((ltv >= at["ltv_hi"]) & (eng >= at["eng_hi"]), "VIP_ENGAGED")
+           .when((ltv >= at["ltv_hi"]) & (eng < at["eng_lo"]), "VIP_AT_RISK")
+           .when((ltv >= at["ltv_lo"]) & (eng >= at["eng_hi"]), "GROWTH_POTENTIAL")
+           .when((ltv < at["ltv_lo"]) & (eng >= at["eng_hi"]), "ENGAGED_STARTER")
+           .when((ltv < at["ltv_lo"]) & (eng < at["eng_lo"]), "AT_RISK")
            .otherwise("STABLE"))
     return df.withColumn("customer_segment", seg) \
         .withColumn("support_intensity", F.coalesce(F.col("total_tickets"), F.lit(0)))
@@ -227,26 +249,50 @@ def segment_stats(segmented: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- RUN
 
 class Customer360:
-    """RUN result. ``merged`` is materialised once in the shared checkpoint
-    folder; the moments, segments and statistics are derived lazily from it
-    (each needs its own passes for the quantile thresholds)."""
+    """RUN result. Cleaned inputs and the merged table are stored at their first
+    use in the shared checkpoint folder; the log, moments, segments and
+    statistics read the stored rows."""
+
+    def __init__(self, marked: dict[str, DataFrame], grain: str):
+        self._marked, self._grain = marked, grain
+        self._stored: dict[str, DataFrame] = {}
+        self._merged = self._segments = None
+
+    def _input(self, name: str) -> DataFrame | None:
+        if name not in self._marked:
+            return None
+        if name not in self._stored:
+            self._stored[name] = materialize(self._marked[name])
+        return self._stored[name]
 
-    def __init__(self, merged: DataFrame, cleaning_log: DataFrame):
-        self._plan, self._merged = merged, None
-        self.cleaning_log = cleaning_log
-        self._segments = None
+    @property
+    def cleaning_log(self) -> DataFrame:
+        """CL13 from the marks and counters the stored inputs carry."""
+        counters = {"rows": F.sum("_rows"), "left": F.sum("_left")}
+        logs = [cleaning.log_row(name, self._input(name), **({} if name in ("customers", "subscriptions") else counters))
+                for name in self._marked]
+        out = logs[0]
+        for log in logs[1:]:
+            out = out.unionByName(log)
+        return out
 
     @property
     def merged(self) -> DataFrame:
         """Written at first use; the log alone never builds it."""
         if self._merged is None:
-            self._merged = materialize(self._plan)
+            summaries = [None if x is None else x.drop("_rows", "_left") for x in map(self._input, ("support_tickets", "events", "sessions"))]
+            self._merged = materialize(merge_summaries(
+                cleaning.kept(self._input("customers")), cleaning.kept(self._input("subscriptions")), *summaries, self._grain))
         return self._merged
 
     @property
     def moments(self) -> DataFrame:
         return test_moments(self.merged)
 
+    @property
+    def scored(self) -> DataFrame:
+        return scored(self.merged)
+
     @property
     def segments(self) -> DataFrame:
         if self._segments is None:
@@ -258,22 +304,48 @@ class Customer360:
         return segment_stats(self.segments)
 
 
+def _counted(sums: list[Column], marked: DataFrame) -> DataFrame:
+    """A summary per customer, with the numbers of input and kept rows it stands
+    for. Only rows without a customer are not kept, and those meet no customer."""
+    return marked.groupBy("customer_id").agg(*sums, F.sum("_rows").alias("_rows"), F.count_if(F.col("_kept")).alias("_left"))
+
+
 def customer360(customers: DataFrame, subscriptions: DataFrame, plans: DataFrame, billing: DataFrame,
                 tickets: DataFrame, as_of: dt.date, events: DataFrame | None = None,
                 sessions: DataFrame | None = None, grain: str = GRAIN_INVOICE) -> Customer360:
     """RUN: relational inputs are mandatory, events and sessions optional."""
-    c, log_c = cleaning.clean_customers(customers)
-    s, log_s = cleaning.clean_subscriptions(subscription_extract(subscriptions, plans, billing), plans)
-    t, log_t = cleaning.clean_tickets(recent_tickets(tickets, as_of))
-    logs = [log_c, log_s.drop("revenue_missing_after_fill"), log_t]
-    ev = ses = None
+    marked = {
+        "customers": cleaning.mark_customers(customers),
+        "subscriptions": cleaning.mark_subscriptions(subscription_extract(subscriptions, plans, billing), plans),
+        "support_tickets": _counted(_ticket_sums(), cleaning.mark_tickets(recent_tickets(tickets, as_of))),
+    }
     if events is not None:
-        ev, log_e = cleaning.dedupe_rows(events, "events")
-        logs.append(log_e)
+        marked["events"] = _counted(_event_sums(), cleaning.mark_rows(events))
     if sessions is not None:
-        ses, log_ss = cleaning.dedupe_rows(sessions, "sessions")
-        logs.append(log_ss)
-    log = logs[0]
-    for x in logs[1:]:
-        log = log.unionByName(x)
-    return Customer360(merge(c, s, t, ev, ses, grain), log)
+        marked["sessions"] = _counted(_session_sums(), cleaning.mark_rows(sessions))
+    return Customer360(marked, grain)
+
+
+def export_run(run: Customer360, path: str) -> DataFrame:
+    """RUN's last step: the merged rows as CSV, the cleaning log, the test and
+    the segment statistics as JSON lines below ``path``, and the summary it
+    prints as (section, metric, value) rows, stored beside them."""
+    sinks.export_csv(run.merged, f"{path}/merged_analysis_data")
+    log, stats = materialize(run.cleaning_log), materialize(run.segment_stats)
+    test = materialize(hypothesis_test(run.merged))
+    for name, df in (("data_cleaning_log", log), ("hypothesis_test", test), ("segment_stats", stats)):
+        sinks.write_metrics(df, f"{path}/{name}")
+
+    def rows(section: str, df: DataFrame, names: list[str], key: str | None = None) -> DataFrame:
+        items = [F.struct(F.lit(section).alias("section"),
+                          (F.concat(F.col(key), F.lit(f".{n}")) if key else F.lit(n)).alias("metric"),
+                          F.col(n).cast("double").alias("value")) for n in names]
+        return df.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+
+    merged = run.merged.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("customer_id").alias("customers"))
+    summary = rows("merged", merged, ["rows", "customers"]) \
+        .unionByName(rows("cleaning", cleaning.cleaning_totals(log), ["tables", "rows_before", "rows_after", "rows_removed", "pct_removed"])) \
+        .unionByName(rows("test", test, ["engaged_n", "disengaged_n", "t_statistic", "cohens_d"])) \
+        .unionByName(rows("segments", stats, ["customers"], "customer_segment"))
+    sinks.write_metrics(summary, f"{path}/summary")
+    return summary.sparkSession.read.schema(summary.schema).json(f"{path}/summary")
