@@ -160,7 +160,8 @@ def test_moments(merged: DataFrame) -> DataFrame:
     df = engagement(merged)
     # thresholds: one-row results used as scalar subqueries
     at = quantiles_of_columns(df, {"total_tickets": {"p75": 0.75}, "engagement_score": {"med": 0.5}}).select(F.struct("*")).scalar()
-    p75, med = at["p75"], at["med"]
+    df = df.withColumn("__at", at)
+    p75, med = F.col("__at")["p75"], F.col("__at")["med"]
     churned = (F.coalesce(F.col("status") == "cancelled", F.lit(False))
                | (F.col("total_tickets") > p75)).cast("int")
     hi = F.col("engagement_score") > med
@@ -221,14 +222,15 @@ def segments(merged: DataFrame) -> DataFrame:
     # the four thresholds from one pass over both columns
     at = quantiles_of_columns(df, {"lifetime_value": {"ltv_lo": Q_LOW, "ltv_hi": Q_HIGH},
                                    "engagement_score": {"eng_lo": Q_LOW, "eng_hi": Q_HIGH}}).select(F.struct("*")).scalar()
-    ltv, eng = F.col("lifetime_value"), F.col("engagement_score")
+    df = df.withColumn("__at", at)
+    at, ltv, eng = F.col("__at"), F.col("lifetime_value"), F.col("engagement_score")
     seg = (F.when((ltv >= at["ltv_hi"]) & (eng >= at["eng_hi"]), "VIP_ENGAGED")
            .when((ltv >= at["ltv_hi"]) & (eng < at["eng_lo"]), "VIP_AT_RISK")
            .when((ltv >= at["ltv_lo"]) & (eng >= at["eng_hi"]), "GROWTH_POTENTIAL")
            .when((ltv < at["ltv_lo"]) & (eng >= at["eng_hi"]), "ENGAGED_STARTER")
            .when((ltv < at["ltv_lo"]) & (eng < at["eng_lo"]), "AT_RISK")
            .otherwise("STABLE"))
-    return df.withColumn("customer_segment", seg) \
+    return df.withColumn("customer_segment", seg).drop("__at") \
         .withColumn("support_intensity", F.coalesce(F.col("total_tickets"), F.lit(0)))
 
 

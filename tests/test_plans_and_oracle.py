@@ -56,3 +56,27 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def _plans(spark, name, monkeypatch):
+    """The plan of a job with those of the frames it stores on the way."""
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    from plan_report import record_stored_plans
+    stored = record_stored_plans(monkeypatch.setattr)
+    df = se.queries()[name](spark, SF)
+    return "\n".join([*stored, df._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_inputs_are_not_read_again_to_be_counted(spark, monkeypatch):
+    # the dirty overlay itself reads the events twice
+    assert _plans(spark, "cleaning_report", monkeypatch).count("events.parquet") <= 2
+    plan = _plans(spark, "c360_cleaning_log", monkeypatch)
+    # sessions are made of events, tickets and invoices of line items; the tier
+    # means need the invoices before their rows
+    assert plan.count("/events.parquet") <= 2 and plan.count("/lineitem.parquet") <= 3 and plan.count("/customer.parquet") <= 2
+
+
+def test_thresholds_take_one_pass(spark, monkeypatch):
+    plan = _plans(spark, "c360_segments", monkeypatch)
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition") < 20
+    assert "Exchange rangepartitioning" not in _plans(spark, "dash_engagement_revenue", monkeypatch)

@@ -90,3 +90,19 @@ def test_hot_group_among_many_small(spark):
     q_small = exact_quantiles(df, ["g"], "v", {"m": .5}, partitions=6)
     q_plain = exact_quantiles(df, ["g"], "v", {"m": .5})
     assert sorted(map(tuple, q_small.collect())) == sorted(map(tuple, q_plain.collect()))
+
+
+def test_quantiles_of_columns_in_one_range_shuffle(spark):
+    import random
+
+    from ledgerlight.operators.ranking import exact_quantiles, quantiles_of_columns
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.5, 2.0, rng.random() * 9]), rng.randrange(4), None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b long, c double").repartition(4)
+    wanted = {"a": {"a1": 0.33, "a2": 0.66}, "b": {"b1": 0.5, "b2": 0.75}, "c": {"c1": 0.5}}
+    got = quantiles_of_columns(df, wanted, partitions=5).first()
+    for column, probs in wanted.items():
+        alone = exact_quantiles(df, [], column, probs).first()
+        for name in probs:
+            assert got[name] == (alone[name] if alone else None)
+    assert got["c1"] is None and quantiles_of_columns(df.limit(0), {"a": {"x": 0.5}}).first()["x"] is None
