@@ -6,10 +6,13 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_NAME_AT = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ANY_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
@@ -87,20 +90,21 @@ def hides(attrs: str) -> bool:
     return False
 
 
-def left_open(inside: list[str], tag: str, outer: list[str]) -> int:
-    """How many of the open elements ``inside`` one without text (itself first)
-    stay open when ``tag`` opens; ``outer`` are the blocks around it."""
+def left_open(skip: "Open", tag: str, outer: "Open") -> int:
+    """How many of the open elements in one without text (itself first) stay
+    open when ``tag`` opens; ``outer`` are the blocks around it."""
+    inside = skip.tags
     if inside[0] == "head":
         return len(inside) if len(inside) > 1 or tag in HEAD else 0
     keep = len(inside)
-    if tag in ENDS_P:
+    if tag in ENDS_P and "p" in skip:
         for i in range(len(inside) - 1, -1, -1):
             if inside[i] == "p":
                 keep = i
             if inside[i] in SCOPES or inside[i] in ("p", "button"):
                 break
-    for i in range(len(inside) - 1, -1, -1):
-        if inside[i] in ENDS_LIKE.get(tag, ()):
+    for i in range(len(inside) - 1, -1, -1) if any(t in skip for t in ENDS_LIKE.get(tag, ())) else ():
+        if inside[i] in ENDS_LIKE[tag]:
             keep = min(keep, i)
             break
         if inside[i] not in INLINE and inside[i] not in ("address", "div", "p"):
@@ -108,22 +112,123 @@ def left_open(inside: list[str], tag: str, outer: list[str]) -> int:
     if tag in TABLE_PARTS:
         stop = max((i + 1 for i, x in enumerate(inside) if x in TABLE_PARTS[tag] and x != tag), default=0)
         own = [i for i in range(stop, len(inside)) if inside[i] in TABLES or inside[i] == "caption"]
-        keep = min([keep, *own]) if stop or own or not TABLES & set(outer) else 0
+        keep = min([keep, *own]) if stop or own or not any(t in outer for t in TABLES) else 0
     return keep
 
 
+class Tokens:
+    """The tags, comments and declarations of a page, in time linear in its
+    length whatever it holds. A ``<`` that nothing closes is text."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.specials: list[int] | None = None     # places of > and quotes, made at the first tag that does not close
+        self.dead: set[int] = set()                # specials from which, outside quotes, no end is reached
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, from ``at`` inside it, or -1."""
+        page, met = self.page, []
+        while at <= self.last:
+            if self.specials is None:
+                m = _SPECIAL.search(page, at)
+                s = m.start() if m else -1
+            else:
+                k = bisect_left(self.specials, at)
+                s = self.specials[k] if k < len(self.specials) else -1
+            if s < 0 or s in self.dead:
+                break
+            met.append(s)
+            if page[s] == ">":
+                return s
+            if s >= self.last_quote[page[s]]:
+                break
+            at = page.find(page[s], s + 1) + 1
+        self.dead.update(met)
+        if self.specials is None:
+            self.specials = [m.start() for m in _SPECIAL.finditer(page)]
+        return -1
+
+    def next(self, pos: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, is an end tag, name, attributes) of the next token from
+        ``pos`` on; comments and declarations have no name."""
+        page = self.page
+        while True:
+            at = page.find("<", pos)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if at > self.last:
+                # no tag closes from here on; what is left can only be a comment
+                pos = page.find("<!--", at)
+                if pos < 0:
+                    return None
+                continue
+            m = _NAME_AT.match(page, at)
+            if m:
+                end = self._end(m.end())
+                if end >= 0:
+                    return at, end + 1, bool(m[1]), m[2], page[m.end():end]
+            if page[at + 1:at + 2] in ("!", "?", "/"):
+                return at, page.index(">", at) + 1, False, "", ""
+            pos = at + 1
+
+    def after(self, tag: str, pos: int) -> int:
+        """Where the end tag of a text-only element ends, or -1."""
+        if tag in self.unclosed:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.page, pos, self.last + 1)
+        if not m:
+            self.unclosed.add(tag)
+            return -1
+        return m.end()
+
+
+class Open:
+    """Open elements, innermost last, with the number of each tag."""
+
+    def __init__(self, *tags: str):
+        self.tags, self.count = list(tags), Counter(tags)
+
+    def __contains__(self, tag: str) -> bool:
+        return self.count[tag] > 0
+
+    def __len__(self) -> int:
+        return len(self.tags)
+
+    def add(self, tag: str) -> None:
+        self.tags.append(tag)
+        self.count[tag] += 1
+
+    def cut(self, keep: int) -> None:
+        """Close all but the ``keep`` outermost."""
+        for tag in self.tags[keep:]:
+            self.count[tag] -= 1
+        del self.tags[keep:]
+
+    def close(self, tag: str) -> None:
+        """Close the innermost ``tag`` and what is open in it."""
+        k = len(self.tags) - 1
+        while self.tags[k] != tag:
+            k -= 1
+        self.cut(k)
+
+
 def parse(page: str) -> Node:
     """The tree of block elements. Bare text in a container becomes a ``#text``
     node; inline elements only add to their block's text and counts."""
     root = top = Node("body", None)
-    stack = [root]                  # open block nodes
-    inline: list[str] = []          # open inline elements of the innermost block
-    skip: list[str] = []            # an element without text that is open, and what is open in it
-    pos, order = 0, 0
+    stack, blocks = [root], Open()  # open block nodes, and the tags of all but the root
+    inline = Open()                 # open inline elements of the innermost block
+    skip = Open()                   # an element without text that is open, and what is open in it
+    pos, order, tokens = 0, 0, Tokens(page)
 
     def text(s: str) -> None:
         nonlocal order
-        if skip or not s:
+        if skip.tags or not s:
             return
         node = stack[-1]
         if node.tag not in LEAVES:
@@ -142,67 +247,69 @@ def parse(page: str) -> Node:
             node.link += len(s.strip())
 
     while pos < len(page):
-        m = _TOKEN.search(page, pos)
-        end = m.start() if m else len(page)
+        token = tokens.next(pos)
+        end = token[0] if token else len(page)
         if end > pos:
-            if skip == ["head"] and page[pos:end].strip():
-                skip = []           # text ends a head
+            if skip.tags == ["head"] and page[pos:end].strip():
+                skip = Open()       # text ends a head
             text(html.unescape(page[pos:end]))
-        if not m:
+        if not token:
             break
-        pos = m.end()
-        tag = (m[2] or "").lower()
+        _, pos, ends_element, tag, attrs = token
+        tag = tag.lower()
         if not tag:
             continue
-        if skip and m[1]:
+        if skip.tags and ends_element:
             if tag in skip:
-                del skip[len(skip) - 1 - skip[::-1].index(tag):]
+                skip.close(tag)
                 continue
-            if skip[0] == "head":
+            if skip.tags[0] == "head":
                 over = tag in ("body", "html", "br")
             elif tag in INLINE:
-                over = skip[0] in INLINE and tag in inline
+                over = skip.tags[0] in INLINE and tag in inline
             else:               # the end of a block around it
-                over = any(n.tag == tag for n in stack[1:]) and (tag in TABLES or not SCOPES & set(skip))
+                over = tag in blocks and (tag in TABLES or not any(t in skip for t in SCOPES))
             if not over:
                 continue
-            skip = []
-        elif skip:
-            del skip[left_open(skip, tag, [n.tag for n in stack]):]
-            if skip:
-                if m[3].endswith("/") or tag in VOID:
+            skip = Open()
+        elif skip.tags:
+            skip.cut(left_open(skip, tag, blocks))
+            if skip.tags:
+                if attrs.endswith("/") or tag in VOID:
                     continue
                 if tag in RAW_TEXT:
-                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                    if stop or "svg" not in skip:
-                        pos = stop.end() if stop else len(page)
+                    stop = tokens.after(tag, pos)
+                    if stop >= 0 or "svg" not in skip:
+                        pos = stop if stop >= 0 else len(page)
                 else:
-                    skip.append(tag)
+                    skip.add(tag)
                 continue
-        if m[1]:
+        if ends_element:
             if tag in INLINE:
                 if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag):]
-            elif any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-                inline.clear()
+                    inline.close(tag)
+            elif tag in blocks:
+                while True:
+                    blocks.cut(len(blocks) - 1)
+                    if stack.pop().tag == tag:
+                        break
+                inline = Open()
                 order += 1
             continue
         if tag in ("html", "body", "!doctype"):
             continue
-        closed = m[3].endswith("/") or tag in VOID
-        if tag in RAW or hides(m[3]):
+        closed = attrs.endswith("/") or tag in VOID
+        if tag in RAW or hides(attrs):
             if tag in RAW_TEXT:
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                pos = stop.end() if stop else len(page)
+                stop = tokens.after(tag, pos)
+                pos = stop if stop >= 0 else len(page)
             elif not closed:
-                skip = [tag]
+                skip = Open(tag)
             continue
         stack[-1].tags += 1
         if tag in INLINE:
             if not closed:
-                inline.append(tag)
+                inline.add(tag)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -212,12 +319,14 @@ def parse(page: str) -> Node:
         ends = CLOSES.get(tag, set()) | ({"p", *HEADINGS} if tag not in ("td", "th", "tr") else set())
         while len(stack) > 1 and stack[-1].tag in ends:
             stack.pop()
-        inline.clear()
+            blocks.cut(len(blocks) - 1)
+        inline = Open()
         order += 1
-        node = Node(tag, stack[-1], *attribute_words(m[3]))
+        node = Node(tag, stack[-1], *attribute_words(attrs))
         stack[-1].children.append(node)
         if not closed:
             stack.append(node)
+            blocks.add(tag)
     return top
 
 

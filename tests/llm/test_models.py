@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -227,3 +228,16 @@ def test_quotas_stay_within_capacity():
         into = sum(n * granted[a, b] for (a, b), n in requests.items() if b == s)
         out = sum(n * granted[a, b] for (a, b), n in requests.items() if a == s)
         assert into <= max(0.0, 110.0 - sizes[s] + out) + 1e-3
+
+
+def test_malformed_pages_take_linear_time():
+    size = 1 << 20
+    for part in ("<a ", '<a "', '<a "x" ', "<a<", "</", "<!", "</script", "<svg><style>", "<b>x", "<b></i>"):
+        for tail in ("", ">", '"', '">"'):
+            started = time.process_time()
+            dom.parse((part * (size // len(part) + 1))[:size] + tail)
+            assert time.process_time() - started < 10
+    # what nothing closes is text, and a tag after it is found
+    page = '<div>1 < 2 <a href="x>y</a> and "</div><p>3 <em class=\'a>b\'>4</em></p>'
+    texts = [" ".join("".join(n.parts).split()) for n in dom.nodes_in_order(dom.parse(page)) if n.parts]
+    assert texts == ["1 < 2", "3 4"]
