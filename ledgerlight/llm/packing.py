@@ -8,8 +8,9 @@ task holds the last of them: no task ever holds more than ``fan_in`` x
 ``open_windows`` windows.
 
 Defined cases. Null and empty texts are one piece holding only the end id.
-Rows with the same doc_id are packed separately (``copy`` numbers the rows of
-one partition, so pieces of a repeated id can be told apart). An empty table
+Rows with the same doc_id are packed separately; ``copy`` is a number of the
+row (its partition above 40 bits, its place below), so the pieces of a repeated
+id can be told apart wherever its rows lie. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -103,7 +104,7 @@ def pack_partition(size: int, keep: int, name: str, path: str | None):
         rows: list[tuple] = []
         for copy, (doc, raw) in enumerate(encoded_documents(batches, name, path)):
             n = len(raw) // 4
-            done = packer.add(n, lambda a, b: (doc, copy, a, b - a, crc(raw[4 * a:4 * b]), n))
+            done = packer.add(n, lambda a, b: (doc, base | copy, a, b - a, crc(raw[4 * a:4 * b]), n))
             rows += _rows(done, base + made, False)
             made += len(done)
             if len(rows) > 20_000:

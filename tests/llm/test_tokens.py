@@ -161,3 +161,17 @@ def test_sentencepiece_query_shape(spark):
              hashlib.sha256(sp.decode(sp.encode(t or "")).encode()).hexdigest()) for d, t in ROWS]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert sentencepiece_bpe.sentencepiece_digests(docs(spark, [])).count() == 0
+
+
+def test_copies_of_an_id_in_several_partitions_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, f"text {i} " * i) for i in range(12)], "doc_id long, text string").repartition(4)
+    pieces = packing.pack(rows, size=64).collect()
+    for copy in {p["copy"] for p in pieces}:
+        mine = sorted((p["start"], p["length"], p["doc_tokens"]) for p in pieces if p["copy"] == copy)
+        assert len({n for _, _, n in mine}) == 1
+        at = 0
+        for start, length, _ in mine:
+            assert start == at
+            at += length
+        assert at == mine[0][2]
+    assert len({p["copy"] for p in pieces}) == 12
