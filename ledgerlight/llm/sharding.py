@@ -1,16 +1,19 @@
 """Balanced shards by label propagation under capacity quotas.
 
-Documents with equal texts are linked through their group. Every document
-starts in a shard drawn from its doc_id. A group asks as a whole to move where
-most of its members are (two aggregations); of the requests to a shard only as
-many are granted as its quota has room for, the larger groups first. A refused
-group asks again, for a shard drawn by the room that is left, until every group
-has a place or none fits. Sums by size class and hash are all that the driver
-sees of the requests, so no shard's requests are ever ranked in one task; the
-last FINISH groups are placed on the driver, best fit. A group larger than a
-shard takes whole shards and one remainder. Rows without copies fill the shards
-up, so counts differ by one at most, and a group that fits a shard is split only
-if no shard had room for it.
+Documents with equal texts are linked through their group; a link between two
+shards is a cut edge. Every document starts in a shard drawn from its doc_id,
+and a table says how many members of each group lie in each shard. In every
+round that table is joined with the room the shards have left. Each group that
+is not yet settled asks, as a whole, for the shard in which most of its
+members are among those with room for it (its neighbours' shards); if none of
+them has room, for a shard drawn by the room that is left. Of the requests to a
+shard only as many are granted as its quota has room for, the larger groups
+first; a granted group settles there and has no cut edge left. The rounds go on
+until every group is settled or none fits anywhere, whatever the number of
+groups. What the driver sees of a round are sums by shard, size class and hash
+part (finer parts where whole parts no longer fit), never groups. A group larger
+than a shard takes whole shards and one remainder. Rows without copies have no
+edges: they move to where room is left, so counts differ by one at most.
 
 The law of the result is ``rows``: shard s has the rows whose place p (from 0)
 has floor(p * shards / rows) = s, slot is the place within the shard.
@@ -29,9 +32,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import stored, text_or_empty
 
 SHARDS = 40
-# groups that are left to the driver, and hash parts of a size class in a round
-FINISH = 20_000
-PARTS = 64
+# hash parts of a size class in a round, and how fine they may become
+PARTS, MOST_PARTS = 64, 1024
 
 
 def quotas(sizes: dict[int, int], requests: dict[tuple[int, int], int], capacity: float,
@@ -88,47 +90,56 @@ def grants(asked: dict[tuple[int, int, int], int], room: list[int], capacity: in
     return out
 
 
-def propagate(units: DataFrame, room: list[int], capacity: int, finish: int = FINISH) -> DataFrame:
-    """(grp, shard) of the groups of ``units`` (grp, members, wish) that get a
-    place; ``room`` is lowered by what they take."""
-    spark = units.sparkSession
-    placed, k = None, 0
-    left = units.count()
-    while left > finish:
+def wishes(members: DataFrame, room: list[int], salt: int) -> DataFrame:
+    """(grp, members, wish) of groups that lie where ``members`` (grp, members,
+    shard, n) says. Only shards with room for the whole group count."""
+    spark = members.sparkSession
+    free = spark.createDataFrame(list(enumerate(room)), "shard int, free long")       # one row per shard
+    tie = F.pmod(F.xxhash64(F.lit(salt), "grp", "shard"), F.lit(1 << 20))
+    near = members.join(F.broadcast(free), "shard").withColumn("fits", F.col("free") >= F.col("members")) \
+        .groupBy("grp", "members").agg(F.max(F.when(F.col("fits"), F.struct("n", tie.alias("tie"), "shard")))["shard"].alias("near"))
+    # the others draw: shard s with the probability its room has of all room that fits
+    draw = F.pmod(F.xxhash64(F.lit(-1 - salt), "grp"), F.lit(max(sum(room), 1)))
+    far, upto = F.lit(None).cast("int"), 0
+    for s, r in enumerate(room):
+        far = F.when((draw >= upto) & (F.col("members") <= r), F.lit(s)).otherwise(far)
+        upto += r
+    largest = max(range(len(room)), key=lambda s: room[s])
+    last = F.when(F.col("members") <= room[largest], F.lit(largest))
+    return near.select("grp", "members", F.coalesce("near", far, last).alias("wish"))
+
+
+def propagate(members: DataFrame, room: list[int], capacity: int) -> tuple[DataFrame, list[dict]]:
+    """(grp, shard) of the groups of ``members`` (grp, members, shard, n) that
+    settle, and what each round did; ``room`` is lowered by what they take."""
+    spark = members.sparkSession
+    placed, rounds, parts = spark.createDataFrame([], "grp string, shard int"), [], PARTS
+    while True:
         kind = F.floor(F.log2("members")).cast("int")
-        asked = stored(units.select("*", kind.alias("kind"), F.pmod(F.xxhash64(F.lit(k), "grp"), F.lit(PARTS))
-                                    .cast("int").alias("part")), "asked")
-        sums = {(r["wish"], r["kind"], r["part"]): r["n"] for r in
-                asked.groupBy("wish", "kind", "part").agg(F.sum("members").alias("n")).collect()}
-        granted = grants(sums, room, capacity)
+        part = F.pmod(F.xxhash64(F.lit(len(rounds)), "grp"), F.lit(parts)).cast("int")
+        asked = stored(wishes(members, room, len(rounds)).where("wish is not null")
+                       .select("*", kind.alias("kind"), part.alias("part")), "asked")
+        sums = asked.groupBy("wish", "kind", "part").agg(F.sum("members").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
+        if not sums:
+            return placed, rounds       # all settled, or no shard has room for any
+        granted = grants({(r["wish"], r["kind"], r["part"]): r["n"] for r in sums}, room, capacity)
+        took = set(granted)
+        rounds.append({"asked": sum(r["groups"] for r in sums), "parts": parts, "settled": sum(
+            r["groups"] for r in sums if (r["wish"], r["kind"], r["part"]) in took)})
         if not granted:
-            break
+            if parts >= MOST_PARTS:
+                return placed, rounds
+            parts *= 4
+            continue
         keys = F.broadcast(spark.createDataFrame(granted, "wish int, kind int, part int"))
-        moved = asked.join(keys, ["wish", "kind", "part"], "left_semi").select("grp", F.col("wish").alias("shard"))
-        placed = moved if placed is None else placed.unionByName(moved)
-        # the others ask for a shard drawn by the room that is left
-        draw = F.pmod(F.xxhash64(F.lit(-1 - k), "grp"), F.lit(max(sum(room), 1)))
-        wish, upto = F.lit(0), 0
-        for s, r in enumerate(room):
-            wish = F.when(draw >= upto, F.lit(s)).otherwise(wish) if r else wish
-            upto += r
-        units = stored(asked.join(keys, ["wish", "kind", "part"], "left_anti").select("grp", "members", wish.alias("wish")), "units")
-        left, k = units.count(), k + 1
-    pairs = []
-    for r in units.orderBy(F.desc("members"), "grp").limit(finish).collect():
-        n, s = r["members"], r["wish"]
-        if room[s] < n:
-            s = min((s for s in range(len(room)) if room[s] >= n), key=lambda s: room[s], default=None)
-        if s is not None:
-            room[s] -= n
-            pairs.append((r["grp"], s))
-    last = spark.createDataFrame(pairs, "grp string, shard int")
-    return last if placed is None else placed.unionByName(last)
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, finish: int = FINISH) -> DataFrame:
+        moved = stored(asked.join(keys, ["wish", "kind", "part"], "left_semi").select("grp", F.col("wish").alias("shard")), "moved")
+        placed = placed.unionByName(moved)
+        members = stored(members.join(moved.select("grp"), "grp", "left_anti"), "members")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, report: list[dict] | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot,
-    grown_shard (null under this law)."""
+    grown_shard (null under this law). ``report`` receives what each round did."""
     text = text_or_empty()
     base = stored(docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"),
@@ -138,18 +149,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, finish: int = FINISH) -> DataFr
     capacity = total // shards
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     counts = base.groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    # the most frequent shard of a group, ties by hash
-    order = F.col("n") * 1_000_000 + F.pmod(F.xxhash64("grp", "shard"), F.lit(1_000_000))
-    groups = stored(counts.groupBy("grp").agg(F.sum("n").alias("members"), F.max_by("shard", order).alias("wish"))
-                    .where("members > 1"), "groups")
+    groups = counts.groupBy("grp").agg(F.sum("n").alias("members")).where("members > 1")
+    members = stored(counts.join(groups, "grp"), "members")
+    groups = members.groupBy("grp", "members").agg(F.count(F.lit(1)).alias("in_shards"))
     room = [capacity] * shards
     # fewer than ``shards`` of these, and none to place if a shard holds no row
     large = [(r["grp"], r["members"]) for r in groups.where(F.col("members") > capacity).orderBy("grp").collect()] \
         if capacity else []
     runs = whole_shards(large, room, capacity)
     before = [capacity - r for r in room]
-    units = groups.where(F.col("members") <= capacity)
-    placed = propagate(units, room, capacity, finish)
+    placed, rounds = propagate(members.where(F.col("members") <= capacity), room, capacity)
+    if report is not None:
+        report += rounds
     if large:
         placed = placed.unionByName(groups.where(F.col("members") > capacity).select("grp", F.lit(-1).alias("shard")))
     # a table of its own: the join below is then free to split a hot group

@@ -206,17 +206,47 @@ def test_sharding(spark):
 
 def test_sharding_beside_a_large_group_splits_no_other(spark):
     """A third of the rows are one group; the rest are triples or pairs."""
-    for small, finish in ((3, sharding.FINISH), (2, 50)):
+    for small in (3, 2):
         rows = [(i, "same" if i % 3 == 0 else f"text {i % 3} {i // 3 // small}") for i in range(6000)]
         rows += [(6000 + i, f"alone {i}") for i in range(200)]
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-        got = sharding.shard(frame, finish=finish).toPandas()
+        report = []
+        got = sharding.shard(frame, report=report).toPandas()
         assert len(got) == 6200 and got["doc_id"].nunique() == 6200
         counts = got.groupby("shard").size()
         assert set(counts) == {155}
         assert all(sorted(g) == list(range(155)) for _, g in got.groupby("shard")["slot"])
         split = got.groupby("text_group")["shard"].nunique()
         assert (split > 1).sum() == 1 and split.max() == 13     # 2,000 rows of 155
+        # it took rounds of requests, the first for shards where members were
+        assert len(report) > 1 and sum(r["settled"] for r in report) == 4000 // small + (4000 % small > 0)
+
+
+def test_groups_move_to_their_neighbours_shards(spark):
+    """One round by brute force: every group asks for the shard most of its
+    members are in, of those with room for all of them."""
+    rng = np.random.default_rng(3)
+    counts = {}
+    for g in range(300):
+        for s in rng.integers(0, 6, int(rng.integers(2, 9))).tolist():
+            counts[f"g{g}", s] = counts.get((f"g{g}", s), 0) + 1
+    size = {}
+    for (g, _), n in counts.items():
+        size[g] = size.get(g, 0) + n
+    room = [700, 5, 0, 700, 3, 700]
+    members = spark.createDataFrame([(g, size[g], s, n) for (g, s), n in counts.items()], "grp string, members long, shard int, n long")
+    got = {r["grp"]: r["wish"] for r in sharding.wishes(members, room, 0).collect()}
+    for g, n in size.items():
+        near = {s: counts[g, s] for s in range(6) if (g, s) in counts and room[s] >= n}
+        assert got[g] in ([s for s in near if near[s] == max(near.values())] if near else [s for s in range(6) if room[s] >= n])
+    # the cut: links between members in different shards, before and after
+    placed, rounds = sharding.propagate(members, list(room), 700)
+    where = {r["grp"]: r["shard"] for r in placed.collect()}
+    assert set(where) == set(size) and rounds
+    load = {}
+    for g, s in where.items():
+        load[s] = load.get(s, 0) + size[g]
+    assert all(load.get(s, 0) <= room[s] for s in range(6))
 
 
 def test_quotas_stay_within_capacity():
