@@ -1,80 +1,22 @@
-"""Student-t tail probability for the one-row hypothesis test.
-
-The moments (counts, means, variances) are computed distributed; only the
-final one-row tail probability is evaluated here, in plain Python, because
-no scientific library is available. Regularised incomplete beta by the
-continued fraction (modified Lentz), as in standard numerical references.
+"""Student-t tail probability for the one-row hypothesis test, as a Spark
+column expression: the regularised incomplete beta by its continued fraction
+(modified Lentz), as in standard numerical references. Nothing is collected, and
+no scientific library is needed.
 """
 
 from __future__ import annotations
 
 import math
 
-_EPS = 1e-15
-_TINY = 1e-300
-
-
-def _beta_cf(a: float, b: float, x: float, max_iter: int = 500) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, max_iter + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) for x in [0, 1]."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    front = math.exp(ln)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_cf(a, b, x) / a
-    return 1.0 - front * _beta_cf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, df: float) -> float | None:
-    """Two-sided p-value of Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or df <= 0 or math.isnan(t):
-        return None
-    if math.isinf(t):
-        return 0.0
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+_TINY = 1e-300
 
 # Cohen's d bands and the significance level.
 ALPHA = 0.05
 EFFECT_BANDS = ((0.2, "Small effect"), (0.5, "Small to medium effect"), (0.8, "Medium effect"))
 LARGE_EFFECT = "Large effect"
-
-
-# ---------------------------------------------------------------------------
-# The same tail probability as a Spark column expression (JVM-side), for the
-# one-row moments frame: no collect to the driver.
-# ---------------------------------------------------------------------------
-
-from pyspark.sql import Column  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
 # Lanczos approximation of log-gamma (g = 7, nine coefficients).
 LANCZOS_G = 7.0
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import exprs
-from ledgerlight.functions.stats import t_two_sided_p
+from ledgerlight.functions.stats import t_two_sided_p_col
 from ledgerlight.operators.ranking import exact_quantiles, nearest_rank_percentiles, rank_in_groups
 
 
@@ -59,8 +59,8 @@ def test_percent_rank_three(spark):
     assert [r.pr * 100 for r in rows] == [0.0, 50.0, 100.0]
 
 
-def test_t_test_p_value():
+def test_t_test_p_value(spark):
     # group a 0,0,1,1; b 1,1,1,0: t = -.6547 with 6 degrees of freedom
-    assert abs(t_two_sided_p(-0.6547, 6) - 0.5369) < 1e-3
-    for t, df in ((2.447, 6), (2.228, 10), (12.706, 1)):
-        assert abs(t_two_sided_p(t, df) - 0.05) < 1e-3
+    want = [(-0.6547, 6.0, 0.5369), (2.447, 6.0, 0.05), (2.228, 10.0, 0.05), (12.706, 1.0, 0.05)]
+    got = spark.createDataFrame(want, "t double, df double, p double").select(t_two_sided_p_col(F.col("t"), F.col("df")), "p").collect()
+    assert all(abs(found - p) < 1e-3 for found, p in got)
