@@ -74,7 +74,9 @@ class CorrectedActivity:
         before = self.seen(dict(rows.dtypes)["user_id"]).where(F.col("batch") < batch)
         # days are bounded by the calendar, whatever the number of events
         days = [r[0] for r in rows.select("day").distinct().collect()]
-        latest = before.agg(F.max("day")).first()[0]
+        base = self.table.manifest()
+        # every earlier batch is in the series, a row for each day and feature
+        latest = self.table.read(base.version).agg(F.max("day")).first()[0] if base else None
         closed = F.lit(False) if latest is None else F.col("day") < F.date_sub(F.lit(latest), self.closed_after)
         fresh = rows.join(before.where(F.col("day").isin(days)), ["user_id", "feature_name", "day"], "left_anti")
         mine = f"{self.base}/seen/batch={batch}"
@@ -84,7 +86,6 @@ class CorrectedActivity:
             stored.where(closed).write.mode("overwrite").parquet(f"{self.base}/late/batch={batch}")
         added = stored.groupBy("day", "feature_name").agg(
             F.count(F.lit(1)).alias("active_users"), F.count_if(closed).alias("late_users"))
-        base = self.table.manifest()
         series = added if base is None else self.table.read(base.version).unionByName(added) \
             .groupBy("day", "feature_name").agg(F.sum("active_users").alias("active_users"), F.sum("late_users").alias("late_users"))
         self.table.publish(series, f"batch {batch}", expected=base.version if base else 0)
