@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlight.session import materialize
-from ledgerlight.sources.loader import path_exists
+from ledgerlight.sources.keyed import KeyedTable
 from ledgerlight.sources.versions import VersionedTable
 
 _ID_BITS = 33   # monotonically_increasing_id: the task above, the row below
@@ -35,29 +35,23 @@ class MonthlySummary:
         self.keys, self.sums, self.user_col = ["month", *keys], sums, user_col
         self.table = VersionedTable(spark, f"{self.base}/summary")
 
-    def _users(self) -> DataFrame | None:
-        path = f"{self.base}/users"
-        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
-
-    def _number_users(self, rows: DataFrame, batch: int) -> DataFrame:
-        """(user, number) of all users known by now. New users are numbered in
-        the order of the tasks that hold them, on from the highest number."""
-        known = self._users()
-        if known is not None:
-            known = known.where(F.col("batch") < batch)
+    def _number_users(self, rows: DataFrame) -> KeyedTable:
+        """Give every user of ``rows`` that has none a number, on from the
+        highest, in the order of the tasks that hold them. Numbers stay, also
+        those of a delivery that failed later on. Only the delivery's users are
+        shuffled: the known ones lie in buckets."""
         fresh = rows.select(F.col(self.user_col).alias("user")).where("user is not null").distinct()
-        first = 1
-        if known is not None:
-            fresh = fresh.join(known.select("user"), "user", "left_anti")
-            first = (known.agg(F.max("number")).first()[0] or 0) + 1
+        users = KeyedTable(self.spark, f"{self.base}/users", "user",
+                           StructType([fresh.schema["user"], StructField("number", LongType())]))
+        first = (users.read().agg(F.max("number")).first()[0] or 0) + 1
+        fresh = fresh.join(users.read().select("user").hint("merge"), "user", "left_anti")
         fresh = materialize(fresh.withColumn("row", F.monotonically_increasing_id()))
         task = F.shiftright("row", _ID_BITS)
         sizes = fresh.groupBy(task.alias("task")).count()      # one row per task
         starts = sizes.select("task", (F.sum("count").over(Window.orderBy("task")) - F.col("count") + first).alias("start"))
-        fresh.withColumn("task", task).join(F.broadcast(starts), "task").select(
-            "user", (F.col("start") + F.col("row").bitwiseAND(F.lit((1 << _ID_BITS) - 1))).alias("number")) \
-            .write.mode("overwrite").parquet(f"{self.base}/users/batch={batch}")
-        return self._users().where(F.col("batch") <= batch).select("user", "number")
+        users.insert(fresh.withColumn("task", task).join(F.broadcast(starts), "task").select(
+            "user", (F.col("start") + F.col("row").bitwiseAND(F.lit((1 << _ID_BITS) - 1))).alias("number")))
+        return users
 
     def add(self, rows: DataFrame, batch: int) -> DataFrame:
         """Merge delivery ``batch`` and return the summary with it."""
@@ -69,13 +63,14 @@ class MonthlySummary:
         per_user = rows.groupBy(*self.keys, F.col(self.user_col).alias("user")).agg(
             *[F.sum(c).alias(name) for name, c in self.sums.items()])
         per_user = materialize(per_user)
-        numbers = self._number_users(per_user.withColumnRenamed("user", self.user_col), batch)
-        part = per_user.join(numbers, "user", "left").groupBy(*self.keys, F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(
+        users = self._number_users(per_user.withColumnRenamed("user", self.user_col))
+        part = per_user.join(users.read().hint("merge"), "user", "left").groupBy(*self.keys, F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(
             F.expr("bitmap_construct_agg(bitmap_bit_position(number))").alias("bits"),
             *[F.sum(name).alias(name) for name in self.sums])
         part = part.withColumn("m", F.col("month"))
         mine = f"{self.base}/state/batch={batch}"
         part.write.mode("overwrite").partitionBy("m").parquet(mine)
+        users.close()
         # months are bounded by the calendar
         months = [r[0] for r in self.spark.read.schema(part.schema).parquet(mine).select("m").distinct().collect()]
         touched = F.col("m").isin([m for m in months if m is not None]) | (F.col("m").isNull() if None in months else F.lit(False))
