@@ -36,3 +36,16 @@ def test_run_packs_what_is_kept(spark):
         docs = packing.stored(stage(spark, docs, DIR), "test-stage")
     assert {r[0] for r in got.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
     assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+def test_stages_on_empty_and_other_tables(spark):
+    schema = "doc_id long, text string, _row string, fp string, copy int"
+    for rows in ([], [(1, None, "a", "b", 1), (1, "", "a", "b", 1), (None, "one line\none line\n" * 40, "a", "b", 2)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DIR)
+            if name == "packing":
+                assert out.select("doc_id", "copy").distinct().count() == len(rows)
+            else:
+                # no n_chars to follow; the columns of the table, clashing names included
+                assert out.columns == docs.columns and out.count() <= len(rows)
