@@ -149,7 +149,7 @@ class PieceBpe:
             stay[hits + 1] = False
             sym, word, rank, made = sym[stay], word[stay], rank[stay], made[stay]
             at = hits - np.arange(len(hits))       # places of the new symbols
-            near = np.unique(np.concatenate((at - 1, at)))
+            near = np.concatenate((at - 1, at))    # a place that comes twice is looked up twice
             near = near[near >= 0]
             rank[near], made[near] = _NONE, -1
             near = near[near < len(sym) - 1]
@@ -159,7 +159,8 @@ class PieceBpe:
         sym = np.concatenate([s for _, s in done])
         sym = sym[np.argsort(word, kind="stable")]
         cuts = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
-        return [self._bytes_for_unknown(sym[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        found = [sym[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return found if sym.min() >= 0 else [self._bytes_for_unknown(ids) for ids in found]
 
     def _bytes_for_unknown(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids) or ids.min() >= 0:
