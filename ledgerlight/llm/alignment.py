@@ -13,7 +13,7 @@ the one before them was found; all ends of a step of texts move together in
 flat arrays. The common indices slice both lists into groups, and differences of
 ranks are the range of B tokens each A token is linked with.
 
-Counts of linked id pairs cover all documents. A task reduces about 16 million
+Counts of linked id pairs cover all documents. A task reduces about 8 million
 characters (a chunk) to the distinct pairs, with the number of documents that
 hold each; only these are shuffled by pair, so a pair that every document holds
 is one row per chunk. The counts go back to the chunks (not to the documents),
@@ -44,7 +44,7 @@ from ledgerlight.llm.sentencepiece_bpe import SPACE, PieceBpe, model_path
 from ledgerlight.llm.tokens import BYTE, Both, Encoder
 
 STEP_CHARS = 1 << 21
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 23
 ANCHOR = 64
 BLOCK = 1 << 20
 _LONG = 64
@@ -236,7 +236,7 @@ class Aligner:
             if len(key):
                 parts.append(summed(text * width + key, n))
         if parts:
-            keys, times = summed(*map(np.concatenate, zip(*parts)))
+            keys, times = parts[0] if len(parts) == 1 else summed(*map(np.concatenate, zip(*parts)))
         return found, keys // width, keys % width, times
 
 
