@@ -188,11 +188,12 @@ def mark_subscriptions(subs: DataFrame, plans: DataFrame | None = None) -> DataF
     s = subs.withColumn("start_date", F.col("start_date").try_cast("date")) \
         .withColumn("end_date", F.col("end_date").try_cast("date"))
     if "tier" not in s.columns:
-        s = s.join(plans.select("plan_id", "tier"), "plan_id", "left")
+        s = s.join(F.broadcast(plans.select("plan_id", "tier")), "plan_id", "left")
     ends_before = F.coalesce(F.col("end_date") < F.col("start_date"), F.lit(False))
     rev = F.col("monthly_revenue").cast("decimal(18,2)")
     means = s.where(~ends_before).groupBy(F.col("tier").alias("__tier")).agg(F.round(F.avg(rev), 6).alias("__m"))
-    s = s.join(means, F.col("tier").eqNullSafe(F.col("__tier")), "left")
+    # one row a tier: broadcast, else the rows are dealt by their tier, a third of them to one task
+    s = s.join(F.broadcast(means), F.col("tier").eqNullSafe(F.col("__tier")), "left")
     s = s.withColumn("monthly_revenue", F.coalesce(rev.cast("decimal(24,6)"), F.col("__m"))).drop("__m", "__tier")
     return s.withColumn("_rows", F.lit(1).cast("bigint")).withColumn(
         "_kept", ~ends_before & F.col("customer_id").isNotNull() & F.col("start_date").isNotNull())

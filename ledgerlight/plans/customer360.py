@@ -33,7 +33,8 @@ LTV_MONTHS = 12
 def subscription_extract(subscriptions: DataFrame, plans: DataFrame, billing: DataFrame) -> DataFrame:
     """MG1: subscriptions JOIN plans LEFT JOIN billing, invoice amount as
     monthly_revenue (one row per subscription x invoice)."""
-    p = plans.select("plan_id", "plan_name", "tier")
+    # the plan catalogue is broadcast: dealt by plan, the rows would lie in as many tasks as there are plans
+    p = F.broadcast(plans.select("plan_id", "plan_name", "tier"))
     b = billing.select("subscription_id", "invoice_date", F.col("amount").alias("monthly_revenue"))
     s = subscriptions.select("subscription_id", "customer_id", "plan_id", "status", "start_date", "end_date")
     return s.join(p, "plan_id").join(b, "subscription_id", "left").select(

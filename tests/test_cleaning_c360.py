@@ -14,6 +14,24 @@ def test_email_domain_and_dedupe(spark):
     assert log.first().rows_removed == 3
 
 
+def test_subscriptions_are_not_dealt_by_tier_or_plan(spark):
+    """A few tiers and plans: dealt by them, all invoices would lie in a few tasks."""
+    plans = spark.createDataFrame([(1, "a", "free"), (2, "b", "pro"), (3, "c", None)], "plan_id int, plan_name string, tier string")
+    subs = spark.createDataFrame([(i, i % 5, i % 4 + 1, "active", "2024-01-01", None) for i in range(40)],
+                                 "subscription_id long, customer_id long, plan_id int, status string, start_date string, end_date string")
+    billing = spark.createDataFrame([(i % 40, f"2024-02-{i % 28 + 1:02}", None if i % 3 == 0 else float(i % 7)) for i in range(200)],
+                                    "subscription_id long, invoice_date string, amount double")
+    extract = c3.subscription_extract(subs, plans, billing)
+    marked = cleaning.mark_subscriptions(extract, plans)
+    rows = marked.collect()
+    assert len(rows) == 150 and all(r._kept for r in rows)      # plan 4 is not in the catalogue
+    filled = {r.tier: {x.monthly_revenue for x in rows if x.tier == r.tier} for r in rows}
+    assert set(filled) == {"free", "pro", None} and None not in filled[None]    # the tier NULL has its mean too
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert dealt and not [x for x in dealt if "hashpartitioning(plan_id" in x or "hashpartitioning(coalesce(tier" in x]
+
+
 def test_mode_tie_and_segment_stats(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate("aabb")], "customer_id long, tier string") \
         .select("customer_id", "tier", F.lit("S").alias("customer_segment"), F.lit(1.0).alias("lifetime_value"),
