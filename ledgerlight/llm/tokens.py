@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # white space other than space and newline: such texts are encoded whole
 _OTHER_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
 _MARK = "\x01"
-_TAIL = ".,;:!?"
+_TAIL = ".,;:!?#*$%&"
+# letters in every version of Unicode: such a word is one piece of the byte-level vocabulary
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _LONG = 64
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -47,7 +50,10 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         if name == BYTE:
+            from tokenizers.pre_tokenizers import ByteLevel
             # in this vocabulary every character of a token stands for one byte
+            self.byte_level = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]
+                               for c in (" ", *map(chr, range(65, 91)), *map(chr, range(97, 123)), *map(chr, range(0xc0, 0x250)))}
             for token, i in vocab.items():
                 self.widths[i] = len(token)
         else:
@@ -95,6 +101,14 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * cuts).tolist())]
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """ids of each piece, a space and letters, from the model itself."""
+        tokenize, table = self.tokenizer.model.tokenize, self.byte_level
+        found = [[t.id for t in tokenize(p.translate(table))] for p in pieces]
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = np.cumsum([4 * len(f) for f in found])
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
     def _learn(self, unseen: set[str]) -> dict[str, bytes]:
         """Remember the unseen pieces; returns the long ones, which are not kept."""
         seen = self.seen
@@ -108,6 +122,12 @@ class Encoder:
         # joined byte-level pieces must each start with white space and end with none
         plain = [k for k, p in pieces.items() if len(p) <= _LONG and (
             self.name == WORD or (p[0] in " \n" and p[-1] not in " \n"))]
+        if self.name == BYTE:
+            # a word of letters is one word of the model, which needs no cutting
+            letters = [k for k in plain if pieces[k][0] == " " and _LETTERS.fullmatch(k)]
+            seen.update(zip(letters, self._words([pieces[k] for k in letters])))
+            plain = set(plain).difference(letters)
+            wanted.difference_update(letters)
         if plain:
             seen.update(zip(plain, self._many([pieces[k] for k in plain])))
         longer = {}
@@ -125,10 +145,32 @@ class Encoder:
         odd = [c for c in (*_OTHER_SPACE, _MARK, "<|") if c in everything]
         cut = [None if odd and any(c in t for c in odd) else self.cut(t) for t in texts]
         self.seen[""] = b""
-        longer = self._learn(set().union(*filter(None, cut)).difference(self.seen))
-        known = Both(self.seen, longer) if longer else self.seen
-        return [self._bytes(t) if keys is None else b"".join([known[k] for k in keys] if longer else map(known.__getitem__, keys))
-                for t, keys in zip(texts, cut)]
+
+        def ids_of(keys: list[str]) -> list[bytes]:
+            found = list(map(self.seen.get, keys))
+            unseen = [k for k, raw in enumerate(found) if raw is None]
+            longer = self._learn({keys[k] for k in unseen})
+            for k in unseen:
+                found[k] = longer[keys[k]] if keys[k] in longer else self.seen[keys[k]]
+            return found
+
+        raw = joined_ids([keys or [] for keys in cut], ids_of)
+        return [self._bytes(t) if keys is None else r for t, keys, r in zip(texts, cut, raw)]
+
+
+def joined_ids(cut: list[list[str]], ids_of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """id bytes of each list of keys. ``ids_of`` is asked once for the distinct
+    keys of all lists; their ids are then put together in flat arrays."""
+    words = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+    codes, found = words.indices.to_numpy(), ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    first, width = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    ends = np.cumsum(width)
+    place = np.repeat(first - (ends - width), width)
+    place += np.arange(len(place))
+    raw = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+    bounds = 4 * np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+    return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 class Both(dict):

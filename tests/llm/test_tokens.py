@@ -175,3 +175,34 @@ def test_copies_of_an_id_in_several_partitions_are_told_apart(spark):
             at += length
         assert at == mine[0][2]
     assert len({p["copy"] for p in pieces}) == 12
+
+
+def test_distinct_words_are_looked_up_once():
+    asked = []
+
+    def ids_of(keys):
+        asked.extend(keys)
+        return [np.arange(len(k), dtype="<u4").tobytes() for k in keys]
+    got = tokens.joined_ids([["ab", "c", "ab"], [], ["c", "", "é漢x"]], ids_of)
+    assert sorted(asked) == ["", "ab", "c", "é漢x"]
+    assert [np.frombuffer(r, "<u4").tolist() for r in got] == [[0, 1, 0, 0, 1], [], [0, 0, 1, 2]]
+    assert tokens.joined_ids([[], []], ids_of) == [b"", b""] and tokens.joined_ids([], ids_of) == []
+
+
+def test_words_of_letters_and_marks_after_words():
+    texts = [" Zürich façade*** naïve### Ǆ ÿ× ª word$$$ a%%% b&& x.*** ŉ ß", "Éa éA\nÀb %%%", "wordword " * 3 + "x" * 70 + "***"]
+    for name in (tokens.WORD, tokens.BYTE):
+        whole, enc = Tokenizer.from_file(tokens.tokenizer_path(name)), tokens.Encoder(name)
+        assert enc.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        # marks after letters are not part of the words remembered from the library
+        assert {enc.seen["naïve###"], enc.seen["naïve"] + enc.tail_ids["###"]} == {enc.seen["naïve###"]}
+
+
+@pytest.mark.parametrize("rounds", [None, 0, 1])
+def test_shard_ids_by_table_are_the_expanded_symbols(rounds):
+    random.seed(6)
+    part = [random.randrange(300) for _ in range(40)]
+    docs_ids = [part * random.randrange(1, 30) + [2] for _ in range(50)] + [[2]]
+    ids = np.array([i for d in docs_ids for i in d], "<u4")
+    shard = token_shards.Shard(token_shards.compress(ids, np.array([len(d) for d in docs_ids]), rounds))
+    assert np.array_equal(shard.ids(), ids) and np.array_equal(shard.expand(shard.symbols), ids)
