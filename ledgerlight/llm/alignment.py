@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import stored, text_or_empty
 from ledgerlight.llm.sentencepiece_bpe import SPACE, PieceBpe, model_path
-from ledgerlight.llm.tokens import BYTE, Both, Encoder
+from ledgerlight.llm.tokens import BYTE, Encoder, joined_ids
 
 STEP_CHARS = 1 << 21
 CHUNK_CHARS = 1 << 23
@@ -169,46 +169,60 @@ class Aligner:
         self.written = [f"{i}{end}".encode() for n, ends in ((self.n_a_ids, ",|"), (self.n_b_ids, ",;"))
                         for end in ends for i in range(n)]
 
-    def b_ids(self, texts: list[str]) -> list[bytes]:
-        """B's ids of each text as little-endian unsigned 32-bit bytes."""
-        cut = [self.b.cut(t) for t in texts]
+    def b_ids(self, normalized: list[str]) -> list[bytes]:
+        """B's ids of each normalized text as little-endian unsigned 32-bit bytes."""
         if len(self.seen) > self.max_words:
             self.seen.clear()
-        unseen, known = list(set().union(*cut).difference(self.seen)), self.seen
-        if unseen:
-            new = {k: x.astype("<u4").tobytes() for k, x in zip(unseen, self.b.merge([self.b.word(k) for k in unseen]))}
-            self.seen.update((k, v) for k, v in new.items() if len(k) <= _LONG)
-            longer = {k: v for k, v in new.items() if len(k) > _LONG}
-            if longer:
-                known = Both(self.seen, longer)
-        return [b"".join([known[k] for k in keys]) for keys in cut]
-
-    def unchanged(self, text: str) -> bool:
-        """Whether B's pieces spell a space and the text."""
-        return bool(text) and SPACE not in text and self.b.sp.normalize(text).replace(SPACE, " ") == " " + text
-
-    def groups_sha256(self, a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray) -> str:
-        """SHA-256 of the groups written as ``a1,a2|b1;a3|b2,b3``."""
+
+        def ids_of(keys: list[str]) -> list[bytes]:
+            found = list(map(self.seen.get, keys))
+            unseen = [k for k, raw in enumerate(found) if raw is None]
+            if unseen:
+                for k, ids in zip(unseen, self.b.merge([self.b.word(keys[k]) for k in unseen])):
+                    found[k] = ids.astype("<u4").tobytes()
+                    if len(keys[k]) <= _LONG:
+                        self.seen[keys[k]] = found[k]
+            return found
+
+        return joined_ids([self.b.cut_normalized(t) for t in normalized], ids_of)
+
+    def unchanged(self, text: str) -> str | None:
+        """The text as B normalizes it, if B's pieces spell a space and the text."""
+        if text and SPACE not in text:
+            normalized = self.b.sp.normalize(text)
+            if normalized.replace(SPACE, " ") == " " + text:
+                return normalized
+        return None
+
+    def group_codes(self, a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray) -> np.ndarray:
+        """The groups written as ``a1,a2|b1;a3|b2,b3;``, as places in ``written``."""
+        codes = np.empty(len(a) + len(b), np.int32)
+        at = np.repeat(b_cuts[:-1], np.diff(a_cuts))
+        at += np.arange(len(a))
+        codes[at] = a
+        codes[at[a_cuts[1:] - 1]] += self.n_a_ids
+        at = np.repeat(a_cuts[1:], np.diff(b_cuts))
+        at += np.arange(len(b))
+        codes[at] = b + 2 * self.n_a_ids
+        codes[at[b_cuts[1:] - 1]] += self.n_b_ids
+        return codes
+
+    def groups_sha256(self, codes: np.ndarray) -> str:
+        """SHA-256 of the groups of one text, without the last separator."""
         digest, left = hashlib.sha256(), b""
-        for lo in range(0, len(a_cuts) - 1, BLOCK):
-            ac, bc = a_cuts[lo:lo + BLOCK + 1], b_cuts[lo:lo + BLOCK + 1]
-            ids_a, ids_b = a[ac[0]:ac[-1]].copy(), b[bc[0]:bc[-1]] + 2 * self.n_a_ids
-            ids_a[ac[1:] - ac[0] - 1] += self.n_a_ids
-            ids_b[bc[1:] - bc[0] - 1] += self.n_b_ids
-            codes = np.empty(len(ids_a) + len(ids_b), np.int64)
-            codes[_expand(ac[:-1] - ac[0] + bc[:-1] - bc[0], np.diff(ac))] = ids_a
-            codes[_expand(ac[1:] - ac[0] + bc[:-1] - bc[0], np.diff(bc))] = ids_b
+        for lo in range(0, len(codes), BLOCK):
             digest.update(left)
-            left = b"".join(map(self.written.__getitem__, codes.tolist()))
+            left = b"".join(map(self.written.__getitem__, codes[lo:lo + BLOCK].tolist()))
         digest.update(left[:-1])
         return digest.hexdigest()
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups_sha256) of every text, and the
         distinct (text, pair key) with the times each is linked, by text."""
-        good = [k for k, t in enumerate(texts) if self.unchanged(t)]
+        normalized = list(map(self.unchanged, texts))
+        good = [k for k, t in enumerate(normalized) if t is not None]
         some = [texts[k] for k in good]
-        a_raw, b_raw = self.a.encode([" " + t for t in some]), self.b_ids(some)
+        a_raw, b_raw = self.a.encode([" " + t for t in some]), self.b_ids([normalized[k] for k in good])
         a, b = (np.frombuffer(b"".join(raw), "<u4").astype(np.int64) for raw in (a_raw, b_raw))
         a_bounds, b_bounds = (np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw], dtype=np.int64))) for raw in (a_raw, b_raw))
         sizes = np.array([len(t.encode()) + 1 for t in some], np.int64)
@@ -222,12 +236,13 @@ class Aligner:
         a_cuts, b_cuts = np.concatenate(([0], in_a + 1)), np.concatenate(([0], in_b + 1))
         group_bounds = np.concatenate(([0], np.searchsorted(in_a, a_bounds[1:] - 1) + 1)) if some else np.zeros(1, np.int64)
         links = np.concatenate(([0], np.cumsum(np.diff(a_cuts) * np.diff(b_cuts))))
+        codes = self.group_codes(a, a_cuts, b, b_cuts)
         found = [(0, 0, 0, 0, "")] * len(texts)
         for k, i in enumerate(good):
             lo, hi = int(group_bounds[k]), int(group_bounds[k + 1])
             found[i] = (int(a_bounds[k + 1] - a_bounds[k]), int(b_bounds[k + 1] - b_bounds[k]), hi - lo,
                         int(links[hi] - links[lo]),
-                        self.groups_sha256(a, a_cuts[lo:hi + 1], b, b_cuts[lo:hi + 1]))
+                        self.groups_sha256(codes[a_bounds[k] + b_bounds[k]:a_bounds[k + 1] + b_bounds[k + 1]]))
         owner = np.repeat(np.array(good, np.int64), np.diff(group_bounds))
         width = self.n_a_ids * self.n_b_ids
         keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -160,11 +160,11 @@ class PieceBpe:
         sym = sym[np.argsort(word, kind="stable")]
         cuts = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
         found = [sym[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return found if sym.min() >= 0 else [self._bytes_for_unknown(ids) for ids in found]
+        for k in np.unique(np.searchsorted(cuts, np.flatnonzero(sym < 0), "right") - 1).tolist():
+            found[k] = self._bytes_for_unknown(found[k])
+        return found
 
     def _bytes_for_unknown(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or ids.min() >= 0:
-            return ids
         out: list[int] = []
         for i in ids.tolist():
             out.extend([i] if i >= 0 else self.byte_id[list(chr(-1 - i).encode())].tolist())
@@ -173,7 +173,10 @@ class PieceBpe:
     def cut(self, text: str) -> list[str]:
         """Keys of a text's words: the word without its one leading ``SPACE``;
         words that start with a newline or several ``SPACE`` as they are."""
-        text = self.sp.normalize(text)
+        return self.cut_normalized(self.sp.normalize(text))
+
+    @staticmethod
+    def cut_normalized(text: str) -> list[str]:
         keys = text.replace("\n", SPACE + "\n").split(SPACE)[1:]
         if "" in keys or f"{SPACE}\n" in text:
             keys = [w if w[0] == "\n" or w[1:2] in ("", SPACE) else w[1:] for w in _WORDS.findall(text)]

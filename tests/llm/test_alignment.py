@@ -116,3 +116,23 @@ def test_copies_repeated_ids_and_empty_table(spark):
     assert full[0]["n_best"] == full[0]["n_links"] and full[0]["count_sum"] == 31 * full[0]["n_links"]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(empty).collect() == []
+
+
+def test_each_text_is_normalized_once_and_only_unknown_words_become_bytes():
+    both = alignment.Aligner()
+    calls = {"normalize": 0, "bytes": 0}
+    sp, to_bytes = both.b.sp, both.b._bytes_for_unknown
+
+    class Counted:
+        def normalize(self, text):
+            calls["normalize"] += 1
+            return sp.normalize(text)
+
+    def counted(ids):
+        calls["bytes"] += 1
+        return to_bytes(ids)
+    both.b.sp, both.b._bytes_for_unknown = Counted(), counted
+    texts = ["some plain words", "more plain words \U000F0000 here", "and more"]
+    rows = both.align(texts)[0]
+    assert calls == {"normalize": 3, "bytes": 1}
+    assert [r[1] for r in rows] == [len(sp.encode(t)) for t in texts]
