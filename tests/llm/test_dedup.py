@@ -2,6 +2,7 @@
 empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -171,6 +172,38 @@ def test_unlike_lines_of_one_bucket_form_no_pairs(spark, monkeypatch):
     assert formed and formed[0][0] == formed[0][1] < 100
 
 
+def test_lines_that_meet_by_common_shingles_alone_go_no_further(spark, monkeypatch):
+    """Lines with a short beginning in common share buckets by the hundred but are
+    not alike by sketch: only pairs that are reach the tables behind the
+    buckets, their texts are read once, and big tables are gone at the end."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    start = "".join(rng.choice(letters, 34))
+    lines = [start + "".join(rng.choice(letters, 66)) for _ in range(150)]      # 30 shingles of 162
+    near = [x[:-4] + "".join(rng.choice(letters, 4)) for x in lines[:10]]       # 92 of 100
+    rows = [(i, x, *ROWS[0][2:]) for i, x in enumerate(lines + near)]
+    kept, read = defaultdict(list), []
+    keep, texts = line_dedup.stored, line_dedup.line_texts
+
+    def counted(df, name):
+        out = keep(df, name)
+        kept[name].append((out.count(), out.inputFiles()))
+        return out
+
+    def noted(*args):
+        read.append(1)
+        return texts(*args)
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    monkeypatch.setattr(line_dedup, "line_texts", noted)
+    got = line_dedup.line_dedup(docs(spark, rows)).collect()
+    assert sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_kept"]) for r in got], key=repr) == line_reference(rows)
+    assert sum(r["n_kept"] for r in got) == 150
+    # 20 entries in at most 12 buckets each
+    assert max(n for n, _ in kept["members"]) <= 240 and len(read) == 1
+    for name in ("lines", "buckets", "members", "marked", "held"):
+        assert not any(os.path.exists(f.removeprefix("file:")) for _, files in kept[name] for f in files), name
+
+
 def test_lines_in_other_case_are_copies(spark):
     text = "Terms And Conditions Apply\nÜber Uns"
     rows = [(1, text, *ROWS[0][2:]), (2, text.upper() + "\nx", *ROWS[0][2:]), (3, text.lower(), *ROWS[0][2:])]
