@@ -204,6 +204,35 @@ def test_lines_that_meet_by_common_shingles_alone_go_no_further(spark, monkeypat
         assert not any(os.path.exists(f.removeprefix("file:")) for _, files in kept[name] for f in files), name
 
 
+def test_lines_are_walked_only_where_they_have_blanks_around(spark):
+    """A line is trimmed where blanks stand around it, and its plain form is what is looked at."""
+    raw = ["a line", " a line", "a line\t", "\r \ta line \r", "a  line", "", " ", "\t\r ", "\u00a0a line", "ä ö "]
+    rows = line_dedup.line_rows(docs(spark, [(1, "\n".join(raw), *ROWS[0][2:])]))
+    got = {r["pos"]: r["line"] for r in rows.select("pos", "line").collect()}
+    assert got == {p: x.strip(" \t\r") for p, x in enumerate(raw) if x.strip(" \t\r")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == plan.count("THEN trim(") > 0      # 2 and 0 before: every line, twice
+
+
+def test_shingle_sets_are_counted_outside_of_lambdas(spark, monkeypatch):
+    """Exact similarity of pairs of lines, the sets counted once each and in generated code."""
+    plans, keep = [], line_dedup.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    texts = ["abcdefghijklmnop", "abcdefghijklmnopq", "abcdefgh", "abc", "abc", "abd", "aaaaaaaaaa", "aaaaa", "x\U0001f600yzuvw"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(texts)) for j in range(i)], "a long, b long")
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = line_dedup.verified(lines, pairs)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want == {(1, 0), (4, 3), (7, 6)}
+    plan = plans[0]
+    assert plan.count("array_intersect(") == 1 and plan.count("array_distinct(") == 2 and "exists(" not in plan
+
+
 def test_lines_in_other_case_are_copies(spark):
     text = "Terms And Conditions Apply\nÜber Uns"
     rows = [(1, text, *ROWS[0][2:]), (2, text.upper() + "\nx", *ROWS[0][2:]), (3, text.lower(), *ROWS[0][2:])]
